@@ -5,10 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules
 from .common import table
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = line_dedup.deduped(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return df.select(F.col("row.doc_id").alias("doc_id"), F.col("clean_text").alias("text"), "n_lines", "n_dropped")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = quality_rules.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return df.select(
@@ -24,6 +39,23 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES = {
+    "op2_mixing": op2_mixing,
+    "op3_line_dedup": op3_line_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op5_near_dedup": op5_near_dedup,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op10_packing": op10_packing,
 }
