@@ -98,11 +98,11 @@ def _compared(count: int):
     return run
 
 
-def _fitted(classes: DataFrame, total: int, k: int, recall: float, seed: int) -> tuple[Router, int]:
+def _fitted(classes: DataFrame, total: int, dims: int, k: int, recall: float, seed: int) -> tuple[Router, int]:
     """The router and its probes; from at most about SAMPLE classes, picked by their digest."""
     parts = min(MOST_PARTS, total // PER_PART)
     if parts < 2:
-        return fitted(np.zeros((1, 1)), 1), 1
+        return fitted(np.zeros((1, dims)), 1), 1
     share = min(1.0, SAMPLE / total)
     draw = F.pmod(F.xxhash64(F.lit(seed), "cls"), F.lit(1 << 30)) < int(share * (1 << 30))
     picked = classes.filter(draw).select("cls", "vec").limit(2 * SAMPLE).toArrow().sort_by("cls")
@@ -129,7 +129,8 @@ def nearest(
     """
     df = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     size = df.filter("embedding IS NOT NULL").groupBy(F.size("embedding").alias("dims")).count().orderBy(F.desc("count"), "dims").limit(1).collect()
-    rows = df.mapInArrow(_valid(size[0]["dims"] if size else 0), "vec_id long, cls binary, vec binary")
+    dims = size[0]["dims"] if size else 0
+    rows = df.mapInArrow(_valid(dims), "vec_id long, cls binary, vec binary")
     rows = written(rows, "vectors")
     ids = rows.select("cls", "vec_id").distinct()
     turn = F.row_number().over(Window.partitionBy("cls").orderBy("vec_id"))
@@ -138,7 +139,7 @@ def nearest(
     few = few.groupBy("cls").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     classes = written(rows.groupBy("cls").agg(F.first("vec").alias("vec")).join(few, "cls").select("cls", "vec", "ids"), "classes")
     asked = checkpointed(ids.filter(F.col("vec_id") % every == 0))
-    router, probes = _fitted(classes, classes.count(), k, recall, seed)
+    router, probes = _fitted(classes, classes.count(), dims, k, recall, seed)
     kept = "cls binary, vec binary, ids array<long>, parts array<int>"
     placed = written(classes.mapInArrow(_routed(router, 1), kept).withColumn("part", F.col("parts")[0]).drop("parts"), "placed")
     queries = classes.join(asked.select("cls").distinct(), "cls", "left_semi").mapInArrow(_routed(router, probes), kept)

@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules
+from . import (
+    line_dedup,
+    lm_scoring,
+    mixing,
+    near_dedup,
+    nearest,
+    packing,
+    pii,
+    quality_classifier,
+    quality_rules,
+    url_filters,
+)
 from .common import table
 
 
@@ -15,6 +26,10 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(table(spark, sf_dir, "documents"))
 
@@ -43,19 +58,35 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.verdicts(table(spark, sf_dir, "pages"))
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.scored(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_mixing": op2_mixing,
     "op3_line_dedup": op3_line_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_near_dedup": op5_near_dedup,
+    "op6_nearest": op6_nearest,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_url_filters": op8_url_filters,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_packing": op10_packing,
 }
