@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridlark.llm import quality_rules
+from gridlark.llm import line_dedup, mixing, near_dedup, packing, quality_rules
+from gridlark.llm.queries import tokenizer_path
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,13 +13,34 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.stage(docs)
 
 
-STAGES = [("quality_rules", rules)]
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop lines whose template recurs across documents."""
+    return line_dedup.stage(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near duplicates (five words, 80 %)."""
+    return near_dedup.stage(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take each source as often as its target asks."""
+    return mixing.stage(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the mix in sequences of at most 4096 tokens."""
+    return packing.stage(docs, tokenizer_path())
+
+
+STAGES = [("quality_rules", rules), ("line_dedup", lines), ("near_dedup", near), ("mixing", mix), ("packing", pack)]
 #: Packing counts the ids of a tokenizer, which SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages, one after the other, over the whole documents table."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, step in STAGES:
+    for _, step in STAGES:
         docs = step(spark, docs, sf_dir)
     return docs
