@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gridlark.llm import line_dedup, mixing, near_dedup, packing, quality_rules
+from gridlark.llm.common import written
 from gridlark.llm.queries import tokenizer_path
 
 
@@ -39,8 +40,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages, one after the other, over the whole documents table."""
+    """The stages over the whole documents table; each but the last is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, step in STAGES:
-        docs = step(spark, docs, sf_dir)
-    return docs
+    for name, step in STAGES[:-1]:
+        docs = written(step(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
