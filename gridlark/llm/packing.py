@@ -20,9 +20,11 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,46 +35,94 @@ from .common import written
 WINDOW, BIN = 4096, 16
 
 
-class WordIds(dict):
+class WordIds:
     """Ids of the pieces of text between ASCII white space, as bytes, kept as they are met.
 
-    The tokenizer splits at white space before it merges, so the ids of a
-    text are those of its pieces. ``width`` is the bytes of an id.
+    The tokenizer splits at white space, between letters and marks, and folds
+    case before it merges. So a text may be lower-cased and a mark parted from
+    the word before it, and its ids are those of its pieces. Texts that may
+    hold a special token stay as they are. At most ``most`` pieces are kept.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
-        super().__init__()
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most, self.pieces = Tokenizer.from_file(path), most, {}
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
 
-    def encoded(self, texts: list[str | None]) -> list[bytes]:
-        pieces = [t.encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
-        if len(self) > self.most:
-            self.clear()
-        new = list({p for doc in pieces for p in doc if p not in self})
-        for k in range(0, len(new), 10_000):
-            part = new[k : k + 10_000]
-            found = self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in part], add_special_tokens=False)
-            self.update((p, np.array(e.ids, self.kind).tobytes()) for p, e in zip(part, found))
-        return [b"".join(map(self.__getitem__, doc)) for doc in pieces]
+    def _each(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        return [np.array(e.ids, self.kind).tobytes() for e in found]
+
+    def _learn(self, new: list[str]) -> None:
+        """Words of letters are encoded many to one text; the tokenizer tells which ids are whose."""
+        words = [p for p in new if p.isalpha()]
+        for k in range(0, len(words), 2000):
+            part = words[k : k + 2000]
+            e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            owner = np.array(e.word_ids, np.int64)
+            starts = np.searchsorted(owner, np.arange(len(part) + 1)).tolist()
+            if len(owner) and owner[-1] + 1 == len(part) and len(set(starts)) == len(starts):
+                data, n = np.array(e.ids, self.kind).tobytes(), np.dtype(self.kind).itemsize
+                self.pieces.update((w, data[n * a : n * b]) for w, a, b in zip(part, starts, starts[1:]))
+            else:
+                self.pieces.update(zip(part, self._each(part)))
+        rest = [p for p in new if not p.isalpha()]
+        self.pieces.update(zip(rest, self._each(rest)))
+
+    def encoded(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text; null has none."""
+        texts = pc.fill_null(texts, "")
+        plain = pc.replace_substring_regex(pc.ascii_lower(texts), "([a-z])([.,;:!?])([ \\n]|$)", "\\1 \\2\\3")
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, plain)
+        lists = pc.ascii_split_whitespace(texts)
+        cuts = lists.offsets.to_numpy()
+        coded = pc.dictionary_encode(lists.flatten())
+        known = coded.dictionary.to_pylist()
+        new = [p for p in known if p not in self.pieces]
+        if len(self.pieces) + len(new) > self.most:
+            self.pieces, new = {}, known
+        self._learn(new)
+        ids = pa.array(map(self.pieces.__getitem__, known), pa.large_binary()).take(coded.indices)
+        if not len(ids):
+            return [b""] * len(texts)
+        at = np.frombuffer(ids.buffers()[1], np.int64)[ids.offset : ids.offset + len(ids) + 1]
+        data = memoryview(ids.buffers()[2] or b"")
+        ends = at[cuts - cuts[0]]
+        return [bytes(data[a:b]) for a, b in zip(ends, ends[1:])]
+
+
+@lru_cache(maxsize=1)
+def _ids_of(path: str) -> WordIds:
+    """What a Python worker has met stays for its next tasks."""
+    return WordIds(path)
+
+
+def portions(column: pa.Array, chars: int = 8_000_000) -> Iterator[tuple[int, int]]:
+    """(start, length) of runs of rows of about so many bytes."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)) if len(column) else np.empty(0)
+    start = 0
+    while start < len(column):
+        base = size[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(size, base + chars, side="right")))
+        yield start, stop - start
+        start = stop
 
 
 def _tokenised(path: str, end: int, window: int):
     """mapInArrow function: (doc_id, text) to a row of ids, with its place in the partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = WordIds(path)
+        ids = _ids_of(path)
         width = np.dtype(ids.kind).itemsize
         last = np.array([end], ids.kind).tobytes()
         part, ranks, full = TaskContext.get().partitionId(), Counter(), 0
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                piece = batch.slice(k, 500)
+            for k, size in portions(batch.column(1)):
+                piece = batch.slice(k, size)
                 rows = []
-                for doc, found in zip(piece.column(0), ids.encoded(piece.column(1).to_pylist())):
+                for doc, found in zip(piece.column(0), ids.encoded(piece.column(1))):
                     found += last
                     n = len(found) // width
                     rest = n % window

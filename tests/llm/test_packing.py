@@ -3,6 +3,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gridlark.llm import packing
@@ -84,3 +85,16 @@ def test_plan_places_every_rest_once():
     total = sum(k * n for k, n in histogram.items())
     assert sum(m for p in filled.values() for _, m in p) == total
     assert len(filled) * 4096 <= total * 1.01 + 4096
+
+
+def test_ids_of_pieces_are_those_of_texts():
+    rng = random.Random(6)
+    parts = ["Ab", "x", "é", "Ç", "İ", "ß", ".", ",", "!!", "...", "'s", "'", "12", " ", "\n", "\t", "\x1c", "\u00a0", "e\u0301", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "漢字", "\U0001f600", "²"]
+    texts = [None, "", " "] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    ids = packing.WordIds(tokenizer_path(), most=500)
+    t = tokenizers.Tokenizer.from_file(tokenizer_path())
+    want = [np.array(t.encode(x or "", add_special_tokens=False).ids, ids.kind).tobytes() for x in texts]
+    got = []
+    for start, n in packing.portions(pa.array(texts), 2000):
+        got += ids.encoded(pa.array(texts).slice(start, n))
+    assert got == want
