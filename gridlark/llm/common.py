@@ -48,6 +48,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A table that is counted to have so many rows is broadcast; a larger one is joined by shuffling.
+FEW = 100_000
+
+
+def few_rows(df: DataFrame, most: int = FEW) -> DataFrame:
+    """df marked for broadcast if it is counted to have at most ``most`` rows."""
+    df = checkpointed(df)
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

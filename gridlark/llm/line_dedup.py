@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, words, written
+from .common import WORD, few_rows, words, written
 
 VARIABLE = "(?<![^\\x20\\x09-\\x0D])[^\\x20\\x09-\\x0D0-9]*+[0-9][^\\x20\\x09-\\x0D]*+"
 OPEN = "<*>"
@@ -65,11 +65,12 @@ def templates(docs: DataFrame, min_docs: int, depth: int, share: float, fixed: f
     busy = rare.groupBy("leaf").agg(F.sum("n").alias("docs"), F.count("*").alias("k"))
     busy = busy.filter((F.col("docs") >= min_docs) & (F.col("k") > 1)).select("leaf", "docs")
     rare = rare.join(busy, "leaf")
-    own = F.struct("doc_id", "text_hash", "pos")
-    at = F.struct(F.col("first.doc_id"), F.col("first.text_hash"), F.col("first.pos"))
-    named = rare.select("leaf", "line", "docs", "n", "first", at.alias("at"))
-    told = full.select("line", own.alias("at"), "tokens")
-    told = written(named.join(told, ["line", "at"]).dropDuplicates(["line"]), "rare-lines")
+    # tokens come from the documents in which these lines stand first
+    named = written(rare.select("leaf", "line", "docs", "n", "first", F.col("first.pos").alias("pos")), "rare-named")
+    owners = few_rows(named.select(F.col("first.doc_id").alias("owner"), F.col("first.text_hash").alias("owner_hash")).distinct())
+    held = F.col("doc_id").eqNullSafe(F.col("owner")) & (F.xxhash64("text") == F.col("owner_hash"))
+    told = _lines(docs.join(owners, held, "left_semi"), depth).select("line", "pos", "tokens")
+    told = written(named.join(told, ["line", "pos"]).dropDuplicates(["line"]), "rare-lines")
     each = told.select("leaf", "docs", "n", F.posexplode("tokens").alias("place", "token"))
     common = each.groupBy("leaf", "place", "token").agg(F.sum("n").alias("k"), F.first("docs").alias("docs"))
     common = common.filter(F.col("k") > F.col("docs") * share).groupBy("leaf")

@@ -18,13 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed, words
+from .common import checkpointed, few_rows, words
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
 BINS = 4096
-#: A table of sources up to so many rows is broadcast; a larger one is joined by shuffling.
-FEW_SOURCES = 100_000
 
 
 def quality_weight(size: Column, text: Column) -> Column:
@@ -104,12 +102,6 @@ def planned(rows: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_EPOCHS)
     return goal.join(edge, "src", "left").select("src", "source_size", "target", "epochs", "edge")
 
 
-def few_rows(df: DataFrame, most: int = FEW_SOURCES) -> DataFrame:
-    """df marked for broadcast if it is counted to have at most ``most`` rows."""
-    df = checkpointed(df)
-    return F.broadcast(df) if df.count() <= most else df
-
-
 def taken_words(doc_id: str = "doc_id") -> Column:
     """Words that the mix takes of a row that has size, key, epochs and edge."""
     key, edge, own = F.col("key"), F.col("edge"), F.col(doc_id)
