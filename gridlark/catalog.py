@@ -2,5 +2,211 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from gridlark.fields import embedding_field, event_series, holes, lineitem_field
+from gridlark.functions.measures import EULER, default_k, mi_coefficient, psi
+from gridlark.operators import dependence, ensemble, grid
+
+MEMBERS = 64
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    """Doubles to nine places: sums run in another order in every engine and plan."""
+    return df.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def _bounds(df: DataFrame, column: str = "value") -> tuple[float, float]:
+    """Smallest and largest value: one row comes to the driver."""
+    return tuple(df.agg(F.min(column), F.max(column)).first())
+
+
+def _reference(measure, **more):
+    return lambda spark, sf: rounded(measure(dependence.with_reference(embedding_field(spark, sf), 0), **more))
+
+
+def reference_mi_binned(spark, sf):
+    df = embedding_field(spark, sf)
+    low, high = _bounds(df)
+    out = dependence.mi_binned(dependence.with_reference(df, 0), low, high, 80)
+    return rounded(out.withColumn("coefficient", mi_coefficient(F.col("value"))))
+
+
+def field_minmax(spark, sf):
+    return rounded(embedding_field(spark, sf).groupBy("m").agg(F.min("value").alias("low"), F.max("value").alias("high")))
+
+
+def histogram(spark, sf):
+    df = embedding_field(spark, sf)
+    return rounded(ensemble.histogram(df, *_bounds(df), 50))
+
+
+def binary_operators(spark, sf):
+    df = lineitem_field(spark, sf)
+    return rounded(df.select("point_id", "t", "m", *[c.alias(n) for n, c in grid.binary(F.col("quantity"), F.col("tax")).items()]))
+
+
+def vorticity(spark, sf):
+    df = grid.vorticity(grid.velocity(embedding_field(spark, sf)))
+    return rounded(df.select("point_id", "cu", "cv", "cw", "speed", "curl", "helicity"))
+
+
+def variable_matrix(spark, sf):
+    df = spark.read.parquet(f"{sf}/lineitem.parquet")
+    names = ("quantity", "extendedprice", "discount", "tax")
+    pairs = [(a, b) for k, a in enumerate(names) for b in names[:k]]
+    one = df.agg(*[F.corr(f"l_{a}", f"l_{b}").alias(f"{a}:{b}") for a, b in pairs])
+    rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}:{b}").alias("value")) for a, b in pairs])
+    return rounded(one.select(F.inline(rows)))
+
+
+def variables_at_points(spark, sf):
+    df = lineitem_field(spark, sf).select("point_id", "t", "m", F.col("quantity").alias("a"), F.col("extendedprice").alias("b"))
+    full = df.groupBy("point_id", "t").agg(F.count("*").alias("n")).filter("n >= 3").drop("n")
+    return rounded(dependence.pearson(df.join(full, ["point_id", "t"]), ["point_id", "t"]))
+
+
+def cluster_cores(spark, sf):
+    df = spark.read.parquet(f"{sf}/embeddings.parquet")
+    df = df.select(F.col("vec_id").alias("id"), *[F.get("embedding", F.lit(k)).cast("double").alias(c) for k, c in enumerate(("px", "py"))])
+    x0, x1, y0, y1 = df.agg(F.min("px"), F.max("px"), F.min("py"), F.max("py")).first()
+    found = grid.neighbours(df, 0.05 * ((x1 - x0) ** 2 + (y1 - y0) ** 2) ** 0.5)
+    return found.withColumn("core", F.col("n") >= 8)
+
+
+def _first(spark, sf):
+    return embedding_field(spark, sf).filter("m = 0")
+
+
+def transfer_function(spark, sf):
+    df = _first(spark, sf)
+    df = grid.transfer_weights(df, *_bounds(df), 8)
+    entry = lambda j: j / 7.0
+    red = entry(F.col("j")) * (1 - F.col("f")) + entry(F.col("j") + 1) * F.col("f")
+    return rounded(df.select("point_id", "j", "f", red.alias("red")))
+
+
+def normal_equations(spark, sf):
+    df = _first(spark, sf)
+    df = grid.transfer_weights(df, *_bounds(df), 8)
+    return rounded(grid.normal_equations(df, F.col("value") * F.col("value")))
+
+
+QUERIES = {
+    "reference_pearson": _reference(dependence.pearson),
+    "reference_spearman": _reference(dependence.spearman),
+    "reference_kendall": _reference(dependence.kendall),
+    "reference_mi_ksg": _reference(dependence.mi_ksg),
+    "reference_mi_binned": reference_mi_binned,
+    "ensemble_mean_spread": lambda s, d: rounded(ensemble.mean_and_spread(holes(embedding_field(s, d)))),
+    "set_predicate": lambda s, d: rounded(ensemble.set_predicate(holes(embedding_field(s, d)), ">", 0.0, 20, 40)),
+    "kl_binned": lambda s, d: rounded(ensemble.kl_binned(embedding_field(s, d))),
+    "kl_knn": lambda s, d: rounded(ensemble.kl_knn(embedding_field(s, d), 3, MEMBERS)),
+    "field_minmax": field_minmax,
+    "histogram": histogram,
+    "block_means": lambda s, d: rounded(ensemble.block_means(holes(embedding_field(s, d)), 3)),
+    "block_spread": lambda s, d: rounded(ensemble.block_spread(embedding_field(s, d), 3)),
+    "block_pairs": lambda s, d: rounded(dependence.block_pairs(ensemble.block_means(embedding_field(s, d), 3), 0.2)),
+    "windowed_correlation": lambda s, d: rounded(dependence.windowed(event_series(s, d), "click", 32)),
+    "binary_operators": binary_operators,
+    "vorticity": vorticity,
+    "smoothed": lambda s, d: rounded(grid.smoothed(holes(embedding_field(s, d)).filter("m % 16 = 5"))),
+    "variable_matrix": variable_matrix,
+    "variables_at_points": variables_at_points,
+    "sphere": lambda s, d: rounded(grid.sphere(_first(s, d), (4, 4, 2), 3.0).select("point_id", "value")),
+    "cube": lambda s, d: rounded(grid.cube(_first(s, d), (4, 4, 2), 2).select("point_id", "value")),
+    "inner_points": lambda s, d: rounded(grid.inner(_first(s, d), (10, 10, 5), 1).select("point_id", "value")),
+    "crossing_cells": lambda s, d: grid.crossing_cells(_first(s, d), 0.1),
+    "cluster_cores": cluster_cores,
+    "transfer_function": transfer_function,
+    "normal_equations": normal_equations,
+}
+
+_E = """e AS (SELECT vec_id AS point_id, vec_id % 10 AS x, (vec_id // 10) % 10 AS y, vec_id // 100 AS z, m, v FROM
+ (SELECT vec_id, unnest(range(len(embedding))) AS m, unnest(embedding)::DOUBLE AS v FROM embeddings))"""
+_H = _E + ", h AS (SELECT point_id, x, y, z, m, CASE WHEN point_id % 17 = 3 AND m % 13 = 5 THEN NULL ELSE v END AS v FROM e)"
+_P = _E + ", p AS (SELECT e.point_id, e.m, r.v AS a, e.v AS b FROM e JOIN e r ON r.m = e.m AND r.point_id = 0)"
+_L = """l AS (SELECT l_suppkey AS point_id, year(l_shipdate) - 1995 AS t, l_linenumber AS m, avg(l_quantity) AS q,
+ avg(l_extendedprice) AS e, avg(l_tax) AS tax FROM lineitem GROUP BY ALL)"""
+_CORR = "covar_samp(a, b) / nullif(stddev_samp(a) * stddev_samp(b), 0)"
+_Z = _E + """, s AS (SELECT point_id, m, (v - avg(v) OVER w) / stddev_pop(v) OVER w AS u, count(*) OVER w AS n FROM e WINDOW w AS (PARTITION BY point_id))"""
+_K = default_k(MEMBERS)
+_PSI = f"({-EULER!r} + coalesce(list_sum([1.0::DOUBLE / i FOR i IN range(1, %s::BIGINT)]), 0))"
+_F = _E + """, g AS (SELECT min(v) AS lo, max(v) AS hi FROM e WHERE m = 0), tf AS (SELECT point_id, v, (v - lo) / (hi - lo) * 7 AS u FROM e, g WHERE m = 0),
+ w AS (SELECT point_id, v, least(floor(u), 6)::INT AS j, u - least(floor(u), 6) AS f FROM tf)"""
+
+
+def _d(c: str, axis: str) -> str:
+    w = f"(PARTITION BY {', '.join(a for a in 'xyz' if a != axis)} ORDER BY {axis})"
+    after, before = f"lead({c}) OVER {w}", f"lag({c}) OVER {w}"
+    return f"((coalesce({after}, {c}) - coalesce({before}, {c})) / CASE WHEN {after} IS NULL OR {before} IS NULL THEN 1 ELSE 2 END)"
+
+
+ORACLE_SQL = {
+    "reference_pearson": f"WITH {_P} SELECT point_id, round({_CORR}, 9) AS value FROM p GROUP BY 1",
+    "reference_spearman": f"""WITH {_P}, k AS (SELECT point_id,
+ rank() OVER (PARTITION BY point_id ORDER BY a) + (count(*) OVER (PARTITION BY point_id, a) - 1) / 2.0 AS a,
+ rank() OVER (PARTITION BY point_id ORDER BY b) + (count(*) OVER (PARTITION BY point_id, b) - 1) / 2.0 AS b FROM p)
+ SELECT point_id, round({_CORR}, 9) AS value FROM k GROUP BY 1""",
+    "reference_kendall": f"""WITH {_P} SELECT x.point_id, round(sum(sign(x.a - y.a) * sign(x.b - y.b)) /
+ sqrt(count_if(x.a <> y.a)::DOUBLE * count_if(x.b <> y.b)), 9) AS value FROM p x JOIN p y ON x.point_id = y.point_id AND x.m < y.m GROUP BY 1""",
+    "reference_mi_ksg": f"""WITH {_P}, d AS (SELECT x.point_id, x.m, abs(x.a - y.a) AS dx, abs(x.b - y.b) AS dy, x.m = y.m AS own
+ FROM p x JOIN p y ON x.point_id = y.point_id), k AS (SELECT point_id, m, greatest(dx, dy) AS far FROM d WHERE NOT own
+ QUALIFY row_number() OVER (PARTITION BY point_id, m ORDER BY greatest(dx, dy)) = {_K}),
+ c AS (SELECT point_id, m, greatest(count_if(dx < far), 1) AS nx, greatest(count_if(dy < far), 1) AS ny FROM d JOIN k USING (point_id, m) GROUP BY 1, 2)
+ SELECT point_id, round(greatest({psi(_K)!r} + {psi(MEMBERS)!r} - avg({_PSI % 'nx'}) - avg({_PSI % 'ny'}), 0), 9) AS value FROM c GROUP BY 1""",
+    "reference_mi_binned": f"""WITH {_P}, g AS (SELECT min(v) AS lo, max(v) AS hi FROM e),
+ t AS (SELECT point_id, least(greatest(floor((a - lo) / (hi - lo) * 80), 0), 79) AS i, least(greatest(floor((b - lo) / (hi - lo) * 80), 0), 79) AS j FROM p, g),
+ c AS (SELECT point_id, i, j, count(*) AS c FROM t GROUP BY ALL), hi AS (SELECT point_id, sum(c * ln(c / {MEMBERS}.0)) AS h FROM (SELECT point_id, i, sum(c) AS c FROM c GROUP BY ALL) GROUP BY 1),
+ hj AS (SELECT point_id, sum(c * ln(c / {MEMBERS}.0)) AS h FROM (SELECT point_id, j, sum(c) AS c FROM c GROUP BY ALL) GROUP BY 1),
+ hh AS (SELECT point_id, sum(c * ln(c / {MEMBERS}.0)) AS h FROM c GROUP BY 1),
+ mi AS (SELECT point_id, (hh.h - hi.h - hj.h) / {MEMBERS}.0 AS mi FROM hi JOIN hj USING (point_id) JOIN hh USING (point_id))
+ SELECT point_id, round(mi, 9) AS value, round(sqrt(1 - exp(-2 * mi)), 9) AS coefficient FROM mi""",
+    "ensemble_mean_spread": f"WITH {_H} SELECT point_id, round(avg(v), 9) AS mean, round(stddev_samp(v), 9) AS spread, count(v) AS n FROM h GROUP BY 1",
+    "set_predicate": f"WITH {_H} SELECT point_id, count_if(v > 0)::BIGINT AS n, round(least(greatest((count_if(v > 0) - 20) / 20.0, 0), 1)::DOUBLE, 9) AS share FROM h GROUP BY 1",
+    "kl_binned": f"""WITH {_Z}, r AS (SELECT *, min(u) OVER w - 0.01::DOUBLE AS lo, max(u) OVER w + 0.01::DOUBLE AS hi FROM s WINDOW w AS (PARTITION BY point_id)),
+ b AS (SELECT point_id, lo, hi, least(greatest(floor((u - lo) / (hi - lo) * 80), 0), 79) AS b, count(*) / {MEMBERS}.0::DOUBLE AS p FROM r GROUP BY ALL)
+ SELECT point_id, round(sum(p * ln(p * 80 / (hi - lo) / (exp(-0.5 * (lo + (b + 0.5) * (hi - lo) / 80) ** 2) / sqrt(2 * pi())))), 9) AS kl FROM b GROUP BY 1""",
+    "kl_knn": f"""WITH {_Z}, d AS (SELECT x.point_id, x.m, x.u, abs(x.u - y.u) AS d FROM s x JOIN s y ON x.point_id = y.point_id AND x.m <> y.m
+ QUALIFY row_number() OVER (PARTITION BY x.point_id, x.m ORDER BY abs(x.u - y.u)) = 3)
+ SELECT point_id, round(greatest(-(avg(ln(d)) + {psi(MEMBERS)!r} - {psi(3)!r} + ln(2)) + 0.5 * ln(2 * pi()) + 0.5 * avg(u * u), 0), 9) AS kl FROM d GROUP BY 1""",
+    "field_minmax": f"WITH {_E} SELECT m::INT AS m, round(min(v), 9) AS low, round(max(v), 9) AS high FROM e GROUP BY 1",
+    "histogram": f"""WITH {_E}, g AS (SELECT min(v) AS lo, max(v) AS hi FROM e), c AS (SELECT least(greatest(floor((v - lo) / (hi - lo) * 50), 0), 49)::INT AS bin, count(*) AS n FROM e, g GROUP BY 1),
+ f AS (SELECT i::INT AS bin, coalesce(n, 0) AS n FROM range(50) t(i) LEFT JOIN c ON c.bin = i) SELECT bin, n, round(n / max(n) OVER ()::DOUBLE, 9) AS part FROM f""",
+    "block_means": f"WITH {_H} SELECT x // 3 AS bx, y // 3 AS by, z // 3 AS bz, m::INT AS m, round(avg(v), 9) AS value FROM h GROUP BY ALL",
+    "block_spread": f"""WITH {_E}, q AS (SELECT point_id, x, y, z, var_samp(v) AS s FROM e GROUP BY ALL)
+ SELECT x // 3 AS bx, y // 3 AS by, z // 3 AS bz, round(sqrt(avg(s)), 9) AS spread, count(*) AS n FROM q GROUP BY 1, 2, 3""",
+    "block_pairs": f"""WITH {_E}, b AS (SELECT (z // 3) * 1000000 + (y // 3) * 1000 + x // 3 AS id, m, avg(v) AS v FROM e GROUP BY 1, 2),
+ p AS (SELECT x.id AS i, y.id AS j, x.v AS a, y.v AS b FROM b x JOIN b y ON x.m = y.m AND x.id > y.id)
+ SELECT i, j, round({_CORR}, 9) AS value FROM p GROUP BY 1, 2 HAVING abs({_CORR}) >= 0.2""",
+    "windowed_correlation": """WITH s AS (SELECT event_type AS sidx, floor(epoch(ts) / 21600)::BIGINT AS t, avg(value) AS v FROM events GROUP BY 1, 2),
+ p AS (SELECT s.sidx, s.t, r.v AS a, s.v AS b FROM s JOIN s r ON r.t = s.t AND r.sidx = 'click'),
+ w AS (SELECT x.sidx, x.t, count(*) AS n, corr(y.a, y.b) AS c FROM p x JOIN p y ON y.sidx = x.sidx AND y.t BETWEEN x.t - 31 AND x.t GROUP BY 1, 2)
+ SELECT sidx, t, round(c, 9) AS value FROM w WHERE n = 32""",
+    "binary_operators": f"""WITH {_L} SELECT point_id, t::INT AS t, m, round(q + tax, 9) AS sum, round(q - tax, 9) AS difference, round(abs(q - tax), 9) AS absolute_difference,
+ round(q * tax, 9) AS product, round(greatest(q, tax), 9) AS maximum, round(least(q, tax), 9) AS minimum FROM l""",
+    "vorticity": f"""WITH {_E}, u AS (SELECT point_id, x, y, z, max(v) FILTER (m = 0) AS u, max(v) FILTER (m = 1) AS v, max(v) FILTER (m = 2) AS w FROM e GROUP BY ALL),
+ c AS (SELECT *, {_d('w', 'y')} - {_d('v', 'z')} AS cu, {_d('u', 'z')} - {_d('w', 'x')} AS cv, {_d('v', 'x')} - {_d('u', 'y')} AS cw FROM u)
+ SELECT point_id, round(cu, 9) AS cu, round(cv, 9) AS cv, round(cw, 9) AS cw, round(sqrt(u * u + v * v + w * w), 9) AS speed,
+ round(sqrt(cu * cu + cv * cv + cw * cw), 9) AS curl, round(u * cu + v * cv + w * cw, 9) AS helicity FROM c""",
+    "smoothed": f"""WITH {_H} SELECT a.point_id, a.m::INT AS m, round(sum(b.v * exp(-((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) / 2.0)) /
+ sum(exp(-((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) / 2.0)), 9) AS value
+ FROM h a JOIN h b ON a.m = b.m AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.z - b.z) <= 1 WHERE a.m % 16 = 5 AND b.v IS NOT NULL GROUP BY 1, 2""",
+    "variable_matrix": " UNION ALL ".join(
+        f"SELECT '{a}' AS a, '{b}' AS b, round(corr(l_{a}, l_{b}), 9) AS value FROM lineitem"
+        for a, b in (("extendedprice", "quantity"), ("discount", "quantity"), ("discount", "extendedprice"), ("tax", "quantity"), ("tax", "extendedprice"), ("tax", "discount"))
+    ),
+    "variables_at_points": f"WITH {_L}, p AS (SELECT point_id, t::INT AS t, q AS a, e AS b FROM l) SELECT point_id, t, round({_CORR}, 9) AS value FROM p GROUP BY 1, 2 HAVING count(*) >= 3",
+    "sphere": f"WITH {_E} SELECT point_id, round(v, 9) AS value FROM e WHERE m = 0 AND sqrt((x - 4) ** 2 + (y - 4) ** 2 + (z - 2) ** 2) <= 3",
+    "cube": f"WITH {_E} SELECT point_id, round(v, 9) AS value FROM e WHERE m = 0 AND greatest(abs(x - 4), abs(y - 4), abs(z - 2)) <= 2",
+    "inner_points": f"WITH {_E} SELECT point_id, round(v, 9) AS value FROM e WHERE m = 0 AND x BETWEEN 1 AND 8 AND y BETWEEN 1 AND 8 AND z BETWEEN 1 AND 3",
+    "crossing_cells": f"""WITH {_E}, o AS (SELECT i, j, k FROM range(2) a(i), range(2) b(j), range(2) c(k))
+ SELECT x - i AS x, y - j AS y, z - k AS z FROM e, o WHERE m = 0 GROUP BY 1, 2, 3 HAVING count(*) = 8 AND min(v) < 0.1::DOUBLE AND max(v) >= 0.1::DOUBLE""",
+    "cluster_cores": """WITH p AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS px, embedding[2]::DOUBLE AS py FROM embeddings),
+ g AS (SELECT 0.05::DOUBLE * sqrt((max(px) - min(px)) ** 2 + (max(py) - min(py)) ** 2) AS eps FROM p)
+ SELECT a.id, count(*) AS n, count(*) >= 8 AS core FROM p a, p b, g WHERE sqrt((a.px - b.px) * (a.px - b.px) + (a.py - b.py) * (a.py - b.py)) <= eps GROUP BY 1""",
+    "transfer_function": f"WITH {_F} SELECT point_id, j, round(f, 9) AS f, round(j / 7.0::DOUBLE * (1 - f) + (j + 1) / 7.0::DOUBLE * f, 9) AS red FROM w",
+    "normal_equations": f"""WITH {_F} SELECT i, j, round(sum(w), 9) AS ata FROM (SELECT j AS i, j, (1 - f) * (1 - f) AS w FROM w UNION ALL SELECT j + 1, j + 1, f * f FROM w
+ UNION ALL SELECT j + 1, j, f * (1 - f) FROM w UNION ALL SELECT j, -1, (1 - f) * v * v FROM w UNION ALL SELECT j + 1, -1, f * v * v FROM w) GROUP BY 1, 2""",
+}
