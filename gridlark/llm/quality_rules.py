@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, words
+from .common import WORD, words, written
 
 # The characters of n_symbols, those of the punctuation rule,
 # and phrases of boilerplate lines.
@@ -164,5 +164,8 @@ def judged(
 
 def stage(docs: DataFrame) -> DataFrame:
     """Kept documents with their failing lines removed, in the columns of docs."""
-    df = judged(docs).filter("kept")
+    # Written before it is filtered: Catalyst would copy the definitions behind
+    # ``kept`` into the filter, and evaluate them again for every word.
+    rest = [F.col("row")[c].alias(c) for c in docs.columns if c != "text"]
+    df = written(judged(docs).select(F.struct(*rest).alias("row"), "clean_text", "kept"), "judged").filter("kept")
     return df.select(*[(F.col("clean_text") if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])
