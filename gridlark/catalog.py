@@ -75,20 +75,16 @@ def cluster_cores(spark, sf):
     return found.withColumn("core", F.col("n") >= 8)
 
 
-def _first(spark, sf):
-    return embedding_field(spark, sf).filter("m = 0")
-
-
 def transfer_function(spark, sf):
-    df = _first(spark, sf)
+    df = embedding_field(spark, sf)
     df = grid.transfer_weights(df, *_bounds(df), 8)
     entry = lambda j: j / 7.0
     red = entry(F.col("j")) * (1 - F.col("f")) + entry(F.col("j") + 1) * F.col("f")
-    return rounded(df.select("point_id", "j", "f", red.alias("red")))
+    return rounded(df.select("point_id", "m", "j", "f", red.alias("red")))
 
 
 def normal_equations(spark, sf):
-    df = _first(spark, sf)
+    df = embedding_field(spark, sf)
     df = grid.transfer_weights(df, *_bounds(df), 8)
     return rounded(grid.normal_equations(df, F.col("value") * F.col("value")))
 
@@ -111,13 +107,13 @@ QUERIES = {
     "windowed_correlation": lambda s, d: rounded(dependence.windowed(event_series(s, d), "click", 32)),
     "binary_operators": binary_operators,
     "vorticity": vorticity,
-    "smoothed": lambda s, d: rounded(grid.smoothed(holes(embedding_field(s, d)).filter("m % 16 = 5"))),
+    "smoothed": lambda s, d: rounded(grid.smoothed(holes(embedding_field(s, d)))),
     "variable_matrix": variable_matrix,
     "variables_at_points": variables_at_points,
-    "sphere": lambda s, d: rounded(grid.sphere(_first(s, d), (4, 4, 2), 3.0).select("point_id", "value")),
-    "cube": lambda s, d: rounded(grid.cube(_first(s, d), (4, 4, 2), 2).select("point_id", "value")),
-    "inner_points": lambda s, d: rounded(grid.inner(_first(s, d), (10, 10, 5), 1).select("point_id", "value")),
-    "crossing_cells": lambda s, d: grid.crossing_cells(_first(s, d), 0.1),
+    "sphere": lambda s, d: rounded(grid.sphere(embedding_field(s, d), (4, 4, 2), 3.0).select("point_id", "m", "value")),
+    "cube": lambda s, d: rounded(grid.cube(embedding_field(s, d), (4, 4, 2), 2).select("point_id", "m", "value")),
+    "inner_points": lambda s, d: rounded(grid.inner(embedding_field(s, d), (10, 10, 5), 1).select("point_id", "m", "value")),
+    "crossing_cells": lambda s, d: grid.crossing_cells(embedding_field(s, d), 0.1),
     "cluster_cores": cluster_cores,
     "transfer_function": transfer_function,
     "normal_equations": normal_equations,
@@ -133,8 +129,8 @@ _CORR = "covar_samp(a, b) / nullif(stddev_samp(a) * stddev_samp(b), 0)"
 _Z = _E + """, s AS (SELECT point_id, m, (v - avg(v) OVER w) / stddev_pop(v) OVER w AS u, count(*) OVER w AS n FROM e WINDOW w AS (PARTITION BY point_id))"""
 _K = default_k(MEMBERS)
 _PSI = f"({-EULER!r} + coalesce(list_sum([1.0::DOUBLE / i FOR i IN range(1, %s::BIGINT)]), 0))"
-_F = _E + """, g AS (SELECT min(v) AS lo, max(v) AS hi FROM e WHERE m = 0), tf AS (SELECT point_id, v, (v - lo) / (hi - lo) * 7 AS u FROM e, g WHERE m = 0),
- w AS (SELECT point_id, v, least(floor(u), 6)::INT AS j, u - least(floor(u), 6) AS f FROM tf)"""
+_F = _E + """, g AS (SELECT min(v) AS lo, max(v) AS hi FROM e), tf AS (SELECT point_id, m, v, (v - lo) / (hi - lo) * 7 AS u FROM e, g),
+ w AS (SELECT point_id, m::INT AS m, v, least(floor(u), 6)::INT AS j, u - least(floor(u), 6) AS f FROM tf)"""
 
 
 def _d(c: str, axis: str) -> str:
@@ -192,21 +188,21 @@ ORACLE_SQL = {
  round(sqrt(cu * cu + cv * cv + cw * cw), 9) AS curl, round(u * cu + v * cv + w * cw, 9) AS helicity FROM c""",
     "smoothed": f"""WITH {_H} SELECT a.point_id, a.m::INT AS m, round(sum(b.v * exp(-((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) / 2.0)) /
  sum(exp(-((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) / 2.0)), 9) AS value
- FROM h a JOIN h b ON a.m = b.m AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.z - b.z) <= 1 WHERE a.m % 16 = 5 AND b.v IS NOT NULL GROUP BY 1, 2""",
+ FROM h a JOIN h b ON a.m = b.m AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.z - b.z) <= 1 WHERE b.v IS NOT NULL GROUP BY 1, 2""",
     "variable_matrix": " UNION ALL ".join(
         f"SELECT '{a}' AS a, '{b}' AS b, round(corr(l_{a}, l_{b}), 9) AS value FROM lineitem"
         for a, b in (("extendedprice", "quantity"), ("discount", "quantity"), ("discount", "extendedprice"), ("tax", "quantity"), ("tax", "extendedprice"), ("tax", "discount"))
     ),
     "variables_at_points": f"WITH {_L}, p AS (SELECT point_id, t::INT AS t, q AS a, e AS b FROM l) SELECT point_id, t, round({_CORR}, 9) AS value FROM p GROUP BY 1, 2 HAVING count(*) >= 3",
-    "sphere": f"WITH {_E} SELECT point_id, round(v, 9) AS value FROM e WHERE m = 0 AND sqrt((x - 4) ** 2 + (y - 4) ** 2 + (z - 2) ** 2) <= 3",
-    "cube": f"WITH {_E} SELECT point_id, round(v, 9) AS value FROM e WHERE m = 0 AND greatest(abs(x - 4), abs(y - 4), abs(z - 2)) <= 2",
-    "inner_points": f"WITH {_E} SELECT point_id, round(v, 9) AS value FROM e WHERE m = 0 AND x BETWEEN 1 AND 8 AND y BETWEEN 1 AND 8 AND z BETWEEN 1 AND 3",
+    "sphere": f"WITH {_E} SELECT point_id, m::INT AS m, round(v, 9) AS value FROM e WHERE sqrt((x - 4) ** 2 + (y - 4) ** 2 + (z - 2) ** 2) <= 3",
+    "cube": f"WITH {_E} SELECT point_id, m::INT AS m, round(v, 9) AS value FROM e WHERE greatest(abs(x - 4), abs(y - 4), abs(z - 2)) <= 2",
+    "inner_points": f"WITH {_E} SELECT point_id, m::INT AS m, round(v, 9) AS value FROM e WHERE x BETWEEN 1 AND 8 AND y BETWEEN 1 AND 8 AND z BETWEEN 1 AND 3",
     "crossing_cells": f"""WITH {_E}, o AS (SELECT i, j, k FROM range(2) a(i), range(2) b(j), range(2) c(k))
- SELECT x - i AS x, y - j AS y, z - k AS z FROM e, o WHERE m = 0 GROUP BY 1, 2, 3 HAVING count(*) = 8 AND min(v) < 0.1::DOUBLE AND max(v) >= 0.1::DOUBLE""",
+ SELECT m::INT AS m, x - i AS x, y - j AS y, z - k AS z FROM e, o GROUP BY 1, 2, 3, 4 HAVING count(*) = 8 AND min(v) < 0.1::DOUBLE AND max(v) >= 0.1::DOUBLE""",
     "cluster_cores": """WITH p AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS px, embedding[2]::DOUBLE AS py FROM embeddings),
  g AS (SELECT 0.05::DOUBLE * sqrt((max(px) - min(px)) ** 2 + (max(py) - min(py)) ** 2) AS eps FROM p)
  SELECT a.id, count(*) AS n, count(*) >= 8 AS core FROM p a, p b, g WHERE sqrt((a.px - b.px) * (a.px - b.px) + (a.py - b.py) * (a.py - b.py)) <= eps GROUP BY 1""",
-    "transfer_function": f"WITH {_F} SELECT point_id, j, round(f, 9) AS f, round(j / 7.0::DOUBLE * (1 - f) + (j + 1) / 7.0::DOUBLE * f, 9) AS red FROM w",
+    "transfer_function": f"WITH {_F} SELECT point_id, m, j, round(f, 9) AS f, round(j / 7.0::DOUBLE * (1 - f) + (j + 1) / 7.0::DOUBLE * f, 9) AS red FROM w",
     "normal_equations": f"""WITH {_F} SELECT i, j, round(sum(w), 9) AS ata FROM (SELECT j AS i, j, (1 - f) * (1 - f) AS w FROM w UNION ALL SELECT j + 1, j + 1, f * f FROM w
  UNION ALL SELECT j + 1, j, f * (1 - f) FROM w UNION ALL SELECT j, -1, (1 - f) * v * v FROM w UNION ALL SELECT j + 1, -1, f * v * v FROM w) GROUP BY 1, 2""",
 }

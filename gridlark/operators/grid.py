@@ -71,12 +71,12 @@ def inner(df: DataFrame, sizes: tuple, radius: int) -> DataFrame:
 
 
 def crossing_cells(df: DataFrame, iso: float) -> DataFrame:
-    """Cells of eight corners whose values lie on both sides of ``iso``."""
+    """Cells of eight corners whose values lie on both sides of ``iso``, for each member."""
     corners = F.array(*[F.struct(*[F.lit(v).alias(a) for v, a in zip((i, j, k), "xyz")]) for i in (0, 1) for j in (0, 1) for k in (0, 1)])
-    given = df.select("value", "x", "y", "z", F.explode(corners).alias("c"))
+    given = df.select("m", "value", "x", "y", "z", F.explode(corners).alias("c"))
     at = [(F.col(a) - F.col(f"c.{a}")).alias(a) for a in "xyz"]
-    cells = given.groupBy(*at).agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("n"))
-    return cells.filter((F.col("n") == 8) & (F.col("low") < iso) & (F.col("high") >= iso)).select("x", "y", "z")
+    cells = given.groupBy("m", *at).agg(F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("n"))
+    return cells.filter((F.col("n") == 8) & (F.col("low") < iso) & (F.col("high") >= iso)).select("m", "x", "y", "z")
 
 
 def neighbours(points: DataFrame, eps: float) -> DataFrame:
