@@ -1,5 +1,56 @@
-"""DuckDB SQL for the queries of this subpackage that SQL can express."""
+"""DuckDB SQL for the queries of this subpackage that SQL can express.
+
+Written from the rules alone: strings stand where the operators compare
+hashes, and windows are joined as rows. The other operators draw from Spark's
+hashes, count the ids of a tokenizer or train a model, which SQL can't.
+"""
 
 from __future__ import annotations
 
-ORACLE_SQL: dict[str, str] = {}
+from .common import WORD
+from .quality_rules import BOILERPLATE, MARKS, SEPARATORS, SYMBOLS, character_class
+
+
+def _count(text: str, marks: str) -> str:
+    return f"(length({text}) - length(regexp_replace({text}, '{character_class(marks)}', '', 'g')))"
+
+
+_PHRASE = "(?i)(" + "|".join(BOILERPLATE) + ")"
+_FAILS = f"""({_count('x', MARKS)} * 100 > length(x) * 10 OR ({_count('x', SEPARATORS)} >= 3 AND length(x) < {_count('x', SEPARATORS)} * 40)
+ OR (length(x) <= 200 AND regexp_matches(x, '{_PHRASE}')))"""
+
+_QUALITY = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS body FROM documents),
+ w AS (SELECT *, regexp_extract_all(body, '{WORD}') AS words, [x FOR x IN string_split(body, chr(10)) IF regexp_matches(x, '{WORD}')] AS lines FROM d),
+ g AS (SELECT rid, i, array_to_string(words[i:i + 4], ' ') AS gram FROM (SELECT rid, words, unnest(range(1, len(words) - 3)) AS i FROM w)),
+ r AS (SELECT rid, i FROM g QUALIFY count(*) OVER (PARTITION BY rid, gram) > 1),
+ c AS (SELECT rid, count(DISTINCT i + k) AS n FROM r, range(5) o(k) GROUP BY rid),
+ s AS (SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, {_count('body', SYMBOLS)} AS n_symbols,
+ len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words,
+ length(regexp_replace(array_to_string([x FOR x IN lines IF NOT {_FAILS}], ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS stay FROM w LEFT JOIN c USING (rid)),
+ f AS (SELECT *, n_words < 10 OR n_repeat_words * 100 > n_words * 20 AS base_failed,
+ CASE WHEN word_chars > 0 THEN 1 - stay::DOUBLE / word_chars ELSE 0::DOUBLE END AS part FROM s)
+ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+ n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND part <= 0.5 AS kept, round(part, 6) AS lost FROM f"""
+
+_LINES = f"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
+ e AS (SELECT doc_id, unnest(range(len(parts))) AS pos, unnest(parts) AS line FROM d),
+ t AS (SELECT doc_id, pos, [CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END FOR x IN regexp_extract_all(line, '{WORD}')] AS tokens FROM e
+ WHERE regexp_matches(line, '{WORD}')),
+ l AS (SELECT doc_id, pos, tokens, array_to_string(tokens, ' ') AS line, len(tokens) || ' ' || array_to_string(tokens[1:3], ' ') AS leaf FROM t),
+ p AS (SELECT leaf, line, any_value(tokens) AS tokens, count(DISTINCT doc_id) AS n, min({{'doc_id': doc_id, 'pos': pos}}) AS first FROM l GROUP BY leaf, line),
+ b AS (SELECT leaf, sum(n) AS docs FROM p WHERE n < 10 GROUP BY leaf HAVING sum(n) >= 10 AND count(*) > 1),
+ q AS (SELECT leaf, line, n, docs, first, unnest(range(len(tokens))) AS place, unnest(tokens) AS token FROM p JOIN b USING (leaf) WHERE n < 10),
+ k AS (SELECT leaf, place, token FROM q GROUP BY leaf, place, token HAVING sum(n) > any_value(docs) * 0.5::DOUBLE),
+ o AS (SELECT q.leaf, q.line, any_value(n) AS n, any_value(first) AS first, count(*) AS size, count(*) FILTER (k.token <> '<*>') AS held,
+ string_agg(coalesce(k.token, '<*>'), ' ' ORDER BY q.place) AS template FROM q LEFT JOIN k ON k.leaf = q.leaf AND k.place = q.place AND k.token = q.token
+ GROUP BY q.leaf, q.line),
+ h AS (SELECT leaf, template, min(first) AS first FROM o WHERE held >= size * 0.7::DOUBLE GROUP BY leaf, template HAVING sum(n) >= 10),
+ z AS (SELECT line, first FROM p WHERE n >= 10 UNION ALL
+ SELECT o.line, h.first FROM o JOIN h ON h.leaf = o.leaf AND h.template = o.template WHERE held >= size * 0.7::DOUBLE),
+ x AS (SELECT doc_id, list(DISTINCT pos) AS gone FROM l JOIN z USING (line) WHERE (doc_id, pos) <> (z.first.doc_id, z.first.pos) GROUP BY doc_id)
+ SELECT documents.doc_id, CASE WHEN gone IS NULL THEN text ELSE
+ array_to_string([d.parts[i + 1] FOR i IN range(len(d.parts)) IF NOT list_contains(gone, i)], chr(10)) END AS text,
+ coalesce(len([y FOR y IN d.parts IF regexp_matches(y, '{WORD}')]), 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_dropped
+ FROM documents JOIN d USING (doc_id) LEFT JOIN x USING (doc_id)"""
+
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": _LINES, "op4_quality_rules": _QUALITY}

@@ -43,14 +43,14 @@ BOILERPLATE = (
 )
 
 
-def _class(marks: str) -> str:
+def character_class(marks: str) -> str:
     return "[" + "".join("\\" + x if x in "[]^\\&-" else x for x in marks) + "]"
 
 
 def _count_of(text: Column, marks: str) -> Column:
     """How many characters of text are marks; most texts have none and are only scanned."""
-    left = F.regexp_replace(text, _class(marks), "")
-    return F.when(text.rlike(_class(marks)), F.length(text) - F.length(left)).otherwise(0)
+    left = F.regexp_replace(text, character_class(marks), "")
+    return F.when(text.rlike(character_class(marks)), F.length(text) - F.length(left)).otherwise(0)
 
 
 def line_fails(line: Column, max_marks: int = 10, max_separators: int = 3, max_item_chars: int = 40) -> Column:
