@@ -7,8 +7,9 @@ hashes, count the ids of a tokenizer or train a model, which SQL can't.
 
 from __future__ import annotations
 
-from .common import WORD
+from .common import LOWER, UPPER, WORD
 from .quality_rules import BOILERPLATE, MARKS, SEPARATORS, SYMBOLS, character_class
+from .url_filters import BLOCKED_HOSTS, RULES
 
 
 def _count(text: str, marks: str) -> str:
@@ -53,4 +54,15 @@ _LINES = f"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM
  coalesce(len([y FOR y IN d.parts IF regexp_matches(y, '{WORD}')]), 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_dropped
  FROM documents JOIN d USING (doc_id) LEFT JOIN x USING (doc_id)"""
 
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": _LINES, "op4_quality_rules": _QUALITY}
+_URLS = f"""WITH b AS (SELECT unnest({list(BLOCKED_HOSTS)!r}) AS blocked),
+ r AS (SELECT * FROM (VALUES {', '.join(map(repr, RULES))}) v(h, p, verdict)),
+ u AS (SELECT row_number() OVER () AS rid, page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+ s AS (SELECT rid, page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host,
+ regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u),
+ f AS (SELECT rid, h || p AS rule, verdict FROM s JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+ QUALIFY row_number() OVER (PARTITION BY rid ORDER BY length(h) + length(p) DESC, length(h) DESC) = 1),
+ k AS (SELECT DISTINCT rid FROM s JOIN b ON host = blocked OR ends_with(host, '.' || blocked))
+ SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN k.rid IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+ FROM s LEFT JOIN f USING (rid) LEFT JOIN k ON k.rid = s.rid"""
+
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": _LINES, "op4_quality_rules": _QUALITY, "op8_url_filters": _URLS}

@@ -18,7 +18,8 @@ def test_matches_duckdb(spark, name):
     cols = sorted(df.columns)
     got = sorted((tuple(r[c] for c in cols) for r in df.collect()), key=str)
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     res = con.execute(ORACLE_SQL[name])
     names = [d[0] for d in res.description]
     assert sorted(names) == cols
