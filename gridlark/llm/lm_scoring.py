@@ -2,11 +2,16 @@
 
 Training texts are counted once: byte windows for the trie of prediction by
 partial matching, and words for a unigram baseline. Counts are added up in
-each task and again by Spark. The trie keeps the nodes of the largest counts
-up to a bound; the count that reaches it is read off a histogram, so parents,
-which never count less, stay too. The most frequent words, up to a bound as
-well, are looked up in the tasks; all others meet their counts in a join,
-and none of them is frequent enough to be a hot key.
+each task and again by Spark. The whole trie stays a Spark table. What a
+window costs depends on the trie alone, so every distinct window of the
+corpus is costed once: nodes of three context bytes or more are dealt by the
+last three of them, where they meet the windows that ask them; those of fewer
+context bytes are in every task (256 ** 3 at the most, in any corpus).
+
+The most frequent windows and words, up to a bound each, are looked up in the
+tasks; all others meet their costs and counts in a join, and none of them is
+frequent enough to be a hot key. The bounds decide what is looked up where,
+not what is known.
 """
 
 from __future__ import annotations
@@ -21,13 +26,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-from .ppm import ORDER, Model, grams
+from .common import slots, written
+from .ppm import ORDER, Model, Table, grams
 from .shingles import WordHashes, word_list
 
 MOST_NODES, MOST_WORDS = 1_500_000, 200_000
-#: Kind of a count: a word (by hash), the texts, or the windows of one order.
-WORDS, TEXTS, NODES = -1, -2, 0
+#: Nodes of fewer context bytes are in every task, the others are dealt by so many of them.
+DEALT = 3
+#: Kind of a count: a word (by hash), the texts, the windows of held out texts, or those learnt (ORDER).
+WORDS, TEXTS, HELD = -1, -2, ORDER + 1
 
 
 def _bytes(text: str | None) -> bytes:
@@ -66,14 +73,17 @@ class _Counts:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts to counts of words, of texts, and of byte windows of full length."""
-    hashes, words, windows, texts = WordHashes(), _Counts(WORDS), _Counts(ORDER), 0
+    """(held_out, text) to counts of byte windows of full length, and of the words and texts that are learnt."""
+    hashes, words, windows, held, texts = WordHashes(), _Counts(WORDS), _Counts(ORDER), _Counts(HELD), 0
     for batch in batches:
-        texts += batch.num_rows
         for k in range(0, batch.num_rows, 500):
-            part = batch.column(0).slice(k, 500).to_pylist()
+            rows = list(zip(*(c.to_pylist() for c in batch.slice(k, 500).columns)))
+            part = [text for out, text in rows if not out]
+            texts += len(part)
             for found, _ in grams(map(_bytes, part)):
                 yield from windows.add(found)
+            for found, _ in grams(_bytes(text) for out, text in rows if out):
+                yield from held.add(found)
             for text in part:
                 found = word_list(text)
                 if found:
@@ -84,6 +94,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield from words.out()
     yield from words.out()
     yield from windows.out()
+    yield from held.out()
     if texts:
         yield pa.RecordBatch.from_arrays([pa.array([TEXTS], pa.int32()), pa.array([0], pa.int64()), pa.array([texts], pa.int64())], names=["kind", "key", "n"])
 
@@ -111,31 +122,70 @@ def _arrays(df: DataFrame) -> list[np.ndarray]:
     return [c.to_numpy() for c in found.columns]
 
 
-_MODELS: dict[str, Model] = {}
+def _costed(low):
+    """Nodes (order, value, n, met) that were dealt by context to the costs of their windows of full length."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[c.to_numpy() for c in batch.columns] for batch in batches if batch.num_rows]
+        if not parts:
+            return
+        orders, values, counts, met = map(np.concatenate, zip(*parts))
+        learnt, full = counts > 0, orders == ORDER
+        model = Model(*(np.concatenate((a, b[learnt])) for a, b in zip(low.value, (orders, values, counts))))
+        keys, met = values[full], met[full]
+        for k in range(0, len(keys), 100_000):
+            part = keys[k : k + 100_000]
+            cols = [pa.array(part), pa.array(met[k : k + 100_000]), pa.array(model.costs(part.astype(np.uint64)))]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "n", "cost"])
+
+    return run
+
+
+_TABLES: dict[str, Table] = {}
 
 
-def _model(key: str, trie: list[np.ndarray]) -> Model:
-    """The model of a job, built once in each Python worker."""
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = Model(*trie)
-    return _MODELS[key]
+def _table(key: str, keys: np.ndarray) -> Table:
+    """The looked up windows of a job, put in a table once in each Python worker."""
+    if key not in _TABLES:
+        _TABLES.clear()
+        _TABLES[key] = Table(keys.astype(np.uint64))
+    return _TABLES[key]
+
+
+def _looked_up(texts: list[bytes], table: Table, cost: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The summed costs of each text's windows in the table; of the others, cuts by text, windows and times."""
+    score, owners, others = np.zeros(len(texts)), [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for windows, owner in grams(texts):
+        at = table.find(windows)
+        first, miss = owner[0], at < 0
+        part = np.bincount(owner - first, cost[at])
+        score[first : first + len(part)] += part
+        owners.append(owner[miss])
+        others.append(windows[miss])
+    owners, others = np.concatenate(owners), np.concatenate(others)
+    order = np.lexsort((others, owners))
+    owners, others = owners[order], others[order]
+    new = np.flatnonzero(np.r_[True, (owners[1:] != owners[:-1]) | (others[1:] != others[:-1])][: len(owners)])
+    times = np.diff(np.r_[new, len(owners)])
+    return score, [np.searchsorted(owners[new], np.arange(len(texts) + 1)), others[new].view(np.int64), times]
 
 
 def _scored(key: str, shared, total: int, distinct: int, ends: int):
-    """(doc_id, held_out, text) to the scores of a row, and its words that aren't in the table."""
+    """(doc_id, held_out, text) to the scores of a row, and its windows and words that aren't in the tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, (known, counts) = shared.value
-        model, hashes = _model(key, trie), WordHashes()
+        (windows, costs), (known, counts) = shared.value
+        # the last place, 0, is that of windows that aren't in the table
+        table, costs, hashes = _table(key, windows), np.append(costs, 0.0), WordHashes()
         row = TaskContext.get().partitionId() << 40
         cost = np.log10((counts + 0.5) / (total + 0.5 * (distinct + 1)))
         end = math.log10((ends + 0.5) / (total + 0.5 * (distinct + 1)))
+        lists = lambda cuts, x, t: pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(x.astype(t)))
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
                 texts = part.column(2).to_pylist()
-                score = model.scores([_bytes(t) for t in texts])
+                score, (edges, others, often) = _looked_up([_bytes(t) for t in texts], table, costs)
                 rows, tails, times, cuts = [], [], [], [0]
                 for text in texts:
                     found = word_list(text)
@@ -148,7 +198,6 @@ def _scored(key: str, shared, total: int, distinct: int, ends: int):
                     times.append(n[~hit])
                     cuts.append(cuts[-1] + len(tails[-1]))
                 cols = list(zip(*rows))
-                lists = lambda x, t: pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(x).astype(t)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(cols[0], pa.int64()),
@@ -158,15 +207,23 @@ def _scored(key: str, shared, total: int, distinct: int, ends: int):
                         pa.array(cols[2], pa.int64()),
                         pa.array(cols[3], pa.float64()),
                         pa.array(score),
-                        lists(tails, np.int64),
-                        lists(times, np.int32),
+                        lists(cuts, np.concatenate(tails), np.int64),
+                        lists(cuts, np.concatenate(times), np.int32),
+                        lists(edges, others, np.int64),
+                        lists(edges, often, np.int32),
                     ],
-                    names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail", "times"],
+                    names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "tail", "times", "windows", "often"],
                 )
 
     return run
 
 
+def _tail(rows: DataFrame, keys: str, times: str) -> DataFrame:
+    """(row, key, times) of what a row didn't find in the tasks."""
+    w = rows.select("row", F.explode(F.arrays_zip(keys, times)).alias("w"))
+    return w.select("row", F.col("w")[keys].alias("key"), F.col("w")[times].alias("times"))
+
+
 def scored(docs: DataFrame, folds: int = 5, held_out: int = 1, most_nodes: int = MOST_NODES, most_words: int = MOST_WORDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of docs.
 
@@ -175,40 +232,50 @@ def scored(docs: DataFrame, folds: int = 5, held_out: int = 1, most_nodes: int =
     its end alone: n_tokens 1, and a score like others. Repeated rows count
     as often as they come. With nothing to learn from, every byte costs the
     same and train_tokens is 0; an empty table gives an empty table. Words are
-    told apart by 64-bit hashes.
+    told apart by 64-bit hashes. ``most_nodes`` and ``most_words`` bound what
+    is looked up in the tasks, and change no result.
     """
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % folds
     docs = docs.select(F.col("doc_id").cast("long"), (fold == held_out).alias("held_out"), F.col("text").cast("string"))
-    counts = docs.filter(~F.col("held_out")).select("text").mapInArrow(_counted, "kind int, key long, n long")
+    counts = docs.select("held_out", "text").mapInArrow(_counted, "kind int, key long, n long")
     counts = written(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     words = counts.filter(F.col("kind") == WORDS)
     sums = {r["kind"]: (r["n"], r["k"]) for r in counts.filter("kind < 0").groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect()}
     ends = sums.get(TEXTS, (0, 0))[0]
     total = sums.get(WORDS, (0, 0))[0] + ends
     distinct = sums.get(WORDS, (0, 0))[1] + (ends > 0)
-    orders = F.explode(
-        F.array(*[F.struct(F.lit(k).alias("order"), F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("value")) for k in range(ORDER + 1)])
-    )
-    nodes = counts.filter(F.col("kind") == ORDER).select(orders.alias("node"), "n")
-    nodes = written(nodes.groupBy("node.order", "node.value").agg(F.sum("n").alias("n")), "nodes")
-    trie = _arrays(_within(nodes, most_nodes).select("order", "value", "n"))
+    node = lambda k: F.struct(F.lit(k).alias("order"), F.col("key").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("value"))
+    learnt = F.col("kind") == ORDER
+    orders = F.explode(F.when(learnt, F.array(*[node(k) for k in range(ORDER + 1)])).otherwise(F.array(node(ORDER))))
+    nodes = counts.filter("kind >= 0").select(orders.alias("node"), F.when(learnt, F.col("n")).otherwise(0).alias("n"), F.col("n").alias("met"))
+    # windows of held out texts that weren't learnt have n = 0: they are costed, but no nodes
+    nodes = written(nodes.groupBy("node.order", "node.value").agg(F.sum("n").alias("n"), F.sum("met").alias("met")), "nodes")
+    context = F.shiftright("value", 8).bitwiseAND(F.lit((1 << 8 * DEALT) - 1))
+    # fewer than 256 ** DEALT nodes, and a few ten thousand in texts
+    low = docs.sparkSession.sparkContext.broadcast(_arrays(nodes.filter(F.col("order") < DEALT).select("order", "value", "n")))
+    costs = nodes.filter(F.col("order") >= DEALT).repartition(slots(docs), context).mapInArrow(_costed(low), "key long, n long, cost double")
+    costs = written(costs, "costs")
+    table = _arrays(_within(costs, most_nodes).select("key", "cost"))
     known, often = _arrays(_within(words, most_words).select("key", "n"))
     known = known.view(np.uint64)
     order = np.argsort(known)
     # both tables are bounded by most_nodes and most_words
-    shared = docs.sparkSession.sparkContext.broadcast((trie, (known[order], often[order].astype(float))))
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<long>, times array<int>"
+    shared = docs.sparkSession.sparkContext.broadcast((table, (known[order], often[order].astype(float))))
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, tail array<long>, times array<int>, windows array<long>, often array<int>"
     rows = written(docs.mapInArrow(_scored(uuid.uuid4().hex, shared, total, distinct, ends), schema), "rows")
-    tail = rows.select("row", F.explode(F.arrays_zip("tail", "times")).alias("w")).select("row", F.col("w.tail").alias("key"), F.col("w.times").alias("times"))
+    rest = _tail(rows, "windows", "often").join(costs.select("key", "cost"), "key")
+    rest = rest.groupBy("row").agg(F.sum(F.col("times") * F.col("cost")).alias("rest"))
+    tail = _tail(rows, "tail", "times")
     tail = tail.join(words.select("key", "n"), "key", "left")
     cost = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(total + 0.5 * (distinct + 1)))
     tail = tail.groupBy("row").agg(F.sum(F.col("times") * cost).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("met"))
-    return rows.drop("tail", "times").join(tail, "row", "left").select(
+    rows = rows.drop("tail", "times", "windows", "often").join(tail, "row", "left").join(rest, "row", "left")
+    return rows.select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("met", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("rest", F.lit(0.0))).alias("score"),
     )

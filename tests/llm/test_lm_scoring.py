@@ -104,6 +104,18 @@ def test_score_is_that_of_the_trie(spark):
     assert all(r.score == pytest.approx(brute.score(dict(rows)[r.doc_id].encode())) for r in got)
 
 
+@pytest.mark.parametrize("most", [0, 20])
+def test_nothing_of_the_trie_is_left_out(spark, most):
+    rng = np.random.default_rng(3)
+    rows = [(k, "".join(chr(c) for c in rng.choice([97, 98, 99, 100, 32, 228], 30))) for k in range(60)] + [(61, None), (62, "")]
+    train = [(t or "").encode() for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    brute = Brute(train)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = lm_scoring.scored(df, most_nodes=most).collect()
+    assert len(got) == len(rows) and any(r.held_out for r in got)
+    assert all(r.score == pytest.approx(brute.score((dict(rows)[r.doc_id] or "").encode())) for r in got)
+
+
 def test_nothing_to_learn_from(spark, no_docs):
     assert lm_scoring.scored(no_docs).collect() == []
     one = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
