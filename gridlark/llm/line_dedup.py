@@ -6,7 +6,10 @@ everywhere. In a leaf, a line's template is the line with its variable fields
 open; where single lines of a busy leaf are rare, the positions at which the
 leaf's lines differ are opened too, as long as most of the template stays
 fixed. Templates that recur in ``min_docs`` documents or more are dropped
-from all documents but the first (the smallest doc_id).
+from all documents but the first (the smallest doc_id). ``long_docs`` sets
+another least number of documents for lines of over ``LONG`` words, which
+don't recur by chance; it holds for lines that are equal but for their
+variable fields.
 
 Only hashes are shuffled for counting, added up before the shuffle; texts
 move once, to meet the numbers of the lines they lose.
@@ -21,6 +24,8 @@ from .common import WORD, few_rows, words, written
 
 VARIABLE = "(?<![^\\x20\\x09-\\x0D])[^\\x20\\x09-\\x0D0-9]*+[0-9][^\\x20\\x09-\\x0D]*+"
 OPEN = "<*>"
+#: A line of more words is long.
+LONG = 50
 
 
 def masked(line: Column) -> Column:
@@ -48,7 +53,7 @@ def _first() -> Column:
     return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "pos")).alias("first")
 
 
-def templates(docs: DataFrame, min_docs: int, depth: int, share: float, fixed: float) -> tuple[DataFrame, DataFrame]:
+def templates(docs: DataFrame, min_docs: int, depth: int, share: float, fixed: float, long_docs: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The lines of docs, and the recurring templates (line, template, first) to drop by.
 
     A line is counted once for each document. ``share`` is the part of a
@@ -56,10 +61,11 @@ def templates(docs: DataFrame, min_docs: int, depth: int, share: float, fixed: f
     ``fixed`` the part of a template that must be.
     """
     full = _lines(docs, depth)
-    lines = written(full.drop("tokens"), "lines")
-    once = lines.groupBy("leaf", "line", "doc_id", "text_hash").agg(F.min("pos").alias("pos"))
-    per_line = written(once.groupBy("leaf", "line").agg(F.count("*").alias("n"), _first()), "line-counts")
-    exact = per_line.filter(F.col("n") >= min_docs).select("line", F.col("line").alias("template"), "first")
+    need = F.when(F.size("tokens") > LONG, long_docs or min_docs).otherwise(min_docs)
+    lines = written(full.withColumn("need", need).drop("tokens"), "lines")
+    once = lines.groupBy("leaf", "line", "need", "doc_id", "text_hash").agg(F.min("pos").alias("pos"))
+    per_line = written(once.groupBy("leaf", "line", "need").agg(F.count("*").alias("n"), _first()), "line-counts")
+    exact = per_line.filter(F.col("n") >= F.col("need")).select("line", F.col("line").alias("template"), "first")
     # rare lines of leaves that recur all the same: open the positions that vary
     rare = per_line.filter(F.col("n") < min_docs)
     busy = rare.groupBy("leaf").agg(F.sum("n").alias("docs"), F.count("*").alias("k"))
@@ -87,10 +93,10 @@ def templates(docs: DataFrame, min_docs: int, depth: int, share: float, fixed: f
     return lines, exact.union(general)
 
 
-def dropped(docs: DataFrame, min_docs: int = 10, depth: int = 3, share: float = 0.5, fixed: float = 0.7) -> DataFrame:
+def dropped(docs: DataFrame, min_docs: int = 10, depth: int = 3, share: float = 0.5, fixed: float = 0.7, long_docs: int | None = None) -> DataFrame:
     """(doc_id, text_hash, drop): the numbers of the lines that each document loses."""
     docs = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
-    lines, recurring = templates(docs, min_docs, depth, share, fixed)
+    lines, recurring = templates(docs, min_docs, depth, share, fixed, long_docs)
     hit = lines.join(recurring, "line").filter(
         ~(
             F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
@@ -101,7 +107,7 @@ def dropped(docs: DataFrame, min_docs: int = 10, depth: int = 3, share: float =
     return hit.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("drop"))
 
 
-def deduped(docs: DataFrame, min_docs: int = 10, depth: int = 3) -> DataFrame:
+def deduped(docs: DataFrame, min_docs: int = 10, depth: int = 3, long_docs: int | None = None) -> DataFrame:
     """Every row of docs as ``row`` with ``clean_text``, ``n_lines`` and ``n_dropped``.
 
     n_lines counts lines with a word. Null text stays null. Texts that lose
@@ -110,7 +116,7 @@ def deduped(docs: DataFrame, min_docs: int = 10, depth: int = 3) -> DataFrame:
     lines. Rows without doc_id count like others and are the last to be
     the first occurrence. An empty table gives an empty table.
     """
-    gone = dropped(docs, min_docs, depth).withColumnRenamed("doc_id", "gone_id").withColumnRenamed("text_hash", "gone_hash")
+    gone = dropped(docs, min_docs, depth, long_docs=long_docs).withColumnRenamed("doc_id", "gone_id").withColumnRenamed("text_hash", "gone_hash")
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     row = row.withColumn("hash", F.xxhash64(F.col("row")["text"]))
     df = row.join(gone, F.col("row")["doc_id"].eqNullSafe(F.col("gone_id")) & (F.col("hash") == F.col("gone_hash")), "left")
@@ -124,7 +130,7 @@ def deduped(docs: DataFrame, min_docs: int = 10, depth: int = 3) -> DataFrame:
     )
 
 
-def stage(docs: DataFrame, min_docs: int = 10, depth: int = 3) -> DataFrame:
+def stage(docs: DataFrame, min_docs: int = 10, depth: int = 3, long_docs: int | None = 2) -> DataFrame:
     """All documents without their recurring lines, in the columns of docs."""
-    df = deduped(docs, min_docs, depth)
+    df = deduped(docs, min_docs, depth, long_docs)
     return df.select(*[(F.col("clean_text") if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])

@@ -48,3 +48,13 @@ def test_rare_and_repeated_rows(spark):
 def test_stage_keeps_columns_and_rows(docs, rows):
     got = line_dedup.stage(docs)
     assert got.columns == docs.columns and got.count() == len(rows)
+
+
+def test_stage_drops_long_lines_from_two_documents_on(spark):
+    rng = random.Random(4)
+    passage, nine, short = prose(rng, 60, 9000), prose(rng, 51, 9000), prose(rng, 50, 9000)
+    own = {k: prose(rng, 20, 9000) for k in range(20)}
+    text = {k: "\n".join([own[k], *[passage] * (k in (3, 7)), *[nine] * (k < 9), *[short] * (10 < k < 20)]) for k in own}
+    got = {r.doc_id: r.text for r in line_dedup.stage(spark.createDataFrame([(k, t, "x") for k, t in text.items()], SCHEMA).repartition(4)).collect()}
+    want = {k: "\n".join([own[k], *[passage] * (k == 3), *[nine] * (k == 0), *[short] * (10 < k < 20)]) for k in own}
+    assert got == want
