@@ -56,12 +56,16 @@ def _first() -> Column:
 def templates(docs: DataFrame, min_docs: int, depth: int, share: float, fixed: float, long_docs: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The lines of docs, and the recurring templates (line, template, first) to drop by.
 
-    A line is counted once for each document. ``share`` is the part of a
+    A line, and so a template, is counted once for each document; lines that
+    are less than ``fixed`` outside their variable fields don't recur, since
+    little of them is the same. ``share`` is the part of a
     leaf's documents in which a token must stand at its position to be fixed,
     ``fixed`` the part of a template that must be.
     """
     full = _lines(docs, depth)
-    need = F.when(F.size("tokens") > LONG, long_docs or min_docs).otherwise(min_docs)
+    firm = F.size(F.filter("tokens", lambda t: t != OPEN)) >= F.size("tokens") * fixed
+    # null, which no count reaches, where too little is fixed
+    need = F.when(~firm, None).when(F.size("tokens") > LONG, long_docs or min_docs).otherwise(min_docs)
     lines = written(full.withColumn("need", need).drop("tokens"), "lines")
     once = lines.groupBy("leaf", "line", "need", "doc_id", "text_hash").agg(F.min("pos").alias("pos"))
     per_line = written(once.groupBy("leaf", "line", "need").agg(F.count("*").alias("n"), _first()), "line-counts")
@@ -87,8 +91,12 @@ def templates(docs: DataFrame, min_docs: int, depth: int, share: float, fixed: f
     held = F.size(F.filter("tokens", lambda t: t != OPEN))
     opened = opened.filter(held >= F.size("tokens") * fixed)
     opened = opened.select("leaf", "line", "n", "first", F.xxhash64("leaf", F.array_join("tokens", " ")).alias("template"))
+    # a document may hold many lines of a template: where lines are enough, documents are counted
     recur = opened.groupBy("template").agg(F.sum("n").alias("docs"), F.min("first").alias("first"))
-    recur = recur.filter(F.col("docs") >= min_docs).select("template", "first")
+    opened = written(opened.select("line", "template").join(recur.filter(F.col("docs") >= min_docs).select("template", F.col("first").alias("start")), "template"), "recurring")
+    each = lines.select("line", "doc_id", "text_hash").join(opened, "line")
+    recur = each.groupBy("template", "start", "doc_id", "text_hash").agg(F.lit(1).alias("one")).groupBy("template", "start").agg(F.count("*").alias("docs"))
+    recur = recur.filter(F.col("docs") >= min_docs).select("template", F.col("start").alias("first"))
     general = opened.select("line", "template").join(recur, "template").select("line", "template", "first")
     return lines, exact.union(general)
 

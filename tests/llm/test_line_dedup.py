@@ -58,3 +58,19 @@ def test_stage_drops_long_lines_from_two_documents_on(spark):
     got = {r.doc_id: r.text for r in line_dedup.stage(spark.createDataFrame([(k, t, "x") for k, t in text.items()], SCHEMA).repartition(4)).collect()}
     want = {k: "\n".join([own[k], *[passage] * (k == 3), *[nine] * (k == 0), *[short] * (10 < k < 20)]) for k in own}
     assert got == want
+
+
+def test_templates_are_counted_in_documents(spark):
+    rng = random.Random(5)
+    name = lambda: "name" + "".join(rng.choices("abcdefgh", k=9))
+    line = lambda w: f"the visitor book was signed by {w} in our little town hall"
+    log = "\n".join(line(name()) for _ in range(30))
+    got = deduped(spark, [(0, log), *[(k, line(name())) for k in range(1, 9)]])
+    assert not any(r.n_dropped for r in got.values())
+    got = deduped(spark, [(0, log), *[(k, line(name())) for k in range(1, 10)]])
+    assert got[0].n_dropped == 29 and all(got[k].n_dropped == 1 for k in range(1, 10))
+
+
+def test_lines_of_numbers_are_left_alone(spark):
+    rows = [(k, f"{k} {k * k} {k + 7}\n2024-01-{k:02} total {k}\nown words " + chr(97 + k) * 3) for k in range(1, 15)]
+    assert not any(r.n_dropped for r in deduped(spark, rows).values())
