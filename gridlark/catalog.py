@@ -83,6 +83,11 @@ def transfer_function(spark, sf):
     return rounded(df.select("point_id", "m", "j", "f", red.alias("red")))
 
 
+def inner_points(spark, sf):
+    df = embedding_field(spark, sf)
+    return rounded(grid.inner(df, grid.sizes(df), 1).select("point_id", "m", "value"))
+
+
 def normal_equations(spark, sf):
     df = embedding_field(spark, sf)
     df = grid.transfer_weights(df, *_bounds(df), 8)
@@ -98,7 +103,7 @@ QUERIES = {
     "ensemble_mean_spread": lambda s, d: rounded(ensemble.mean_and_spread(holes(embedding_field(s, d)))),
     "set_predicate": lambda s, d: rounded(ensemble.set_predicate(holes(embedding_field(s, d)), ">", 0.0, 20, 40)),
     "kl_binned": lambda s, d: rounded(ensemble.kl_binned(embedding_field(s, d))),
-    "kl_knn": lambda s, d: rounded(ensemble.kl_knn(embedding_field(s, d), 3, MEMBERS)),
+    "kl_knn": lambda s, d: rounded(ensemble.kl_knn(embedding_field(s, d), 3)),
     "field_minmax": field_minmax,
     "histogram": histogram,
     "block_means": lambda s, d: rounded(ensemble.block_means(holes(embedding_field(s, d)), 3)),
@@ -112,7 +117,7 @@ QUERIES = {
     "variables_at_points": variables_at_points,
     "sphere": lambda s, d: rounded(grid.sphere(embedding_field(s, d), (4, 4, 2), 3.0).select("point_id", "m", "value")),
     "cube": lambda s, d: rounded(grid.cube(embedding_field(s, d), (4, 4, 2), 2).select("point_id", "m", "value")),
-    "inner_points": lambda s, d: rounded(grid.inner(embedding_field(s, d), (10, 10, 5), 1).select("point_id", "m", "value")),
+    "inner_points": inner_points,
     "crossing_cells": lambda s, d: grid.crossing_cells(embedding_field(s, d), 0.1),
     "cluster_cores": cluster_cores,
     "transfer_function": transfer_function,

@@ -24,6 +24,12 @@ def psi(n: int) -> float:
     return -EULER + math.fsum(1 / i for i in range(1, n))
 
 
+def psi_of(n: Column) -> Column:
+    """``psi`` of a column of whole numbers."""
+    parts = F.transform(F.sequence(F.lit(1).cast("long"), n), lambda i: F.when(i < n, 1 / i).otherwise(0.0))
+    return F.aggregate(parts, F.lit(-EULER), lambda a, x: a + x)
+
+
 def compare(v: Column, op: str, c: float) -> Column:
     """IEEE comparison: NaN fails everything but ``!=``."""
     tests = {">": v > c, ">=": v >= c, "<": v < c, "<=": v <= c, "==": v == c}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridlark.functions.measures import bin_of, compare, psi, valid
+from gridlark.functions.measures import bin_of, compare, psi, psi_of, valid
 
 KEY = ["point_id"]
 
@@ -44,8 +44,8 @@ def kl_binned(df: DataFrame, bins: int = 80, keys: list[str] = KEY) -> DataFrame
     return one.groupBy(*keys).agg(F.sum(F.col("p") * F.log(F.col("p") / width / normal)).alias("kl"))
 
 
-def kl_knn(df: DataFrame, k: int = 3, members: int = 64, keys: list[str] = KEY) -> DataFrame:
-    """KL divergence from a normal distribution, by the k-th neighbour distances of ``members`` values."""
+def kl_knn(df: DataFrame, k: int = 3, keys: list[str] = KEY) -> DataFrame:
+    """KL divergence from a normal distribution, by the k-th neighbour distances of each key's members."""
     order = Window.partitionBy(*keys).orderBy("u", "m")
     u = F.col("u")
     spans = [
@@ -53,7 +53,7 @@ def kl_knn(df: DataFrame, k: int = 3, members: int = 64, keys: list[str] = KEY)
         for a in range(k + 1)
     ]
     df = _standard(df, keys).withColumn("d", F.least(*spans))
-    entropy = F.avg(F.log("d")) + (psi(members) - psi(k) + math.log(2))
+    entropy = F.avg(F.log("d")) + (psi_of(F.count("u")) - psi(k) + math.log(2))
     kl = -entropy + 0.5 * math.log(2 * math.pi) + 0.5 * F.avg(u * u)
     return df.groupBy(*keys).agg(F.greatest(kl, F.lit(0.0)).alias("kl"))
 

@@ -64,6 +64,11 @@ def cube(df: DataFrame, centre: tuple, radius: float) -> DataFrame:
     return df.filter(F.greatest(*[F.abs(F.col(a) - c) for a, c in zip("xyz", centre)]) <= radius)
 
 
+def sizes(df: DataFrame) -> tuple[int, int, int]:
+    """Points along each axis, counted from 0: one row comes to the driver; none in an empty field."""
+    return tuple(0 if v is None else v + 1 for v in df.agg(*[F.max(a) for a in "xyz"]).first())
+
+
 def inner(df: DataFrame, sizes: tuple, radius: int) -> DataFrame:
     """Without the points within ``radius`` of the border."""
     ok = [F.col(a).between(radius, n - 1 - radius) for a, n in zip("xyz", sizes)]
