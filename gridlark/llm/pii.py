@@ -8,8 +8,10 @@ labelled spans that a seeded generator writes into sentences.
 
 Every text is covered by overlapping windows. All four kinds need a digit, an
 @ or a spelt [at]; windows without any of these can't hold a span and are not
-decoded. Spans that touch a window's edge are left to its neighbour, which
-has them whole; the rest are reconciled over the whole text, longest first,
+decoded, unless a tagged run goes on into them. The windows' tags are put
+together over the whole text, each place's from the window in which it lies
+most central, and spans of any length are read from these; they are
+reconciled over the whole text, longest first,
 checked for their kind, and added where no pattern's span lies. Rows are
 independent, so nothing is shuffled and no text is cut.
 """
@@ -37,11 +39,12 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]|[(\[{][Aa][Tt][)\]}]")
 _DIGIT = re.compile(r"[0-9]")
 
 # Forms that an added span must have.
+_GAP = r"\s?"
 _AT, _DOT = r"\s?(?:@|[(\[{]\s?at\s?[)\]}])\s?", r"\s?(?:\.|[(\[{]\s?dot\s?[)\]}])\s?"
+_TRIGGER = re.compile(rf"(?i)[0-9]|{_AT.removeprefix(_GAP).removesuffix(_GAP)}")
 _FORMS = {
     "email": re.compile(rf"(?i)[\w.%+-]+{_AT}[\w-]+(?:{_DOT}[\w-]+)+"),
     "ip": re.compile(r"[0-9]{1,3}(?:\s?[\[(]\s?\.\s?[\])]\s?[0-9]{1,3}|\s?\.\s?[0-9]{1,3}){3}"),
@@ -204,19 +207,37 @@ def windows_of(text: str) -> list[int]:
     return [k * STRIDE for k in out]
 
 
-def _tagged(tags: np.ndarray, size: int, starts_text: bool, ends_text: bool) -> Iterator[tuple[int, int, int]]:
-    """(start, end, kind) of a window's spans that don't touch an inner edge."""
-    t = 0
-    while t < size:
-        if not tags[t]:
-            t += 1
-            continue
-        kind, start = (tags[t] - 1) // 2, t
-        t += 1
-        while t < size and tags[t] == 2 + 2 * kind:
-            t += 1
-        if (start > 0 or starts_text) and (t < size or ends_text):
-            yield start, t, int(kind)
+def _asked(decoded: dict[int, np.ndarray], size: int) -> list[int]:
+    """Starts of windows that aren't decoded, and into which a tagged run of a decoded one goes on."""
+    out = set()
+    for start, tags in decoded.items():
+        if start and tags[0]:
+            out.add(start - STRIDE)
+        if start + len(tags) < size and tags[-1]:
+            out.add(start + STRIDE)
+    return sorted(out - decoded.keys())
+
+
+def _stitched(decoded: dict[int, np.ndarray], size: int) -> list[tuple[int, int, int]]:
+    """(start, end, kind) of the spans of a text, from the tags of its windows."""
+    tags, seam = np.zeros(size, np.uint8), np.zeros(size, bool)
+    edge = (WINDOW - STRIDE) // 2
+    for start in sorted(decoded):
+        part = decoded[start]
+        low = edge if start - STRIDE in decoded else 0
+        high = WINDOW - edge if start + STRIDE in decoded else len(part)
+        tags[start + low : start + high] = part[low:high]
+        seam[start + low] = True
+    # a run that goes on over a seam is one span, whatever tag it goes on with
+    at = np.flatnonzero(tags)
+    kind = (tags[at].astype(int) - 1) // 2
+    begins = (tags[at] % 2 == 1) & ~seam[at]
+    if len(at):
+        begins[0] = True
+        begins[1:] |= (np.diff(at) > 1) | (kind[1:] != kind[:-1])
+    first = np.flatnonzero(begins)
+    last = np.r_[first[1:], len(at)][: len(first)] - 1
+    return [(int(at[i]), int(at[j]) + 1, int(kind[i])) for i, j in zip(first, last)]
 
 
 def _trimmed(text: str, start: int, end: int) -> tuple[int, int]:
@@ -254,19 +275,21 @@ def reconciled(text: str, found: list[tuple[int, int, int]], fixed: dict) -> lis
 
 def _scanned(model: Tagger):
     def flush(rows: list, pending: list) -> None:
-        """Decode the pending windows of rows and add what they find."""
-        if pending:
+        """Decode the pending windows of rows, and those that runs go on into; add what they find."""
+        decoded: dict[int, dict[int, np.ndarray]] = {}
+        while pending:
             x = np.zeros((WINDOW, len(pending)), np.uint8)
             for n, (r, start) in enumerate(pending):
                 part = symbols(rows[r][1][start : start + WINDOW])
                 x[: len(part), n] = part
             tags = model.decode(x)
-            for n in np.flatnonzero(tags.any(0)):
-                r, start = pending[n]
-                text = rows[r][1]
-                size = min(WINDOW, len(text) - start)
-                for a, b, kind in _tagged(tags[:, n], size, start == 0, start + size == len(text)):
-                    rows[r][3].append((start + a, start + b, kind))
+            for n, (r, start) in enumerate(pending):
+                decoded.setdefault(r, {})[start] = tags[: min(WINDOW, len(rows[r][1]) - start), n]
+            hit = sorted({pending[n][0] for n in np.flatnonzero(tags.any(0))})
+            pending = [(r, start) for r in hit for start in _asked(decoded[r], len(rows[r][1]))]
+        for r, windows in decoded.items():
+            if any(t.any() for t in windows.values()):
+                rows[r][3].extend(_stitched(windows, len(rows[r][1])))
 
     def told(rows: list) -> pa.RecordBatch:
         out = []

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gridlark.llm import pii
@@ -114,3 +115,25 @@ def test_empty(no_docs, model):
 
 def test_symbols():
     assert symbols("aé•\U0001f600").tolist() == [100, 2, 1, 1]
+
+
+class Marked:
+    """Tags a span's letters, y as its start, by what a window shows."""
+
+    def decode(self, x):
+        start, *inner = symbols("yx@.")
+        return np.where(x == start, 1, np.where(np.isin(x, inner), 2, 0)).astype(np.uint8)
+
+
+@pytest.mark.parametrize("size", [50, 60, 76, 96, 150, 400])
+def test_long_spans_are_whole_at_every_offset(size, monkeypatch):
+    monkeypatch.setattr(pii, "patterns", lambda text: {k: [] for k in pii.KINDS})
+    span = "y" + "x" * (size - 6) + "@x.xx"
+    texts = ["A " * (n // 2) + " " * (n % 2) + span + " A" * 100 for n in range(200)]
+    table = pa.RecordBatch.from_arrays([pa.array(range(200), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    out = list(pii._scanned(Marked())(iter([table])))
+    assert out[0].column(6).to_pylist() == [f"email:{n}:{n + size}" for n in range(200)]
+
+
+def test_spaced_at_is_a_trigger():
+    assert pii.windows_of("jane [ at ] mail [ dot ] org") == [0] and pii.windows_of("jane at mail dot org") == []
