@@ -54,7 +54,7 @@ def _first() -> Column:
 
 
 def templates(docs: DataFrame, min_docs: int, depth: int, share: float, fixed: float, long_docs: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """The lines of docs, and the recurring templates (line, template, first) to drop by.
+    """The lines of docs, and the recurring ones among them (leaf, line, first) to drop by.
 
     A line, and so a template, is counted once for each document; lines that
     are less than ``fixed`` outside their variable fields don't recur, since
@@ -69,35 +69,39 @@ def templates(docs: DataFrame, min_docs: int, depth: int, share: float, fixed: f
     lines = written(full.withColumn("need", need).drop("tokens"), "lines")
     once = lines.groupBy("leaf", "line", "need", "doc_id", "text_hash").agg(F.min("pos").alias("pos"))
     per_line = written(once.groupBy("leaf", "line", "need").agg(F.count("*").alias("n"), _first()), "line-counts")
-    exact = per_line.filter(F.col("n") >= F.col("need")).select("line", F.col("line").alias("template"), "first")
+    exact = per_line.filter(F.col("n") >= F.col("need")).select("leaf", "line", "first")
     # rare lines of leaves that recur all the same: open the positions that vary
     rare = per_line.filter(F.col("n") < min_docs)
     busy = rare.groupBy("leaf").agg(F.sum("n").alias("docs"), F.count("*").alias("k"))
-    busy = busy.filter((F.col("docs") >= min_docs) & (F.col("k") > 1)).select("leaf", "docs")
+    # few_rows: a table of its own, so that the join doesn't gather a leaf's lines in one task
+    busy = few_rows(busy.filter((F.col("docs") >= min_docs) & (F.col("k") > 1)).select("leaf", "docs"))
     rare = rare.join(busy, "leaf")
     # tokens come from the documents in which these lines stand first
     named = written(rare.select("leaf", "line", "docs", "n", "first", F.col("first.pos").alias("pos")), "rare-named")
     owners = few_rows(named.select(F.col("first.doc_id").alias("owner"), F.col("first.text_hash").alias("owner_hash")).distinct())
     held = F.col("doc_id").eqNullSafe(F.col("owner")) & (F.xxhash64("text") == F.col("owner_hash"))
-    told = _lines(docs.join(owners, held, "left_semi"), depth).select("line", "pos", "tokens")
-    told = written(named.join(told, ["line", "pos"]).dropDuplicates(["line"]), "rare-lines")
+    told = _lines(docs.join(owners, held, "left_semi"), depth).select("leaf", "line", "pos", "tokens")
+    told = written(named.join(told, ["leaf", "line", "pos"]).dropDuplicates(["leaf", "line"]), "rare-lines")
     each = told.select("leaf", "docs", "n", F.posexplode("tokens").alias("place", "token"))
     common = each.groupBy("leaf", "place", "token").agg(F.sum("n").alias("k"), F.first("docs").alias("docs"))
-    common = common.filter(F.col("k") > F.col("docs") * share).groupBy("leaf")
-    common = common.agg(F.map_from_entries(F.collect_list(F.struct("place", "token"))).alias("constant"))
-    opened = told.join(common, "leaf").withColumn(
-        "tokens", F.transform("tokens", lambda t, i: F.when(F.get(F.map_values(F.col("constant")), F.array_position(F.map_keys(F.col("constant")), i).cast("int") - 1) == t, t).otherwise(OPEN))
-    )
+    often = F.when(F.col("k") > F.col("docs") * share, F.struct("k", "token"))
+    common = common.groupBy("leaf", "place").agg(F.max(often)["token"].alias("token"))
+    # one entry for each position of a leaf's lines, null where it is open
+    common = common.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("c"))
+    common = few_rows(common.select("leaf", F.col("c.token").alias("constant")))
+    opened = told.join(common, "leaf")
+    opened = opened.withColumn("tokens", F.zip_with("tokens", "constant", lambda t, c: F.when(c == t, t).otherwise(OPEN)))
     held = F.size(F.filter("tokens", lambda t: t != OPEN))
     opened = opened.filter(held >= F.size("tokens") * fixed)
     opened = opened.select("leaf", "line", "n", "first", F.xxhash64("leaf", F.array_join("tokens", " ")).alias("template"))
     # a document may hold many lines of a template: where lines are enough, documents are counted
     recur = opened.groupBy("template").agg(F.sum("n").alias("docs"), F.min("first").alias("first"))
-    opened = written(opened.select("line", "template").join(recur.filter(F.col("docs") >= min_docs).select("template", F.col("first").alias("start")), "template"), "recurring")
-    each = lines.select("line", "doc_id", "text_hash").join(opened, "line")
+    recur = few_rows(recur.filter(F.col("docs") >= min_docs).select("template", F.col("first").alias("start")))
+    opened = written(opened.select("leaf", "line", "template").join(recur, "template"), "recurring")
+    each = lines.select("leaf", "line", "doc_id", "text_hash").join(opened, ["leaf", "line"])
     recur = each.groupBy("template", "start", "doc_id", "text_hash").agg(F.lit(1).alias("one")).groupBy("template", "start").agg(F.count("*").alias("docs"))
-    recur = recur.filter(F.col("docs") >= min_docs).select("template", F.col("start").alias("first"))
-    general = opened.select("line", "template").join(recur, "template").select("line", "template", "first")
+    recur = few_rows(recur.filter(F.col("docs") >= min_docs).select("template", F.col("start").alias("first")))
+    general = opened.select("leaf", "line", "template").join(recur, "template").select("leaf", "line", "first")
     return lines, exact.union(general)
 
 
@@ -105,14 +109,16 @@ def dropped(docs: DataFrame, min_docs: int = 10, depth: int = 3, share: float =
     """(doc_id, text_hash, drop): the numbers of the lines that each document loses."""
     docs = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     lines, recurring = templates(docs, min_docs, depth, share, fixed, long_docs)
-    hit = lines.join(recurring, "line").filter(
+    hit = lines.join(few_rows(recurring), ["leaf", "line"]).filter(
         ~(
             F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
             & (F.col("text_hash") == F.col("first.text_hash"))
             & (F.col("pos") == F.col("first.pos"))
         )
     )
-    return hit.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("drop"))
+    # a line has one row, a position of repeated rows one entry
+    hit = hit.select("doc_id", "text_hash", "pos").distinct()
+    return hit.groupBy("doc_id", "text_hash").agg(F.collect_list("pos").alias("drop"))
 
 
 def deduped(docs: DataFrame, min_docs: int = 10, depth: int = 3, long_docs: int | None = None) -> DataFrame:
@@ -122,18 +128,24 @@ def deduped(docs: DataFrame, min_docs: int = 10, depth: int = 3, long_docs: int
     no line stay as they were; one that loses all is left empty. Repeated
     rows (one doc_id, one text) count as one document and lose the same
     lines. Rows without doc_id count like others and are the last to be
-    the first occurrence. An empty table gives an empty table.
+    the first occurrence. Very long texts and lines are processed whole, in
+    time linear in their lines and words. Other columns are left in ``row``
+    whatever their names; doc_id and text must be there. Lines are told apart
+    by two 64-bit hashes, of the line and of its leaf. An empty table gives
+    an empty table.
     """
     gone = dropped(docs, min_docs, depth, long_docs=long_docs).withColumnRenamed("doc_id", "gone_id").withColumnRenamed("text_hash", "gone_hash")
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     row = row.withColumn("hash", F.xxhash64(F.col("row")["text"]))
     df = row.join(gone, F.col("row")["doc_id"].eqNullSafe(F.col("gone_id")) & (F.col("hash") == F.col("gone_hash")), "left")
-    lines = F.split(F.col("row")["text"], "\n")
-    left = F.filter(lines, lambda x, i: ~F.array_contains("drop", i))
+    df = df.withColumn("lines", F.split(F.col("row")["text"], "\n"))
+    # set difference and access by number: linear in the lines of a text
+    places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "drop")
+    left = F.transform(places, lambda i: F.get("lines", i))
     return df.select(
         "row",
         F.when(F.col("drop").isNull(), F.col("row")["text"]).otherwise(F.array_join(left, "\n")).alias("clean_text"),
-        F.coalesce(F.size(F.filter(lines, lambda x: x.rlike(WORD))), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.size(F.filter("lines", lambda x: x.rlike(WORD))), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
