@@ -8,8 +8,10 @@ weight, and the smallest keys win until the source's words are reached. The
 document at the edge gives only the words that are missing.
 
 The prefix sum over a source is taken over a histogram of its keys; only the
-one bin in which the target falls is sorted. So a source with a third of all
-rows is no task of its own.
+one bin in which the target falls is sorted. Bins divide each doubling of the
+key into BINS parts. Whatever the weights, a part of a doubling holds at most
+0.26 / BINS of the keys expected, so a source with a third of all rows is no
+task of its own.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from .common import checkpointed, few_rows, words
 
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
-BINS = 4096
+BINS = 1024
 
 
 def quality_weight(size: Column, text: Column) -> Column:
@@ -42,7 +44,7 @@ def drawn(docs: DataFrame, source: str, text: str, doc_id: str, seed: int) -> Da
     return df.withColumns(
         {
             "src": F.struct(F.col(source).isNull().alias("none"), F.coalesce(F.col(source), F.lit("")).alias("name")),
-            "bin": F.floor((1.0 - F.exp(-F.col("key"))) * BINS).cast("int"),
+            "bin": F.floor(F.log2(F.greatest(F.col("key"), F.lit(2.0**-80))) * BINS).cast("int"),
         }
     )
 
@@ -116,9 +118,12 @@ def taken_words(doc_id: str = "doc_id") -> Column:
 def mixed_sizes(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_EPOCHS, seed: int = 7) -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row of docs.
 
-    docs has doc_id, source and text. Null text has size 0; null source is a
-    source of its own. Repeated rows draw one key and are taken alike. An
-    empty table, or one without any word, gives targets of 0.
+    docs has doc_id, source and text; other columns are left aside, so their
+    names can't clash. Null text has size 0; null source is a source of its
+    own. Repeated rows draw one key and are taken alike; rows of equal keys
+    are taken in order of doc_id, null last. A very long text is one row like
+    others, of which the edge of a source may take a part. An empty table
+    gives an empty table, one without any word targets of 0.
     """
     docs = docs.select("doc_id", "source", "text")
     rows = checkpointed(drawn(docs, "source", "text", "doc_id", seed).select("doc_id", "src", "size", "key", "bin"))
