@@ -24,8 +24,12 @@ from pyspark.sql.window import Window
 from .common import checkpointed, slots, written
 from .router import Router, fitted, probes_for
 
-SAMPLE, PER_PART, MOST_PARTS = 5120, 2500, 64
+#: A part holds so many vectors, in a small table down to LEAST_PART of them; the sample has at least so many vectors, and a part PER_SAMPLE of it.
+PER_PART, LEAST_PART, SMALL_PARTS, MOST_PARTS = 2500, 150, 16, 1024
+SAMPLE, PER_SAMPLE = 5120, 40
 BLOCK, QUERIES = 8192, 2048
+#: Pairs whose exact scores are taken at once, and the rounding error of a matrix product against them, as a part of the vectors' lengths.
+PAIRS, ROUNDING = 1 << 15, 1e-12
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -69,6 +73,33 @@ def _routed(router: Router, probes: int):
     return run
 
 
+def _best(q: np.ndarray, c: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of c, score) of the ``count`` best of each q; of equal scores, the first rows of c.
+
+    Every row of c that could be among them, whatever ties there, gets its
+    exact score; as many at once as PAIRS.
+    """
+    sim = q @ c.T
+    least = np.partition(sim, len(c) - count, axis=1)[:, len(c) - count] if count < len(c) else np.full(len(q), -np.inf)
+    slack = ROUNDING * np.linalg.norm(q, axis=1) * np.linalg.norm(c, axis=1).max()
+    out = ([np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)])
+    near = sim >= (least - 2 * slack)[:, None]
+    ends = np.searchsorted(np.cumsum(near.sum(1)), np.arange(PAIRS, near.sum() + PAIRS, PAIRS), side="left") + 1
+    for first, last in zip([0, *ends], ends):
+        a, b = np.nonzero(near[first:last])
+        if not len(a):
+            continue
+        a, score = a + first, np.empty(len(a))
+        for k in range(0, len(a), PAIRS):
+            score[k : k + PAIRS] = (q[a[k : k + PAIRS]] * c[b[k : k + PAIRS]]).sum(1)
+        order = np.lexsort((b, -score, a))
+        a, b, score = a[order], b[order], score[order]
+        turn = np.arange(len(a)) - np.searchsorted(a, a)
+        for x, y in zip(out, (a, b, score)):
+            x.append(y[turn < count])
+    return tuple(map(np.concatenate, out))
+
+
 def _compared(count: int):
     """cogrouped blocks of queries and of candidates to the best ``count`` ids of each query."""
 
@@ -77,20 +108,17 @@ def _compared(count: int):
         if queries.num_rows and candidates.num_rows:
             q, c = _matrix(queries.column("vec").combine_chunks()), _matrix(candidates.column("vec").combine_chunks())
             ids = candidates.column("ids").to_pylist()
-            least = np.array([i[0] for i in ids])
-            # classes in order of their smallest id, so that a stable sort settles ties
-            turn = np.argsort(least, kind="stable")
+            # classes in order of their smallest id, which settles ties between them
+            turn = np.argsort(np.array([i[0] for i in ids]), kind="stable")
             c, ids = c[turn], [ids[k] for k in turn]
-            some = min(len(c), count + 8)
+            asked = queries.column("cls").to_pylist()
             for s in range(0, len(q), 256):
-                sim = q[s : s + 256] @ c.T
-                near = np.sort(np.argpartition(-sim, some - 1, axis=1)[:, :some], axis=1)
-                exact = (q[s : s + 256, None, :] * c[near]).sum(2)
-                best = np.argsort(-exact, axis=1, kind="stable")[:, :count]
-                for r, cls in enumerate(queries.column("cls")[s : s + 256].to_pylist()):
-                    rows = [(-exact[r, b], i) for b in best[r] for i in ids[near[r, b]]]
+                found: dict[int, list] = {}
+                for a, b, score in zip(*map(np.ndarray.tolist, _best(q[s : s + 256], c, min(count, len(c))))):
+                    found.setdefault(a, []).extend((-score, i) for i in ids[b])
+                for a, rows in found.items():
                     for score, i in sorted(rows)[:count]:
-                        out[0].append(cls)
+                        out[0].append(asked[s + a])
                         out[1].append(i)
                         out[2].append(-score)
         return pa.table([pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=names)
@@ -99,13 +127,14 @@ def _compared(count: int):
 
 
 def _fitted(classes: DataFrame, total: int, dims: int, k: int, recall: float, seed: int) -> tuple[Router, int]:
-    """The router and its probes; from at most about SAMPLE classes, picked by their digest."""
-    parts = min(MOST_PARTS, total // PER_PART)
+    """The router and its probes; from a sample of classes, picked by their digest, that grows with the parts up to a bound."""
+    parts = min(MOST_PARTS, max(total // PER_PART, min(SMALL_PARTS, total // LEAST_PART)))
     if parts < 2:
         return fitted(np.zeros((1, dims)), 1), 1
-    share = min(1.0, SAMPLE / total)
+    size = max(SAMPLE, PER_SAMPLE * parts)
+    share = min(1.0, size / total)
     draw = F.pmod(F.xxhash64(F.lit(seed), "cls"), F.lit(1 << 30)) < int(share * (1 << 30))
-    picked = classes.filter(draw).select("cls", "vec").limit(2 * SAMPLE).toArrow().sort_by("cls")
+    picked = classes.filter(draw).select("cls", "vec").limit(2 * size).toArrow().sort_by("cls")
     x = _matrix(picked.column("vec").combine_chunks())
     held, rest = x[::10], np.delete(x, np.s_[::10], axis=0)
     router = fitted(rest, parts)
@@ -122,10 +151,14 @@ def nearest(
     """(query_id, rank, vec_id, score): the k nearest found of each query, nearest first.
 
     Queries are the rows whose vec_id is divisible by ``every``; candidates
-    are all rows but the query's own. Ties go to the smaller vec_id. Vectors
+    are all rows but the query's own. Ties go to the smaller vec_id, however
+    many vectors tie. Vectors
     that are null, zero, of another length than most, or that hold null or
     non-finite components take no part, nor do rows without vec_id. A row
-    that is repeated counts once. An empty table gives an empty table.
+    that is repeated counts once. Other columns are left aside, so their names
+    can't clash. An empty table gives an empty table, and so does one without
+    any vector that takes part. ``recall`` is what held out vectors of the
+    sample must reach; a table of fewer than 2 * LEAST_PART vectors is one part.
     """
     df = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     size = df.filter("embedding IS NOT NULL").groupBy(F.size("embedding").alias("dims")).count().orderBy(F.desc("count"), "dims").limit(1).collect()
