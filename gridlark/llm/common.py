@@ -48,14 +48,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def emptied(*tables: DataFrame) -> None:
+    """Give back the space of written tables that nothing reads any longer."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            df.sparkSession.createDataFrame([], df.schema).coalesce(1).write.mode("overwrite").parquet(files[0].rpartition("/")[0])
+
+
 #: A table that is counted to have so many rows is broadcast; a larger one is joined by shuffling.
 FEW = 100_000
 
 
 def few_rows(df: DataFrame, most: int = FEW) -> DataFrame:
     """df marked for broadcast if it is counted to have at most ``most`` rows."""
-    df = checkpointed(df)
-    return F.broadcast(df) if df.count() <= most else df
+    return hinted(checkpointed(df), most)[0]
+
+
+def hinted(df: DataFrame, most: int = FEW) -> tuple[DataFrame, int]:
+    """A checkpointed df, marked for broadcast if it has at most ``most`` rows, and their number."""
+    n = df.count()
+    return (F.broadcast(df) if n <= most else df), n
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
