@@ -44,7 +44,7 @@ class WordIds:
     hold a special token stay as they are. At most ``most`` pieces are kept.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -99,7 +99,7 @@ def _ids_of(path: str) -> WordIds:
     return WordIds(path)
 
 
-def portions(column: pa.Array, chars: int = 8_000_000) -> Iterator[tuple[int, int]]:
+def portions(column: pa.Array, chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """(start, length) of runs of rows of about so many bytes."""
     size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)) if len(column) else np.empty(0)
     start = 0

@@ -11,7 +11,7 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 class WordHashes(dict):
     """64-bit hash of a word, kept for the words met before (at most ``most``)."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most = most
 
