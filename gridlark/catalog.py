@@ -2,26 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridlark import catalog_grid, catalog_measures, catalog_regions
 from gridlark.fields import embedding_field, event_series, holes, lineitem_field
-from gridlark.functions.measures import EULER, default_k, mi_coefficient, psi
-from gridlark.operators import dependence, ensemble, grid
+from gridlark.functions.measures import default_k, mi_coefficient, psi
+from gridlark.operators import dependence, ensemble, grid, regions, similarity
+from gridlark.twins import CORR as _CORR
+from gridlark.twins import PSI as _PSI
+from gridlark.twins import E as _E
+from gridlark.twins import H as _H
+from gridlark.twins import L as _L
+from gridlark.twins import P as _P
+from gridlark.twins import bounds as _bounds
+from gridlark.twins import derivative as _d
+from gridlark.twins import rounded
 
 MEMBERS = 64
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    """Doubles to nine places: sums run in another order in every engine and plan."""
-    return df.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-
-
-def _bounds(df: DataFrame, column: str = "value") -> tuple[float, float]:
-    """Smallest and largest value: one row comes to the driver."""
-    return tuple(df.agg(F.min(column), F.max(column)).first())
-
-
 def _reference(measure, **more):
     return lambda spark, sf: rounded(measure(dependence.with_reference(embedding_field(spark, sf), 0), **more))
 
@@ -42,6 +41,11 @@ def histogram(spark, sf):
     return rounded(ensemble.histogram(df, *_bounds(df), 50))
 
 
+def block_pairs(spark, sf):
+    df = regions.mean_pairs(ensemble.block_means(embedding_field(spark, sf), 3))
+    return catalog_regions.numbered(df.filter(F.abs("value") >= 0.2))
+
+
 def binary_operators(spark, sf):
     df = lineitem_field(spark, sf)
     return rounded(df.select("point_id", "t", "m", *[c.alias(n) for n, c in grid.binary(F.col("quantity"), F.col("tax")).items()]))
@@ -54,11 +58,9 @@ def vorticity(spark, sf):
 
 def variable_matrix(spark, sf):
     df = spark.read.parquet(f"{sf}/lineitem.parquet")
-    names = ("quantity", "extendedprice", "discount", "tax")
-    pairs = [(a, b) for k, a in enumerate(names) for b in names[:k]]
-    one = df.agg(*[F.corr(f"l_{a}", f"l_{b}").alias(f"{a}:{b}") for a, b in pairs])
-    rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{a}:{b}").alias("value")) for a, b in pairs])
-    return rounded(one.select(F.inline(rows)))
+    names = ["quantity", "extendedprice", "discount", "tax"]
+    df = df.select(*[F.col(f"l_{n}").alias(n) for n in names])
+    return rounded(similarity.similarity_matrix(df, names))
 
 
 def variables_at_points(spark, sf):
@@ -108,7 +110,7 @@ QUERIES = {
     "histogram": histogram,
     "block_means": lambda s, d: rounded(ensemble.block_means(holes(embedding_field(s, d)), 3)),
     "block_spread": lambda s, d: rounded(ensemble.block_spread(embedding_field(s, d), 3)),
-    "block_pairs": lambda s, d: rounded(dependence.block_pairs(ensemble.block_means(embedding_field(s, d), 3), 0.2)),
+    "block_pairs": block_pairs,
     "windowed_correlation": lambda s, d: rounded(dependence.windowed(event_series(s, d), "click", 32)),
     "binary_operators": binary_operators,
     "vorticity": vorticity,
@@ -124,26 +126,12 @@ QUERIES = {
     "normal_equations": normal_equations,
 }
 
-_E = """e AS (SELECT vec_id AS point_id, vec_id % 10 AS x, (vec_id // 10) % 10 AS y, vec_id // 100 AS z, m, v FROM
- (SELECT vec_id, unnest(range(len(embedding))) AS m, unnest(embedding)::DOUBLE AS v FROM embeddings))"""
-_H = _E + ", h AS (SELECT point_id, x, y, z, m, CASE WHEN point_id % 17 = 3 AND m % 13 = 5 THEN NULL ELSE v END AS v FROM e)"
-_P = _E + ", p AS (SELECT e.point_id, e.m, r.v AS a, e.v AS b FROM e JOIN e r ON r.m = e.m AND r.point_id = 0)"
-_L = """l AS (SELECT l_suppkey AS point_id, year(l_shipdate) - 1995 AS t, l_linenumber AS m, avg(l_quantity) AS q,
- avg(l_extendedprice) AS e, avg(l_tax) AS tax FROM lineitem GROUP BY ALL)"""
-_CORR = "covar_samp(a, b) / nullif(stddev_samp(a) * stddev_samp(b), 0)"
 _Z = _E + """, s AS (SELECT point_id, m, (v - avg(v) OVER w) / stddev_pop(v) OVER w AS u, count(*) OVER w AS n FROM e WINDOW w AS (PARTITION BY point_id))"""
 _K = default_k(MEMBERS)
-_PSI = f"({-EULER!r} + coalesce(list_sum([1.0::DOUBLE / i FOR i IN range(1, %s::BIGINT)]), 0))"
 _F = _E + """, g AS (SELECT min(v) AS lo, max(v) AS hi FROM e), tf AS (SELECT point_id, m, v, (v - lo) / (hi - lo) * 7 AS u FROM e, g),
  w AS (SELECT point_id, m::INT AS m, v, least(floor(u), 6)::INT AS j, u - least(floor(u), 6) AS f FROM tf)"""
 
 
-def _d(c: str, axis: str) -> str:
-    w = f"(PARTITION BY {', '.join(a for a in 'xyz' if a != axis)} ORDER BY {axis})"
-    after, before = f"lead({c}) OVER {w}", f"lag({c}) OVER {w}"
-    return f"((coalesce({after}, {c}) - coalesce({before}, {c})) / CASE WHEN {after} IS NULL OR {before} IS NULL THEN 1 ELSE 2 END)"
-
-
 ORACLE_SQL = {
     "reference_pearson": f"WITH {_P} SELECT point_id, round({_CORR}, 9) AS value FROM p GROUP BY 1",
     "reference_spearman": f"""WITH {_P}, k AS (SELECT point_id,
@@ -211,3 +199,7 @@ ORACLE_SQL = {
     "normal_equations": f"""WITH {_F} SELECT i, j, round(sum(w), 9) AS ata FROM (SELECT j AS i, j, (1 - f) * (1 - f) AS w FROM w UNION ALL SELECT j + 1, j + 1, f * f FROM w
  UNION ALL SELECT j + 1, j, f * (1 - f) FROM w UNION ALL SELECT j, -1, (1 - f) * v * v FROM w UNION ALL SELECT j + 1, -1, f * v * v FROM w) GROUP BY 1, 2""",
 }
+
+for _more in (catalog_measures, catalog_regions, catalog_grid):
+    QUERIES |= _more.QUERIES
+    ORACLE_SQL |= _more.ORACLE_SQL

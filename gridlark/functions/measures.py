@@ -16,8 +16,9 @@ def valid(v: Column) -> Column:
 
 
 def bin_of(v: Column, low: Column, high: Column, bins: int) -> Column:
-    """Number of the bin, with the largest value in the last one."""
-    return F.least(F.greatest(F.floor((v - low) / (high - low) * bins).cast("int"), F.lit(0)), F.lit(bins - 1))
+    """Number of the bin, with the largest value in the last one; 0 where all values are equal."""
+    at = F.coalesce(F.floor(F.try_divide(v - low, high - low) * bins).cast("int"), F.lit(0))
+    return F.least(F.greatest(at, F.lit(0)), F.lit(bins - 1))
 
 
 def psi(n: int) -> float:
@@ -37,12 +38,31 @@ def compare(v: Column, op: str, c: float) -> Column:
 
 
 def max_mi_ksg(k: int, n: int) -> float:
+    """The largest value that Kraskov's estimate takes."""
     return psi(n) - psi(k)
 
 
+def covariance_ratio(a: str = "a", b: str = "b", eps: float = 0.0) -> Column:
+    """Pearson's correlation as an aggregate: null for a constant side, or 0 with ``eps`` in the divisor."""
+    spread = F.stddev_samp(a) * F.stddev_samp(b)
+    return F.covar_samp(a, b) / (spread + eps if eps else F.nullif(spread, F.lit(0.0)))
+
+
+def value_range(measure: str, absolute: bool = False) -> tuple[float, float | None]:
+    """Smallest and largest value of a measure; None where the data decide."""
+    if measure.startswith("mi_"):
+        return (0.0, 1.0) if measure.endswith("coefficient") else (0.0, None)
+    return (0.0 if absolute else -1.0), 1.0
+
+
 def mi_coefficient(mi: Column) -> Column:
     return F.sqrt(1 - F.exp(-2 * mi))
 
 
 def default_k(n: int) -> int:
     return max(math.ceil(3 * n / 100), 1)
+
+
+def largest_k(n: int) -> int:
+    """The largest k that a user may choose for n members."""
+    return max(math.ceil(7 * n / 100), 20)

@@ -1,16 +1,17 @@
-"""Dependence between member vectors: pairs are rows of (keys, m, a, b)."""
+"""Dependence between member vectors: pairs are rows of (keys, m, a, b).
 
-from __future__ import annotations
+Of every measure: a single member gives 1, NaN in a pair gives NaN.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridlark.functions.measures import bin_of, default_k, psi
+from gridlark.functions.kernels import of_vectors
+from gridlark.functions.measures import bin_of, covariance_ratio, mi_coefficient
+from gridlark.session import bounded
 
 KEY = ["point_id"]
 
@@ -18,15 +19,54 @@ KEY = ["point_id"]
 def with_reference(df: DataFrame, point: int) -> DataFrame:
     """Each row with the reference point's value of the same member.
 
-    The reference is one vector: as many rows as there are members, so it is broadcast.
+    The reference has a row for each member, and is broadcast if it is counted to be small.
     """
     ref = df.filter(F.col("point_id") == point).select("m", F.col("value").alias("a"))
-    return df.withColumnRenamed("value", "b").join(F.broadcast(ref), "m")
+    return df.withColumnRenamed("value", "b").join(bounded(ref), "m")
+
+
+def _axis(time: str) -> str:
+    return "member" if time == "m" else time
 
 
-def pearson(pairs: DataFrame, keys: list[str] = KEY) -> DataFrame:
-    one = F.covar_samp("a", "b") / F.nullif(F.stddev_samp("a") * F.stddev_samp("b"), F.lit(0.0))
-    return pairs.groupBy(*keys).agg(one.alias("value"))
+def reference_pairs(
+    df: DataFrame, point: int, variable: str = "value", reference_variable: str | None = None, member: str = "m",
+    time: str | None = None, lag: int | None = None,
+) -> DataFrame:
+    """Pairs (point_id, time, m, a, b) of every point with a reference point.
+
+    b is ``variable`` at the point, a ``reference_variable`` (the same if none
+    is named) at the reference point, along the axis ``member``. Where the
+    field has another axis, ``time``, the reference is taken at the same
+    place of it, or at the fixed place ``lag`` for every row. An axis m that
+    isn't the members' here is called ``member``.
+    """
+    ref = df.filter(F.col("point_id") == point)
+    both = [] if time is None else [F.col(time).alias(_axis(time))]
+    a = F.col(reference_variable or variable).alias("a")
+    if time is not None and lag is not None:
+        ref = ref.filter(F.col(time) == lag).select(F.col(member).alias("m"), a)
+    else:
+        ref = ref.select(F.col(member).alias("m"), *both, a)
+    rows = df.select("point_id", *both, F.col(member).alias("m"), F.col(variable).alias("b"))
+    return rows.join(bounded(ref), [c for c in ref.columns if c != "a"])
+
+
+def _told(value: Column, bad: Column, n: Column) -> Column:
+    return F.when(n == 1, 1.0).when(bad, F.lit(float("nan"))).otherwise(value)
+
+
+def pearson(pairs: DataFrame, keys: list[str] = KEY, eps: float = 0.0) -> DataFrame:
+    """Pearson's correlation; null for a constant side, or 0 with ``eps`` in the divisor."""
+    return pairs.groupBy(*keys).agg(F.when(F.count("*") == 1, 1.0).otherwise(covariance_ratio(eps=eps)).alias("value"))
+
+
+def pearson_one_pass(pairs: DataFrame, keys: list[str] = KEY) -> DataFrame:
+    """Pearson's correlation from five sums; cheaper to maintain, less exact for large means."""
+    a, b, n = F.col("a"), F.col("b"), F.count("*")
+    sa, sb = F.sum("a"), F.sum("b")
+    spread = F.sqrt((n * F.sum(a * a) - sa * sa) * (n * F.sum(b * b) - sb * sb))
+    return pairs.groupBy(*keys).agg(F.when(n == 1, 1.0).otherwise((n * F.sum(a * b) - sa * sb) / F.nullif(spread, F.lit(0.0))).alias("value"))
 
 
 def ranked(pairs: DataFrame, column: str, keys: list[str] = KEY) -> DataFrame:
@@ -37,7 +77,9 @@ def ranked(pairs: DataFrame, column: str, keys: list[str] = KEY) -> DataFrame:
 
 
 def spearman(pairs: DataFrame, keys: list[str] = KEY) -> DataFrame:
-    return pearson(ranked(ranked(pairs, "a", keys), "b", keys), keys)
+    pairs = pairs.withColumn("bad", F.isnan("a") | F.isnan("b"))
+    one = _told(covariance_ratio(), F.bool_or("bad"), F.count("*"))
+    return ranked(ranked(pairs, "a", keys), "b", keys).groupBy(*keys).agg(one.alias("value"))
 
 
 def packed(pairs: DataFrame, keys: list[str] = KEY) -> DataFrame:
@@ -46,94 +88,94 @@ def packed(pairs: DataFrame, keys: list[str] = KEY) -> DataFrame:
     return pairs.groupBy(*keys).agg(both.alias("p")).select(*keys, F.col("p.a").alias("a"), F.col("p.b").alias("b"))
 
 
-def _kernel(pairs: DataFrame, keys: list[str], kernel) -> DataFrame:
-    @F.pandas_udf("double")
-    def told(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for a, b in batches:
-            yield pd.Series([kernel(np.asarray(x, float), np.asarray(y, float)) for x, y in zip(a, b)], dtype=float)
-
-    return packed(pairs, keys).select(*keys, told("a", "b").alias("value"))
-
-
-def kendall(pairs: DataFrame, keys: list[str] = KEY) -> DataFrame:
-    """Kendall's tau-b; joint ties are counted. n log n in each vector."""
-
-    def tau(a: np.ndarray, b: np.ndarray) -> float:
-        if np.isnan(a).any() or np.isnan(b).any() or len(a) < 2:
-            return float("nan")
-        n = len(a)
-        order = np.lexsort((b, a))
-        r = np.unique(b[order], return_inverse=True)[1]
-        tree, swapped = np.zeros(r.max() + 2, np.int64), 0
-        for seen, v in enumerate(r):
-            at, below = v + 1, 0
-            while at:
-                below += tree[at]
-                at -= at & -at
-            swapped += seen - below
-            at = v + 1
-            while at < len(tree):
-                tree[at] += 1
-                at += at & -at
-        tied = lambda x: sum(int(c) * (int(c) - 1) // 2 for c in np.unique(x, return_counts=True, axis=0)[1])
-        n0, n1, n2, n3 = n * (n - 1) // 2, tied(a), tied(b), tied(np.column_stack((a, b)))
-        if n0 == n1 or n0 == n2:
-            return float("nan")
-        return float((n0 - n1 - n2 + n3 - 2 * swapped) / np.sqrt(float(n0 - n1) * float(n0 - n2)))
-
-    return _kernel(pairs, keys, tau)
-
-
-def mi_binned(pairs: DataFrame, low: float, high: float, bins: int = 80, keys: list[str] = KEY) -> DataFrame:
-    """Mutual information of a joint histogram, in nats: H(a) + H(b) - H(a, b)."""
-    at = lambda c: bin_of(F.col(c), F.lit(low), F.lit(high), bins)
-    joint = pairs.groupBy(*keys, at("a").alias("i"), at("b").alias("j")).agg(F.count("*").alias("c"))
+def kendall(pairs: DataFrame, keys: list[str] = KEY, variant: str = "tau_b") -> DataFrame:
+    """Kendall's tau (see kernels.kendall); n log n in each vector."""
+    return packed(pairs, keys).select(*keys, of_vectors("kendall", variant=variant).alias("value"))
+
+
+def kendall_by_signs(pairs: DataFrame, keys: list[str] = KEY) -> DataFrame:
+    """tau-a as the mean of sign products over all pairs of members: the slow form, to check others by."""
+    x, y = (pairs.select(*keys, *[F.col(c).alias(f"{c}{k}") for c in ("m", "a", "b")]) for k in (1, 2))
+    both = x.join(y, keys).filter("m1 < m2")
+    sign = F.signum(F.col("a1") - F.col("a2")) * F.signum(F.col("b1") - F.col("b2"))
+    return both.groupBy(*keys).agg((F.sum(sign) / F.count("*")).alias("value"))
+
+
+def mi_binned(pairs: DataFrame, low: float | None = None, high: float | None = None, bins: int = 80, keys: list[str] = KEY) -> DataFrame:
+    """Mutual information of a joint histogram, in nats: H(a) + H(b) - H(a, b).
+
+    Without bounds, bins span the smallest and largest value of each key.
+    """
     w = Window.partitionBy(*keys)
+    lo, hi = F.lit(low), F.lit(high)
+    if low is None:
+        pairs = pairs.withColumns({"lo": F.min(F.least("a", "b")).over(w), "hi": F.max(F.greatest("a", "b")).over(w)})
+        lo, hi = F.col("lo"), F.col("hi")
+    at = lambda c: bin_of(F.col(c), lo, hi, bins)
+    joint = pairs.groupBy(*keys, at("a").alias("i"), at("b").alias("j"))
+    joint = joint.agg(F.count("*").alias("c"), F.bool_or(F.isnan("a") | F.isnan("b")).alias("bad"))
     sizes = {"n": F.sum("c").over(w), "ci": F.sum("c").over(Window.partitionBy(*keys, "i")), "cj": F.sum("c").over(Window.partitionBy(*keys, "j"))}
     p = F.col("c") / F.col("n")
-    return joint.withColumns(sizes).groupBy(*keys).agg(F.sum(p * F.log(p * F.col("n") * F.col("n") / (F.col("ci") * F.col("cj")))).alias("value"))
+    mi = F.sum(p * F.log(p * F.col("n") * F.col("n") / (F.col("ci") * F.col("cj"))))
+    return joint.withColumns(sizes).groupBy(*keys).agg(_told(mi, F.bool_or("bad"), F.max("n")).alias("value"))
+
+
+def mi_ksg(pairs: DataFrame, k: int | None = None, estimator: int = 1, keys: list[str] = KEY, noise: float = 0.0) -> DataFrame:
+    """Kraskov's estimate of mutual information (1 or 2), without jitter unless ``noise`` is given."""
+    return packed(pairs, keys).select(*keys, of_vectors("mi_ksg", k=k, estimator=estimator, noise=noise).alias("value"))
 
 
-def mi_ksg(pairs: DataFrame, k: int | None = None, estimator: int = 1, keys: list[str] = KEY) -> DataFrame:
-    """Kraskov's estimate of mutual information from k-th neighbour distances, without jitter."""
+MEASURES = {"pearson": pearson, "spearman": spearman, "kendall": kendall, "mi_binned": mi_binned, "mi_ksg": mi_ksg}
 
-    def mi(a: np.ndarray, b: np.ndarray) -> float:
-        n = len(a)
-        if n < 2 or np.isnan(a).any() or np.isnan(b).any():
-            return float("nan")
-        kk = min(k or default_k(n), n - 1)
-        dig = np.cumsum(np.concatenate(([psi(1)], 1 / np.arange(1, n + 1))))
-        dx, dy = np.abs(a[:, None] - a), np.abs(b[:, None] - b)
-        far = np.maximum(dx, dy)
-        np.fill_diagonal(far, np.inf)
-        if estimator == 1:
-            d = np.partition(far, kk - 1, axis=1)[:, kk - 1 : kk]
-            nx, ny = (np.maximum((x < d).sum(1), 1) for x in (dx, dy))
-            return float(max(0.0, dig[kk - 1] + dig[n - 1] - dig[nx - 1].mean() - dig[ny - 1].mean()))
-        near = np.argpartition(far, kk - 1, axis=1)[:, :kk]
-        nx, ny = (np.maximum((x <= np.take_along_axis(x, near, 1).max(1)[:, None]).sum(1) - 1, 1) for x in (dx, dy))
-        return float(max(0.0, dig[kk - 1] - 1 / kk + dig[n - 1] - dig[nx - 1].mean() - dig[ny - 1].mean()))
 
-    return _kernel(pairs, keys, mi)
+def measured(pairs: DataFrame, measure: str, keys: list[str] = KEY, absolute: bool = False, **options) -> DataFrame:
+    """(keys, value) of a named measure; ``mi_..._coefficient`` turns information into a correlation."""
+    name = measure.removesuffix("_coefficient")
+    out = MEASURES[name](pairs, keys=keys, **options)
+    if name != measure:
+        out = out.withColumn("value", mi_coefficient(F.col("value")))
+    return out.withColumn("value", F.abs("value")) if absolute else out
 
 
-def block_pairs(blocks: DataFrame, keep: float = 0.0) -> DataFrame:
-    """Pearson correlation of every pair of blocks (bx, by, bz, m, value), those of at least ``keep``.
+def correlation_field(df: DataFrame, point: int, measure: str = "pearson", absolute: bool = False, options: dict | None = None, **pairing) -> DataFrame:
+    """The measure of every point with a reference point: (point_id, time, value).
 
-    The result has a row for each pair; members meet by an equi-join on m.
+    ``pairing`` is passed to reference_pairs: second variable, axis, time and
+    lag; ``options`` to the measure: bins, bounds, k, estimator, variant.
     """
-    key = F.col("bz") * 1_000_000 + F.col("by") * 1000 + F.col("bx")
-    df = blocks.select(key.alias("id"), "m", "value")
-    a, b = df.select(F.col("id").alias("i"), "m", F.col("value").alias("a")), df.select(F.col("id").alias("j"), "m", F.col("value").alias("b"))
-    found = pearson(a.join(b, "m").filter("i > j"), ["i", "j"])
-    return found.filter(F.abs("value") >= keep)
+    pairs = reference_pairs(df, point, **pairing)
+    keys = ["point_id"] + ([_axis(pairing["time"])] if pairing.get("time") else [])
+    return measured(pairs, measure, keys, absolute, **options or {})
 
 
-def windowed(series: DataFrame, reference: str, length: int = 32) -> DataFrame:
-    """Correlation of each series with the reference in every full window of ``length`` steps."""
+def same_point_field(df: DataFrame, first: str, second: str, measure: str = "pearson", keys: list[str] = KEY, member: str = "m", **options) -> DataFrame:
+    """The measure of two variables at the same point, along the axis ``member``."""
+    return measured(df.select(*keys, F.col(member).alias("m"), F.col(first).alias("a"), F.col(second).alias("b")), measure, keys, **options)
+
+
+#: Steps of a series that are one group of the windowed operators, besides what the first windows look back on.
+CHUNK = 4096
+
+
+def windowed(series: DataFrame, reference: str, length: int = 32, measure: str = "pearson", **options) -> DataFrame:
+    """The measure of each series with the reference in every full window of ``length`` steps.
+
+    A series is cut into chunks of steps, each with the steps that its first
+    windows look back on, so a long series is many tasks' work.
+    """
     ref = series.filter(F.col("sidx") == reference).select("t", F.col("value").alias("a"))
-    w = Window.partitionBy("sidx").orderBy("t").rowsBetween(1 - length, 0)
-    df = series.withColumnRenamed("value", "b").join(ref, "t")
-    first, n = F.min("t").over(w), F.count("*").over(w)
-    df = df.withColumns({"value": F.corr("a", "b").over(w), "first": first, "n": n})
-    return df.filter((F.col("n") == length) & (F.col("t") - F.col("first") == length - 1)).select("sidx", "t", "value")
+    own = F.floor(F.col("t") / CHUNK)
+    ahead = F.pmod(F.col("t"), F.lit(CHUNK)) > CHUNK - length
+    chunks = F.when(ahead, F.array(own, own + 1)).otherwise(F.array(own))
+    df = series.withColumnRenamed("value", "b").join(ref, "t").withColumns({"own": own, "chunk": F.explode(chunks)})
+    w = Window.partitionBy("sidx", "chunk").orderBy("t").rowsBetween(1 - length, 0)
+    names = {"first": F.min("t").over(w), "n": F.count("*").over(w)}
+    if measure == "pearson":
+        spread = F.stddev_samp("a").over(w) * F.stddev_samp("b").over(w)
+        names["value"] = F.covar_samp("a", "b").over(w) / F.nullif(spread, F.lit(0.0))
+    else:
+        names |= {"va": F.collect_list("a").over(w), "vb": F.collect_list("b").over(w)}
+    df = df.withColumns(names).filter((F.col("n") == length) & (F.col("t") - F.col("first") == length - 1) & (F.col("own") == F.col("chunk")))
+    if measure != "pearson":
+        df = df.withColumn("value", of_vectors(measure, "va", "vb", **options))
+    return df.select("sidx", "t", "value")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -29,7 +29,15 @@ def set_predicate(df: DataFrame, op: str, c: float, lower: int, upper: int, keys
 def _standard(df: DataFrame, keys: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys)
     v = F.col("value")
-    return df.withColumn("u", (v - F.avg(v).over(w)) / F.stddev_pop(v).over(w)).withColumn("n", F.count("*").over(w))
+    u = F.try_divide(v - F.avg(v).over(w), F.stddev_pop(v).over(w))
+    # null (a constant vector) becomes NaN, as infinite values do
+    return df.withColumn("u", F.coalesce(u, F.lit(float("nan")))).withColumn("n", F.count("*").over(w))
+
+
+def _finite(kl: Column, bad: Column, n: Column) -> Column:
+    """1 for a single member, NaN where something is bad or the result is not finite."""
+    nan = F.lit(float("nan"))
+    return F.when(n == 1, 1.0).when(bad | kl.isNull() | F.isnan(kl) | (F.abs(kl) == float("inf")), nan).otherwise(kl)
 
 
 def kl_binned(df: DataFrame, bins: int = 80, keys: list[str] = KEY) -> DataFrame:
@@ -37,11 +45,14 @@ def kl_binned(df: DataFrame, bins: int = 80, keys: list[str] = KEY) -> DataFrame
     w = Window.partitionBy(*keys)
     df = _standard(df, keys).withColumns({"lo": F.min("u").over(w) - 0.01, "hi": F.max("u").over(w) + 0.01})
     df = df.withColumn("bin", bin_of(F.col("u"), F.col("lo"), F.col("hi"), bins))
+    # a NaN anywhere makes its key's bounds, and so the result, NaN
     one = df.groupBy(*keys, "lo", "hi", "n", "bin").agg((F.count("*") / F.col("n")).alias("p"))
     width = (F.col("hi") - F.col("lo")) / bins
     centre = F.col("lo") + (F.col("bin") + 0.5) * width
     normal = F.exp(-0.5 * centre * centre) / math.sqrt(2 * math.pi)
-    return one.groupBy(*keys).agg(F.sum(F.col("p") * F.log(F.col("p") / width / normal)).alias("kl"))
+    kl = F.sum(F.col("p") * F.log(F.try_divide(F.try_divide(F.col("p"), width), normal)))
+    bad = F.bool_or(F.isnan("lo") | F.isnan("hi"))
+    return one.groupBy(*keys).agg(_finite(kl, bad, F.max("n")).alias("kl"))
 
 
 def kl_knn(df: DataFrame, k: int = 3, keys: list[str] = KEY) -> DataFrame:
@@ -54,8 +65,10 @@ def kl_knn(df: DataFrame, k: int = 3, keys: list[str] = KEY) -> DataFrame:
     ]
     df = _standard(df, keys).withColumn("d", F.least(*spans))
     entropy = F.avg(F.log("d")) + (psi_of(F.count("u")) - psi(k) + math.log(2))
-    kl = -entropy + 0.5 * math.log(2 * math.pi) + 0.5 * F.avg(u * u)
-    return df.groupBy(*keys).agg(F.greatest(kl, F.lit(0.0)).alias("kl"))
+    kl = F.greatest(-entropy + 0.5 * math.log(2 * math.pi) + 0.5 * F.avg(u * u), F.lit(0.0))
+    # a distance of 0 (ties) makes the estimate infinite, which is no number
+    bad = F.bool_or(F.isnan("u") | F.coalesce(F.col("d") <= 0, F.lit(True)))
+    return df.groupBy(*keys).agg(_finite(kl, bad, F.max("n")).alias("kl"))
 
 
 def histogram(df: DataFrame, low: float, high: float, bins: int) -> DataFrame:
@@ -78,3 +91,17 @@ def block_spread(df: DataFrame, factor: int) -> DataFrame:
     points = df.groupBy("point_id", "x", "y", "z").agg(F.var_samp(valid(F.col("value"))).alias("var"))
     cell = [F.floor(F.col(a) / factor).alias(f"b{a}") for a in "xyz"]
     return points.groupBy(*cell).agg(F.sqrt(F.avg("var")).alias("spread"), F.count("*").alias("n"))
+
+
+def block_abs_max(df: DataFrame, factor: int) -> DataFrame:
+    """The value of largest magnitude in each block, with its sign; 0 where nothing is valid."""
+    v = valid(F.col("value"))
+    cell = [F.floor(F.col(a) / factor).alias(f"b{a}") for a in "xyz"]
+    # of two values of one magnitude the larger one is taken
+    return df.groupBy(*cell, "m").agg(F.coalesce(F.max(F.when(v.isNotNull(), F.struct(F.abs(v), v.alias("v"))))["v"], F.lit(0.0)).alias("value"))
+
+
+def divergent_range(df: DataFrame, keys: list[str] = KEY) -> DataFrame:
+    """The symmetric range of a field: plus and minus its largest magnitude."""
+    most = F.greatest(F.abs(F.min(valid(F.col("value")))), F.abs(F.max(valid(F.col("value")))))
+    return df.groupBy(*keys).agg((-most).alias("low"), most.alias("high"))

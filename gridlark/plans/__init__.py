@@ -1 +1 @@
-"""Queries described as JSON."""
+"""Analyses described as JSON, and operators that users register for them."""

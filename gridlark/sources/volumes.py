@@ -7,8 +7,10 @@ task's work; its values leave in Arrow batches of bounded size.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +33,7 @@ DAT_FORMATS = {"float": ("f4", 1), "uchar": ("u1", 1), "byte": ("u1", 1), "ushor
 def _batches(path: str, data: np.ndarray, sizes: tuple[int, int, int], components: int) -> Iterator[pa.RecordBatch]:
     xs, ys, zs = sizes
     total = xs * ys * zs * components
-    if len(data) < total:
+    if len(data) != total:
         raise ValueError(f"{path} holds {len(data)} values, {total} are announced")
     for first in range(0, total, CHUNK):
         at = np.arange(first, min(first + CHUNK, total))
@@ -55,6 +57,8 @@ def read_cvol(spark: SparkSession, paths: str | list[str]) -> DataFrame:
                 if len(raw) < CVOL_BYTES or bytes(raw[:4]) != b"cvol":
                     raise ValueError(f"{path} is no cvol file")
                 _, xs, ys, zs, _, _, _, kind, _ = struct.unpack(CVOL, raw[: CVOL_BYTES])
+                if not 0 <= kind < len(CVOL_TYPES) or (len(raw) - CVOL_BYTES) % np.dtype(CVOL_TYPES[kind]).itemsize:
+                    raise ValueError(f"{path} has a type ({kind}) or size that cvol files don't have")
                 yield from _batches(path, np.frombuffer(raw, "<" + CVOL_TYPES[kind], offset=CVOL_BYTES), (xs, ys, zs), 1)
 
     return _files(spark, paths).mapInArrow(run, SCHEMA)
@@ -89,27 +93,50 @@ def dat_entries(text: str) -> dict[str, str]:
     return found
 
 
-def expanded(pattern: str, start: int, stop: int, step: int = 1) -> list[str]:
-    """File names of a printf pattern for start, start + step, ... below stop."""
-    return [pattern % k for k in range(start, stop, step)]
+def expanded(pattern: str, start: int, stop: int, step: int = 1, inclusive: bool = False) -> list[tuple[int, str]]:
+    """(index, file name) of a printf pattern for start, start + step, ... below stop, or up to it."""
+    return [(k, pattern % k) for k in range(start, stop + inclusive, step)]
 
 
 def read_dat(spark: SparkSession, path: str, byte_order: str = "<") -> DataFrame:
-    """The raw files that a .dat file names, with ``t``, the place of a file among them."""
+    """The raw files that a .dat file names, with ``t``, the index of a file in ObjectIndices (start, stop included, step)."""
     said = dat_entries(spark.read.text(path, wholetext=True).first()[0])
     sizes = tuple(int(x) for x in said["resolution"].split())
     kind, components = DAT_FORMATS[said["format"].lower()]
-    names = [said["objectfilename"]]
+    files = [(0, said["objectfilename"])]
     if "objectindices" in said:
-        names = expanded(names[0], *map(int, said["objectindices"].split()))
+        files = expanded(files[0][1], *map(int, said["objectindices"].split()), inclusive=True)
+    if not files:
+        raise ValueError(f"{path} names no file")
     folder = path.rpartition("/")[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                yield from _batches(at, np.frombuffer(memoryview(content.as_buffer()), byte_order + kind), sizes, components)
+                raw = memoryview(content.as_buffer())
+                if len(raw) % np.dtype(kind).itemsize:
+                    raise ValueError(f"{at} holds {len(raw)} bytes, no whole number of values are announced")
+                yield from _batches(at, np.frombuffer(raw, byte_order + kind), sizes, components)
 
-    rows = _files(spark, [f"{folder}/{n}" for n in names]).mapInArrow(run, SCHEMA)
-    order = spark.createDataFrame(list(zip(names, range(len(names)))), "name string, t int")
+    rows = _files(spark, [f"{folder}/{n}" for _, n in files]).mapInArrow(run, SCHEMA)
+    order = spark.createDataFrame([(n.rpartition("/")[2], t) for t, n in files], "name string, t int")
     # a row for each file, so the table of their order is small against the values
     return rows.withColumn("name", F.element_at(F.split("path", "/"), -1)).join(order, "name").drop("name")
+
+
+def write_cvol(df: DataFrame, folder: str, sizes: tuple[int, int, int], voxel: tuple = (1.0, 1.0, 1.0)) -> None:
+    """A file ``<m>.cvol`` for each member, in a folder that all executors share.
+
+    A file is written under another name and then renamed, so a task that is
+    run again replaces what it left.
+    """
+
+    def put(rows: Iterator) -> None:
+        for r in rows:
+            place = os.path.join(folder, f"{r['m']}.cvol")
+            part = f"{place}.{uuid.uuid4().hex}"
+            with open(part, "wb") as out:
+                out.write(bytes(r["content"]))
+            os.replace(part, place)
+
+    cvol_contents(df, sizes, voxel).foreachPartition(put)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridlark.functions.measures import covariance_ratio
+
 
 def windowed_correlation(
     events: DataFrame, names: list[str], reference: str, seconds: int = 21600, length: int = 32, late: str = "1 day"
@@ -23,7 +25,7 @@ def windowed_correlation(
     told = []
     for k in range(len(names)):
         both = F.col(ref).isNotNull() & F.col(f"s{k}").isNotNull()
-        told += [F.corr(ref, f"s{k}").alias(f"c{k}"), F.count_if(both).alias(f"n{k}")]
+        told += [covariance_ratio(ref, f"s{k}").alias(f"c{k}"), F.count_if(both).alias(f"n{k}")]
     wide = steps.groupBy(span).agg(*told)
     last = (F.unix_timestamp("window.end") / seconds - 1).cast("long")
     rows = F.array(*[F.struct(F.lit(n).alias("sidx"), F.col(f"c{k}").alias("value"), F.col(f"n{k}").alias("n")) for k, n in enumerate(names)])
