@@ -231,7 +231,9 @@ def scored(docs: DataFrame, folds: int = 5, held_out: int = 1, most_nodes: int =
     from; a null doc_id counts as empty text there. A null or empty text is
     its end alone: n_tokens 1, and a score like others. Repeated rows count
     as often as they come. With nothing to learn from, every byte costs the
-    same and train_tokens is 0; an empty table gives an empty table. Words are
+    same and train_tokens is 0; an empty table gives an empty table. Very long
+    texts are scored whole; other columns are left aside, so their names can't
+    clash. Words are
     told apart by 64-bit hashes. ``most_nodes`` and ``most_words`` bound what
     is looked up in the tasks, and change no result.
     """

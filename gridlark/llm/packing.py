@@ -291,7 +291,9 @@ def packed(docs: DataFrame, path: str, end: int = 2, window: int = WINDOW) -> Da
 
     A document is the ids of its text and then ``end``; null and empty texts
     are ``end`` alone. Repeated rows are packed as often as they come; a null
-    doc_id stays null. An empty table gives no pieces.
+    doc_id stays null. Very long texts are tokenised whole and cut into
+    windows. Other columns are left aside, so their names can't clash. An
+    empty table gives no pieces.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     schema = "doc_id long, part int, full long, rest int, rank long, n long, ids binary"

@@ -330,8 +330,10 @@ def personal_data(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
 
     Counts and the digest are of the patterns' spans; ``spans`` has the
     tagger's too. Places are code points, ends exclusive. A null or empty
-    text has no spans, and the digest of the empty string. Repeated rows are
-    scanned alike; an empty table gives an empty table.
+    text has no spans, and the digest of the empty string. Very long texts are
+    scanned whole, window by window. Other columns are left aside, so their
+    names can't clash. Repeated rows are scanned alike; an empty table gives
+    an empty table.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"

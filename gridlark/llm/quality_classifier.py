@@ -165,7 +165,9 @@ def scores(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0
     zeros). A null doc_id counts as empty text in the fold, and has no label.
     Labels that are null are left out; a doc_id that is labelled or listed
     several times counts as often. Without labels of both classes every score
-    is the share of class 1 (0.5 without any).
+    is the share of class 1 (0.5 without any). Very long texts are measured
+    whole; other columns of docs and labels are left aside, so their names
+    can't clash. An empty table gives an empty table.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     stats = written(docs.mapInArrow(_measured, "doc_id long, stats array<float>"), "statistics")

@@ -147,8 +147,9 @@ def verdicts(pages: DataFrame, rules: Iterable[tuple] = RULES, blocked: Iterable
 
     The longest rule that fits decides. Without one, a url whose host or
     parent domain is blocked is blocked, and any other allowed. A null url,
-    or one without ``://``, has empty host and path and is allowed. Repeated
-    rows are judged alike; an empty table gives an empty table.
+    or one without ``://``, has empty host and path and is allowed. Very long
+    urls are judged whole; other columns are left aside, so their names can't
+    clash. Repeated rows are judged alike; an empty table gives an empty table.
     """
     data = built([*rules, *((h, "", "listed") for h in blocked)])
     name = shipped(pages.sparkSession, data)

@@ -1,3 +1,5 @@
+import time
+
 import random
 
 from conftest_llm import prose as numbered
@@ -74,3 +76,16 @@ def test_templates_are_counted_in_documents(spark):
 def test_lines_of_numbers_are_left_alone(spark):
     rows = [(k, f"{k} {k * k} {k + 7}\n2024-01-{k:02} total {k}\nown words " + chr(97 + k) * 3) for k in range(1, 15)]
     assert not any(r.n_dropped for r in deduped(spark, rows).values())
+
+
+def test_very_long_lines_and_no_doc_id(spark):
+    """Time is linear in a line's words and a text's lines; a row without doc_id is never the first."""
+    long = " ".join(f"w{k}" for k in "abcdefghij" * 3000)
+    many = "\n".join(["one and the same short line of every text"] * 20_000)
+    rows = [(k if k else None, f"{long}\n{many}\nown words {chr(97 + k)}") for k in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    start = time.time()
+    got = {r["row"]["doc_id"]: r for r in line_dedup.deduped(df).collect()}
+    assert time.time() - start < 60
+    assert got[1].n_dropped == 19_999 and got[1].clean_text.startswith(long)
+    assert all(r.n_dropped == 20_001 and r.clean_text.startswith("own words") for k, r in got.items() if k != 1)

@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 
 import pytest
@@ -64,3 +65,31 @@ def test_weights_favour_quality(spark):
     part = got.filter("doc_id < 400").selectExpr("doc_id % 2 bad", "taken / size t").groupBy("bad").avg("t")
     share = {r[0]: r[1] for r in part.collect()}
     assert share[0] >= share[1]
+
+
+def test_draw_by_brute_force(spark):
+    """Which documents the draw takes: keys sorted in each source, words summed up to the target."""
+    rng = random.Random(6)
+    rows = [(k, " ".join("w" for _ in range(rng.choice((1, 2, 5, 40, 200)))), ("a", "b", "c", None)[min(3, int(rng.expovariate(0.9)))]) for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    keys = {r.doc_id: r for r in mixing.drawn(df, "source", "text", "doc_id", 7).collect()}
+    sizes = defaultdict(int)
+    for r in keys.values():
+        sizes[r.source] += r.size
+    goal, want = level(dict(sizes)), {}
+    for s in sizes:
+        epochs = min(3, int(goal[s] // sizes[s]))
+        left = 0 if epochs == 3 else round(goal[s] - epochs * sizes[s])
+        for r in sorted((r for r in keys.values() if r.source == s), key=lambda r: (r.key, r.doc_id)):
+            part = min(r.size, left)
+            want[r.doc_id] = epochs * r.size + part
+            left -= part
+    got = {r.doc_id: r.taken for r in mixing.mixed_sizes(df).collect()}
+    assert got == want
+
+
+def test_no_bin_is_full(spark):
+    """Low weights of short texts spread over bins like others."""
+    df = spark.range(20_000).selectExpr("id doc_id", "'###' text", "'s' source")
+    bins = mixing.drawn(df, "source", "text", "doc_id", 7).groupBy("bin").count()
+    assert bins.agg({"count": "max"}).first()[0] <= 40

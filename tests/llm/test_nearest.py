@@ -70,3 +70,33 @@ def test_cut_is_balanced_and_keeps_neighbours():
     mine = router.balanced_cut(x, graph, 4)
     assert np.bincount(mine, minlength=4).max() <= 53
     assert (mine[graph] == mine[:, None]).mean() > 0.9
+
+
+def test_ties_go_to_the_smaller_id(spark):
+    """Vectors of +-1, of which many score alike: every tie that an answer could hold is looked at."""
+    rng = np.random.default_rng(5)
+    rows = [(k, rng.choice([-1.0, 1.0], 8).tolist()) for k in range(400)]
+    got = sorted(tuple(r) for r in N.nearest(spark.createDataFrame([(*r, 1) for r in rows], SCHEMA).repartition(4)).collect())
+    assert got == [(*w[:3], pytest.approx(w[3], abs=1e-12)) for w in sorted(brute(rows, 20, 20))]
+
+
+def test_best_of_a_block_with_ties(monkeypatch):
+    rng = np.random.default_rng(6)
+    q, c = rng.choice([-1.0, 0.0, 1.0], (50, 6)), rng.choice([-1.0, 0.0, 1.0], (700, 6))
+    for pairs in (16, 1 << 15):
+        monkeypatch.setattr(N, "PAIRS", pairs)
+        a, b, score = N._best(q, c, 21)
+        for r in range(50):
+            exact = (c * q[r]).sum(1)
+            want = np.lexsort((np.arange(700), -exact))[:21]
+            assert b[a == r].tolist() == want.tolist() and score[a == r].tolist() == exact[want].tolist()
+
+
+def test_parts_from_small_tables_on(spark, monkeypatch):
+    seen, fit = [], N.fitted
+    monkeypatch.setattr(N, "fitted", lambda x, parts: seen.append(parts) or fit(x, parts))
+    rng = np.random.default_rng(7)
+    rows = [(k, rng.standard_normal(8).astype(np.float32).tolist()) for k in range(900)]
+    got = N.nearest(spark.createDataFrame([(*r, 1) for r in rows], SCHEMA).repartition(3)).collect()
+    want = {(q, i) for q, _, i, _ in brute(rows, 20, 20)}
+    assert seen == [6] and len(got) == len(want) and sum((r.query_id, r.vec_id) in want for r in got) >= 0.9 * len(want)
