@@ -1,4 +1,11 @@
-"""Corpus pipeline: quality rules, line dedup, near dedup, mixing, packing."""
+"""Corpus pipeline: quality rules, line dedup, near dedup, mixing, packing.
+
+Null and empty texts fail the quality rules and go there; rows without doc_id
+stay, and are copies of nothing. Repeated rows are judged alike, and are one
+document to near dedup, which leaves all of them. Very long texts are
+processed whole. Columns besides doc_id, text and source pass through to
+packing, whatever their names. An empty table gives no pieces.
+"""
 
 from __future__ import annotations
 
