@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlark.operators.grid import region, subsampled, transposed
-from gridlark.sources import formats, volumes
+from gridlark.sources import formats, stores, volumes
 
 
 @dataclass
@@ -92,6 +92,8 @@ def read(spark: SparkSession, data: Dataset) -> DataFrame:
             rows = rows.select(formats.NAMES)
         elif kind in formats.READERS:
             rows = formats.READERS[kind](spark, name)
+        elif kind in stores.READERS:
+            rows = stores.READERS[kind](spark, name)
         else:
             raise ValueError(f"{name}: no reader for .{kind} files")
         many = len(data.files) > 1

@@ -11,7 +11,7 @@ import os
 import re
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -64,8 +64,8 @@ def read_cvol(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return _files(spark, paths).mapInArrow(run, SCHEMA)
 
 
-def cvol_contents(df: DataFrame, sizes: tuple[int, int, int], voxel: tuple = (1.0, 1.0, 1.0)) -> DataFrame:
-    """(m, content): the bytes of a cvol file of floats for each member; cells without a row are NaN.
+def _contents(df: DataFrame, sizes: tuple[int, int, int], encode: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """(m, content): a file's bytes for each member; cells without a row are NaN.
 
     A member's grid is put together in one task, so its size is checked.
     """
@@ -76,12 +76,17 @@ def cvol_contents(df: DataFrame, sizes: tuple[int, int, int], voxel: tuple = (1.
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         grid = np.full(total, np.nan, "<f4")
         grid[rows["point_id"].to_numpy()] = rows["value"].to_numpy()
-        head = struct.pack(CVOL, b"cvol", *sizes, *voxel, CVOL_TYPES.index("f4"), 0)
-        return pd.DataFrame({"m": [rows["m"].iloc[0]], "content": [head + grid.tobytes()]})
+        return pd.DataFrame({"m": [rows["m"].iloc[0]], "content": [encode(grid)]})
 
     return df.select(F.col("m").cast("int"), "point_id", "value").groupBy("m").applyInPandas(run, "m int, content binary")
 
 
+def cvol_contents(df: DataFrame, sizes: tuple[int, int, int], voxel: tuple = (1.0, 1.0, 1.0)) -> DataFrame:
+    """(m, content): the bytes of a cvol file of floats for each member; cells without a row are NaN."""
+    head = struct.pack(CVOL, b"cvol", *sizes, *voxel, CVOL_TYPES.index("f4"), 0)
+    return _contents(df, sizes, lambda grid: head + grid.tobytes())
+
+
 def dat_entries(text: str) -> dict[str, str]:
     """The ``key: value`` lines of a .dat file; keys in lower case, the first of equal ones counts."""
     found: dict[str, str] = {}
@@ -124,8 +129,8 @@ def read_dat(spark: SparkSession, path: str, byte_order: str = "<") -> DataFrame
     return rows.withColumn("name", F.element_at(F.split("path", "/"), -1)).join(order, "name").drop("name")
 
 
-def write_cvol(df: DataFrame, folder: str, sizes: tuple[int, int, int], voxel: tuple = (1.0, 1.0, 1.0)) -> None:
-    """A file ``<m>.cvol`` for each member, in a folder that all executors share.
+def written_files(df: DataFrame, folder: str, sizes: tuple[int, int, int], ending: str, encode: Callable[[np.ndarray], bytes]) -> None:
+    """A file ``<m>.<ending>`` for each member, in a folder that all executors share.
 
     A file is written under another name and then renamed, so a task that is
     run again replaces what it left.
@@ -133,10 +138,16 @@ def write_cvol(df: DataFrame, folder: str, sizes: tuple[int, int, int], voxel: t
 
     def put(rows: Iterator) -> None:
         for r in rows:
-            place = os.path.join(folder, f"{r['m']}.cvol")
+            place = os.path.join(folder, f"{r['m']}.{ending}")
             part = f"{place}.{uuid.uuid4().hex}"
             with open(part, "wb") as out:
                 out.write(bytes(r["content"]))
             os.replace(part, place)
 
-    cvol_contents(df, sizes, voxel).foreachPartition(put)
+    _contents(df, sizes, encode).foreachPartition(put)
+
+
+def write_cvol(df: DataFrame, folder: str, sizes: tuple[int, int, int], voxel: tuple = (1.0, 1.0, 1.0)) -> None:
+    """A file ``<m>.cvol`` for each member, in a folder that all executors share."""
+    head = struct.pack(CVOL, b"cvol", *sizes, *voxel, CVOL_TYPES.index("f4"), 0)
+    written_files(df, folder, sizes, "cvol", lambda grid: head + grid.tobytes())
