@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridlark import catalog_grid, catalog_measures, catalog_regions
+from gridlark import catalog_grid, catalog_hierarchy, catalog_measures, catalog_regions
 from gridlark.fields import embedding_field, event_series, holes, lineitem_field
 from gridlark.functions.measures import default_k, mi_coefficient, psi
 from gridlark.operators import dependence, ensemble, grid, regions, similarity
@@ -200,6 +200,6 @@ ORACLE_SQL = {
  UNION ALL SELECT j + 1, j, f * (1 - f) FROM w UNION ALL SELECT j, -1, (1 - f) * v * v FROM w UNION ALL SELECT j + 1, -1, f * v * v FROM w) GROUP BY 1, 2""",
 }
 
-for _more in (catalog_measures, catalog_regions, catalog_grid):
+for _more in (catalog_measures, catalog_regions, catalog_grid, catalog_hierarchy):
     QUERIES |= _more.QUERIES
     ORACLE_SQL |= _more.ORACLE_SQL
