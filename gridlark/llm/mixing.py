@@ -7,11 +7,11 @@ each document draws the exponential key -ln(u) / w, where w is its quality
 weight, and the smallest keys win until the source's words are reached. The
 document at the edge gives only the words that are missing.
 
-The prefix sum over a source is taken over a histogram of its keys; only the
-one bin in which the target falls is sorted. Bins divide each doubling of the
-key into BINS parts. Whatever the weights, a part of a doubling holds at most
-0.26 / BINS of the keys expected, so a source with a third of all rows is no
-task of its own.
+The prefix sum over a source is taken over a histogram of its keys, first by
+doublings of the key, then by the BINS parts of the one doubling in which the
+target falls; only the documents of one part are sorted. Whatever the weights,
+a part holds at most 0.26 / BINS of the keys expected, so a source with a
+third of all rows is no task of its own.
 """
 
 from __future__ import annotations
@@ -74,6 +74,18 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_EPOCHS)
     return df.select("src", "source_size", F.least("cap", level * F.col("weight")).alias("target"))
 
 
+def _fallen(groups: DataFrame, group: str, wanted: DataFrame) -> DataFrame:
+    """The group of each source in which its rest falls, with the words before it.
+
+    groups has src, the group's place and words; wanted has src, rest and the
+    words ahead of the source's first group.
+    """
+    by_place = Window.partitionBy("src").orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
+    df = groups.withColumn("sum", F.coalesce(F.sum("words").over(by_place), F.lit(0))).join(wanted, "src")
+    df = df.withColumn("before", F.col("ahead") + F.col("sum"))
+    return df.filter("before < rest AND before + words >= rest")
+
+
 def planned(rows: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
     """What each source gives: (src, source_size, target, epochs, edge).
 
@@ -87,10 +99,13 @@ def planned(rows: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_EPOCHS)
     goal = goal.withColumn("epochs", epochs.cast("long"))
     rest = F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")
     goal = checkpointed(goal.withColumn("rest", F.when(F.col("epochs") >= most, F.lit(0)).otherwise(rest).cast("long")))
-    by_bin = Window.partitionBy("src").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    at = per_bin.withColumn("before", F.coalesce(F.sum("words").over(by_bin), F.lit(0)))
-    at = at.join(goal.filter("rest > 0").select("src", "rest"), "src")
-    at = at.filter("before < rest AND before + words >= rest").select("src", "bin", "before", "rest")
+    doubling = F.floor(F.col("bin") / BINS).cast("int").alias("doubling")
+    wanted = goal.filter("rest > 0").select("src", "rest", F.lit(0).cast("long").alias("ahead"))
+    at = _fallen(per_bin.groupBy("src", doubling).agg(F.sum("words").alias("words")), "doubling", wanted)
+    at = at.select("src", "rest", F.col("doubling").alias("within"), F.col("before").alias("ahead"))
+    parts = per_bin.select("src", "bin", "words", doubling).join(few_rows(at), "src").filter("doubling = within")
+    at = _fallen(parts.select("src", "bin", "words"), "bin", few_rows(at.select("src", "rest", "ahead")))
+    at = at.select("src", "bin", "before", "rest")
     few = rows.select("src", "bin", "doc_id", "key", "size").join(few_rows(at), ["src", "bin"])
     same = few.groupBy("src", "key", "doc_id").agg(
         F.sum("size").alias("words"), F.count("*").alias("n"), F.first("before").alias("before"), F.first("rest").alias("rest")
