@@ -65,4 +65,50 @@ _URLS = f"""WITH b AS (SELECT unnest({list(BLOCKED_HOSTS)!r}) AS blocked),
  SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN k.rid IS NULL THEN 'allow' ELSE 'block' END) AS verdict
  FROM s LEFT JOIN f USING (rid) LEFT JOIN k ON k.rid = s.rid"""
 
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": _LINES, "op4_quality_rules": _QUALITY, "op8_url_filters": _URLS}
+_P = "(1 + 1000000000::HUGEINT * ({n} + 1) // ({total} + v.kept))::HUGEINT"
+_DIVERGENCE = f"""WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS body FROM documents),
+ t AS (SELECT rid, lang, source, unnest(regexp_extract_all(translate(body, '{UPPER}', '{LOWER}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+ k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT rid) >= 3),
+ v AS (SELECT l.lang, count(k.term) AS kept, coalesce(sum(k.n), 0) AS total FROM (SELECT DISTINCT lang FROM d) l LEFT JOIN k USING (lang) GROUP BY l.lang),
+ c AS (SELECT lang, source, term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY lang, source, term),
+ g AS (SELECT o.lang, o.source, coalesce(sum(c.n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) o LEFT JOIN c USING (lang, source) GROUP BY o.lang, o.source),
+ p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, {_P.format(n='coalesce(c.n, 0)', total='g.total')} AS p, {_P.format(n='k.n', total='v.total')} AS q
+ FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+ f AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term
+ AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+ r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+ LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+ UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q)
+ SELECT lang, source, part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM r
+ QUALIFY part = 'pair' OR rank <= 200"""
+
+_FIELD = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_HEAD = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+# crc32 a bit at a time: a code of 0 or more is the next character, -1 a shift
+_BITS = "flatten([[ord(x), -1, -1, -1, -1, -1, -1, -1, -1] FOR x IN string_split(doc_id::VARCHAR, '')])"
+_CRC = f"""xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], {_BITS}::BIGINT[]),
+ lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END))"""
+_MANIFEST = f"""WITH RECURSIVE e AS (SELECT *, CASE WHEN doc_id IS NOT NULL AND {_CRC} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS there FROM documents),
+ l AS MATERIALIZED (SELECT doc_id, source, sha256({_HEAD} || {_FIELD.format('text')}) AS leaf, sha256({_HEAD} || {_FIELD.format('there')}) AS found FROM e),
+ o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM l),
+ t AS (SELECT source, 0 AS level, 1::BIGINT AS wide, pos, n, leaf AS node FROM o UNION ALL SELECT source, any_value(level) + 1, any_value(wide) * 3, pos // 3,
+ (any_value(n) + 2) // 3, sha256(string_agg(node, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY source, pos // 3),
+ s AS MATERIALIZED (SELECT source, node AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+ u AS (SELECT 1000 AS level, 1::BIGINT AS wide, pos, n, subroot AS node FROM s UNION ALL SELECT any_value(level) + 1, any_value(wide) * 3, pos // 3,
+ (any_value(n) + 2) // 3, sha256(string_agg(node, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY pos // 3),
+ a AS MATERIALIZED (SELECT row_number() OVER () AS rid, o.*, s.subroot, s.pos AS place FROM o JOIN s ON s.source IS NOT DISTINCT FROM o.source),
+ w AS MATERIALIZED (SELECT a.rid, t.level, t.pos - a.pos // t.wide AS side, t.pos, t.node FROM a JOIN t ON t.source IS NOT DISTINCT FROM a.source AND t.n > 1
+ AND t.pos // 3 = a.pos // (t.wide * 3) UNION ALL SELECT a.rid, u.level, u.pos - a.place // u.wide, u.pos, u.node FROM a JOIN u ON u.n > 1 AND u.pos // 3 = a.place // (u.wide * 3)),
+ x AS MATERIALIZED (SELECT rid, level, row_number() OVER (PARTITION BY rid ORDER BY level) AS step, coalesce(string_agg(node, '' ORDER BY pos) FILTER (side < 0), '') AS before,
+ coalesce(string_agg(node, '' ORDER BY pos) FILTER (side > 0), '') AS after FROM w GROUP BY rid, level),
+ f AS (SELECT rid, 0::BIGINT AS step, found AS node FROM a UNION ALL SELECT f.rid, x.step, sha256(x.before || f.node || x.after) FROM f JOIN x ON x.rid = f.rid AND x.step = f.step + 1)
+ SELECT a.doc_id, a.leaf, a.subroot, (SELECT node FROM u WHERE n = 1) AS root, sha256(coalesce((SELECT string_agg(x.before || x.after, '' ORDER BY step) FROM x WHERE x.rid = a.rid), '')) AS proof_sha256,
+ f.node AS folded_root, f.node = (SELECT node FROM u WHERE n = 1) AS verified FROM a JOIN (SELECT rid, arg_max(node, step) AS node FROM f GROUP BY rid) f USING (rid)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": _LINES,
+    "op4_quality_rules": _QUALITY,
+    "op8_url_filters": _URLS,
+    "op11_source_divergence": _DIVERGENCE,
+    "op13_merkle_manifest": _MANIFEST,
+}

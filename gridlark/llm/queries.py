@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    divergence,
+    language_id,
     line_dedup,
     lm_scoring,
+    manifest,
     mixing,
     near_dedup,
     nearest,
@@ -78,6 +81,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identified(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"), manifest.without_breaks(F.col("doc_id"), F.col("text")))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_mixing": op2_mixing,
@@ -89,4 +104,7 @@ QUERIES = {
     "op8_url_filters": op8_url_filters,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_packing": op10_packing,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_language_id": op12_language_id,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
