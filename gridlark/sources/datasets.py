@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlark.operators.grid import region, subsampled, transposed
-from gridlark.sources import formats, stores, volumes
+from gridlark.sources import formats, slabs, stores, volumes
 
 
 @dataclass
@@ -82,12 +82,17 @@ def catalog(text: str, folder: str = ".") -> dict[str, Dataset]:
 
 def read(spark: SparkSession, data: Dataset) -> DataFrame:
     """The rows of a data set (see formats), in its box, subsampled and transposed as it says."""
-    parts = []
+    many = len(data.files) > 1
+    # one load for all files that are read by slabs, whose plan the filters below reach
+    sliced = [(n, *((t, e) if many else (None, None))) for n, t, e in data.files if slabs.readable(n)]
+    parts = [slabs.read_slabs(spark, sliced)] if sliced else []
     for name, t, e in data.files:
         kind = name.rpartition(".")[2].lower()
+        if slabs.readable(name):
+            continue
         if kind in ("cvol", "dat"):
             rows = (volumes.read_cvol if kind == "cvol" else volumes.read_dat)(spark, name)
-            rows = rows.withColumns({"variable": F.lit("Scalar"), "e": F.lit(0)})
+            rows = rows.withColumns({"variable": F.lit(formats.ATTRIBUTE), "e": F.lit(0)})
             rows = rows if "t" in rows.columns else rows.withColumn("t", F.lit(0))
             rows = rows.select(formats.NAMES)
         elif kind in formats.READERS:
@@ -96,7 +101,6 @@ def read(spark: SparkSession, data: Dataset) -> DataFrame:
             rows = stores.READERS[kind](spark, name)
         else:
             raise ValueError(f"{name}: no reader for .{kind} files")
-        many = len(data.files) > 1
         parts.append(rows.withColumns({"t": F.lit(t), "e": F.lit(e)}) if many else rows)
     df = reduce(DataFrame.unionByName, parts)
     if data.low is not None or data.high is not None:

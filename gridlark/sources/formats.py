@@ -11,20 +11,24 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from gridlark.sources.blocks import Block
 from gridlark.sources.volumes import CHUNK
 
 SCHEMA = "path string, variable string, t int, e int, point_id long, x int, y int, z int, component int, value double"
 NAMES = ["path", "variable", "t", "e", "point_id", "x", "y", "z", "component", "value"]
-# Data type codes of NIfTI, element types of MetaImage, types of VTK, the grid of RBC files.
+# Data type codes of NIfTI, element types of MetaImage, types of VTK, the grid of RBC files,
+# the name of fields of a format without names.
 NIFTI_TYPES = {2: "u1", 4: "i2", 16: "f4", 64: "f8"}
 META_TYPES = {"MET_FLOAT": "f4", "MET_UCHAR": "u1", "MET_USHORT": "u2", "MET_FLOAT16": "f2", "MET_HALF": "f2"}
 VTK_TYPES = {"float": "f4", "double": "f8", "unsigned_char": "u1", "char": "i1", "short": "i2", "unsigned_short": "u2", "int": "i4"}
 RBC_SIZES = (1024, 32, 1024)
+ATTRIBUTE = "Scalar Attribute"
 
 #: What a decoder yields: variable, t, e, values (components interleaved), sizes, components.
 Part = tuple[str, int, int, np.ndarray, tuple[int, int, int], int]
@@ -67,27 +71,34 @@ def _beside(path: str, name: str) -> str:
     return name if name.startswith("/") or "://" in name else f"{path.rpartition('/')[0]}/{name}"
 
 
+def nifti_blocks(path: str, head: bytes | memoryview, size: int) -> list[Block]:
+    """A block for each time step of a NIfTI-1 file of ``size`` bytes that begins with ``head``."""
+    order = next((o for o in "<>" if len(head) >= 348 and struct.unpack_from(f"{o}i", head)[0] == 348), None)
+    if order is None or bytes(head[344:347]) != b"n+1":
+        raise ValueError(f"{path} is no NIfTI-1 file in one piece")
+    dims = struct.unpack_from(f"{order}8h", head, 40)
+    code = struct.unpack_from(f"{order}h", head, 70)[0]
+    if code not in NIFTI_TYPES or not 1 <= dims[0] <= 4:
+        raise ValueError(f"{path} has data of type {code} in {dims[0]} dimensions, which isn't supported")
+    xs, ys, zs, ts = (max(d, 1) if k < dims[0] else 1 for k, d in enumerate(dims[1:5]))
+    start = int(struct.unpack_from(f"{order}f", head, 108)[0])
+    name = path.rpartition("/")[2].lower()
+    # What the file's name says of its variable.
+    variable = "Density" if "volume" in name else "Labels" if "label" in name else "Scalar"
+    one = Block(path, variable, 0, 0, start, order + NIFTI_TYPES[code], (xs, ys, zs))
+    if (size - start) % np.dtype(one.kind).itemsize:
+        raise ValueError(f"{path} holds {size - start} bytes of data, no whole number of values")
+    if start + one.nbytes * ts > size:
+        raise ValueError(f"{path} holds {(size - start) // np.dtype(one.kind).itemsize} values, {one.values * ts} are announced")
+    return [replace(one, t=t, offset=start + t * one.nbytes) for t in range(ts)]
+
+
 def read_nifti(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """NIfTI-1 files in one piece; volumes of a fourth dimension are time steps."""
 
     def decode(path: str, raw: memoryview) -> Iterator[Part]:
-        order = next((o for o in "<>" if len(raw) >= 348 and struct.unpack_from(f"{o}i", raw)[0] == 348), None)
-        if order is None or bytes(raw[344:347]) != b"n+1":
-            raise ValueError(f"{path} is no NIfTI-1 file in one piece")
-        dims = struct.unpack_from(f"{order}8h", raw, 40)
-        code = struct.unpack_from(f"{order}h", raw, 70)[0]
-        if code not in NIFTI_TYPES or not 1 <= dims[0] <= 4:
-            raise ValueError(f"{path} has data of type {code} in {dims[0]} dimensions, which isn't supported")
-        xs, ys, zs, ts = (max(d, 1) if k < dims[0] else 1 for k, d in enumerate(dims[1:5]))
-        start = int(struct.unpack_from(f"{order}f", raw, 108)[0])
-        data = _values(path, raw[start:], order + NIFTI_TYPES[code])
-        size = xs * ys * zs
-        if len(data) < size * ts:
-            raise ValueError(f"{path} holds {len(data)} values, {size * ts} are announced")
-        name = path.rpartition("/")[2].lower()
-        variable = "Density" if "volume" in name else "Labels" if "label" in name else "Scalar"
-        for t in range(ts):
-            yield variable, t, 0, data[t * size : (t + 1) * size], (xs, ys, zs), 1
+        for b in nifti_blocks(path, raw, len(raw)):
+            yield b.variable, b.t, b.e, np.frombuffer(raw, b.kind, b.values, b.offset), b.sizes, 1
 
     return _read(spark, paths, decode)
 
@@ -103,9 +114,9 @@ def meta_entries(text: str) -> dict[str, str]:
     return found
 
 
-def read_meta_image(spark: SparkSession, path: str) -> DataFrame:
-    """The data file of a MetaImage header (.mhd)."""
-    said = meta_entries(_text(spark, path))
+def meta_image(path: str, text: str) -> tuple[str, tuple[int, int, int], str]:
+    """(type, sizes, data file) of a MetaImage header."""
+    said = meta_entries(text)
     for key, only in (("ObjectType", "Image"), ("NDims", "3"), ("BinaryData", "True"), ("BinaryDataByteOrderMSB", "False")):
         if said.get(key, only) != only:
             raise ValueError(f"{path}: {key} is {said[key]}, only {only} is supported")
@@ -113,7 +124,13 @@ def read_meta_image(spark: SparkSession, path: str) -> DataFrame:
     kind = META_TYPES.get(said["ElementType"])
     if kind is None or len(sizes) != 3:
         raise ValueError(f"{path}: {said['ElementType']} in {len(sizes)} dimensions isn't supported")
-    return _read(spark, _beside(path, said["ElementDataFile"]), lambda p, raw: iter([("Scalar", 0, 0, _values(p, raw, "<" + kind), sizes, 1)]))
+    return "<" + kind, sizes, _beside(path, said["ElementDataFile"])
+
+
+def read_meta_image(spark: SparkSession, path: str) -> DataFrame:
+    """The data file of a MetaImage header (.mhd)."""
+    kind, sizes, name = meta_image(path, _text(spark, path))
+    return _read(spark, name, lambda p, raw: iter([(ATTRIBUTE, 0, 0, _values(p, raw, kind), sizes, 1)]))
 
 
 def _vtk(path: str, raw: memoryview) -> Iterator[Part]:

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridlark.sources.blocks import Block
 from gridlark.sources.formats import NAMES, SCHEMA, Part, _read, _values
 from gridlark.sources.volumes import CHUNK, written_files
 
@@ -136,7 +137,7 @@ def read_amira_mesh(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return _read(spark, paths, decode)
 
 
-class _Header:
+class NetcdfHeader:
     """The header of a NetCDF file in one of the classic formats."""
 
     def __init__(self, path: str, raw: memoryview):
@@ -188,29 +189,21 @@ class _Header:
         return {"name": name, "dims": dims, "said": said, "kind": kind, "size": size, "begin": self.number("I" if self.version == 1 else "Q")}
 
 
-def read_netcdf(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Variables of three or more axes in classic NetCDF files (CDF-1, CDF-2, CDF-5).
-
-    The last axes are z, y and x; of three axes that begin with a time or a
-    member, y and x. A leading ensemble, member or members is ``e``, any other
-    ``t``. Fill values are NaN, standard names come before names.
-    """
-
-    def decode(path: str, raw: memoryview) -> Iterator[Part]:
-        head = _Header(path, raw)
-        growing = [v for v in head.variables if v["dims"] and head.sizes[v["dims"][0]][1] == 0]
+    def blocks(self, total: int) -> Iterator[Block]:
+        """The blocks of all variables of three or more axes, in a file of ``total`` bytes."""
+        growing = [v for v in self.variables if v["dims"] and self.sizes[v["dims"][0]][1] == 0]
         step = sum(v["size"] for v in growing)
-        for v in head.variables:
-            names = [head.sizes[d][0] for d in v["dims"]]
+        for v in self.variables:
+            names = [self.sizes[d][0] for d in v["dims"]]
             kind = np.dtype(v["kind"])
             if len(names) < 3 or kind.kind == "S":
                 continue
             flat = len(names) == 3 and names[0] in ("time", *MEMBERS)
             outer = len(names) - (2 if flat else 3)
-            shape = [head.sizes[d][1] or head.records for d in v["dims"]]
+            shape = [self.sizes[d][1] or self.records for d in v["dims"]]
             if outer > 2:
-                raise ValueError(f"{path}: {v['name']} has {len(names)} axes")
-            fills = [np.asarray(v["said"][a])[0] for a in ("missing_value", "_FillValue") if len(v["said"].get(a, ())) and not isinstance(v["said"][a], str)]
+                raise ValueError(f"{self.path}: {v['name']} has {len(names)} axes")
+            fills = tuple(float(np.asarray(v["said"][a])[0]) for a in ("missing_value", "_FillValue") if len(v["said"].get(a, ())) and not isinstance(v["said"][a], str))
             inner = int(np.prod(shape[outer:]))
             sizes = (shape[-1], shape[-2], 1 if flat else shape[-3])
             # records of a single variable are not padded
@@ -218,20 +211,33 @@ def read_netcdf(spark: SparkSession, paths: str | list[str]) -> DataFrame:
             for place in np.ndindex(*shape[:outer]):
                 number = int(np.ravel_multi_index(place, shape[:outer])) if outer else 0
                 first = v["begin"] + number * inner * kind.itemsize
-                if v in growing:
+                if v in growing and outer:
                     inside = int(np.ravel_multi_index(place[1:], shape[1:outer])) if outer > 1 else 0
-                    first = v["begin"] + place[0] * rows + inside * inner * kind.itemsize if outer else first
-                if first + inner * kind.itemsize > len(raw):
-                    raise ValueError(f"{path} ends before the values of {v['name']} that are announced")
-                data = np.frombuffer(raw, kind, inner, first).astype("f8")
-                for fill in fills:
-                    data[data == fill] = np.nan
+                    first = v["begin"] + place[0] * rows + inside * inner * kind.itemsize
+                if first + inner * kind.itemsize > total:
+                    raise ValueError(f"{self.path} ends before the values of {v['name']} that are announced")
                 member = [i for i, n in zip(place, names) if n in MEMBERS]
                 time = [i for i, n in zip(place, names) if n not in MEMBERS]
                 if len(member) > 1 or len(time) > 1:
-                    raise ValueError(f"{path}: {v['name']} has two leading axes of one meaning")
+                    raise ValueError(f"{self.path}: {v['name']} has two leading axes of one meaning")
                 title = v["said"].get("standard_name") or v["name"]
-                yield title, time[0] if time else 0, member[0] if member else 0, data, sizes, 1
+                yield Block(self.path, title, time[0] if time else 0, member[0] if member else 0, first, kind.str, sizes, 1, fills)
+
+
+def read_netcdf(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Variables of three or more axes in classic NetCDF files (CDF-1, CDF-2, CDF-5).
+
+    The last axes are z, y and x; of three axes that begin with a time or a
+    member, y and x. A leading ensemble, member or members is ``e``, any other
+    ``t``. Fill values are NaN, standard names come before names.
+    """
+
+    def decode(path: str, raw: memoryview) -> Iterator[Part]:
+        for b in NetcdfHeader(path, raw).blocks(len(raw)):
+            data = np.frombuffer(raw, b.kind, b.values, b.offset).astype("f8")
+            for fill in b.fills:
+                data[data == fill] = np.nan
+            yield b.variable, b.t, b.e, data, b.sizes, 1
 
     return _read(spark, paths, decode)
 

@@ -8,6 +8,7 @@ task's work; its values leave in Arrow batches of bounded size.
 from __future__ import annotations
 
 import os
+import posixpath
 import re
 import struct
 import uuid
@@ -19,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridlark.sources.blocks import Block
+
 SCHEMA = "path string, point_id long, x int, y int, z int, component int, value double"
 CHUNK = 1 << 16
 MOST_BYTES = 1 << 30
@@ -47,6 +50,16 @@ def _files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(paths).select("path", "content")
 
 
+def cvol_blocks(path: str, head: bytes | memoryview, size: int) -> list[Block]:
+    """The one block of a cvol file of ``size`` bytes that begins with ``head``."""
+    if len(head) < CVOL_BYTES or bytes(head[:4]) != b"cvol":
+        raise ValueError(f"{path} is no cvol file")
+    _, xs, ys, zs, _, _, _, kind, _ = struct.unpack(CVOL, head[:CVOL_BYTES])
+    if not 0 <= kind < len(CVOL_TYPES) or (size - CVOL_BYTES) % np.dtype(CVOL_TYPES[kind]).itemsize:
+        raise ValueError(f"{path} has a type ({kind}) or size that cvol files don't have")
+    return [Block(path, "Scalar Attribute", 0, 0, CVOL_BYTES, "<" + CVOL_TYPES[kind], (xs, ys, zs))]
+
+
 def read_cvol(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """The values of cvol files, as stored (integers are not scaled)."""
 
@@ -54,12 +67,8 @@ def read_cvol(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw = memoryview(content.as_buffer())
-                if len(raw) < CVOL_BYTES or bytes(raw[:4]) != b"cvol":
-                    raise ValueError(f"{path} is no cvol file")
-                _, xs, ys, zs, _, _, _, kind, _ = struct.unpack(CVOL, raw[: CVOL_BYTES])
-                if not 0 <= kind < len(CVOL_TYPES) or (len(raw) - CVOL_BYTES) % np.dtype(CVOL_TYPES[kind]).itemsize:
-                    raise ValueError(f"{path} has a type ({kind}) or size that cvol files don't have")
-                yield from _batches(path, np.frombuffer(raw, "<" + CVOL_TYPES[kind], offset=CVOL_BYTES), (xs, ys, zs), 1)
+                for b in cvol_blocks(path, raw, len(raw)):
+                    yield from _batches(path, np.frombuffer(raw, b.kind, offset=b.offset), b.sizes, 1)
 
     return _files(spark, paths).mapInArrow(run, SCHEMA)
 
@@ -103,9 +112,9 @@ def expanded(pattern: str, start: int, stop: int, step: int = 1, inclusive: bool
     return [(k, pattern % k) for k in range(start, stop + inclusive, step)]
 
 
-def read_dat(spark: SparkSession, path: str, byte_order: str = "<") -> DataFrame:
-    """The raw files that a .dat file names, with ``t``, the index of a file in ObjectIndices (start, stop included, step)."""
-    said = dat_entries(spark.read.text(path, wholetext=True).first()[0])
+def dat_files(path: str, text: str) -> tuple[str, int, tuple[int, int, int], list[tuple[str, int]]]:
+    """(type, components, sizes, [(raw file, t)]) of a .dat file's text; t is the index in ObjectIndices (start, stop included, step)."""
+    said = dat_entries(text)
     sizes = tuple(int(x) for x in said["resolution"].split())
     kind, components = DAT_FORMATS[said["format"].lower()]
     files = [(0, said["objectfilename"])]
@@ -114,6 +123,12 @@ def read_dat(spark: SparkSession, path: str, byte_order: str = "<") -> DataFrame
     if not files:
         raise ValueError(f"{path} names no file")
     folder = path.rpartition("/")[0]
+    return kind, components, sizes, [(posixpath.normpath(f"{folder}/{n}") if "://" not in folder else f"{folder}/{n}", t) for t, n in files]
+
+
+def read_dat(spark: SparkSession, path: str, byte_order: str = "<") -> DataFrame:
+    """The raw files that a .dat file names, with ``t``, the index of a file in ObjectIndices."""
+    kind, components, sizes, files = dat_files(path, spark.read.text(path, wholetext=True).first()[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,12 +136,12 @@ def read_dat(spark: SparkSession, path: str, byte_order: str = "<") -> DataFrame
                 raw = memoryview(content.as_buffer())
                 if len(raw) % np.dtype(kind).itemsize:
                     raise ValueError(f"{at} holds {len(raw)} bytes, no whole number of values are announced")
-                yield from _batches(at, np.frombuffer(raw, byte_order + kind), sizes, components)
+                # Spark names a file by its whole path: the longest name that this ends with is the file's
+                t = max((len(n), t) for n, t in files if f"/{at}".endswith(f"/{n.lstrip('/')}"))[1]
+                for rows in _batches(at, np.frombuffer(raw, byte_order + kind), sizes, components):
+                    yield rows.append_column("t", pa.array(np.full(rows.num_rows, t, "i4")))
 
-    rows = _files(spark, [f"{folder}/{n}" for _, n in files]).mapInArrow(run, SCHEMA)
-    order = spark.createDataFrame([(n.rpartition("/")[2], t) for t, n in files], "name string, t int")
-    # a row for each file, so the table of their order is small against the values
-    return rows.withColumn("name", F.element_at(F.split("path", "/"), -1)).join(order, "name").drop("name")
+    return _files(spark, [n for n, _ in files]).mapInArrow(run, f"{SCHEMA}, t int")
 
 
 def written_files(df: DataFrame, folder: str, sizes: tuple[int, int, int], ending: str, encode: Callable[[np.ndarray], bytes]) -> None:

@@ -39,7 +39,7 @@ def test_meta_image(spark, tmp_path):
     head = "ObjectType = Image\nNDims = 3\nDimSize = 2 1 2\nElementType = {}\nElementDataFile = a.raw\n"
     (tmp_path / "a.mhd").write_text(head.format("MET_USHORT"))
     (tmp_path / "a.raw").write_bytes(np.array([1, 2, 3, 60000], "<u2").tobytes())
-    assert [cells(formats.read_meta_image(spark, f"{tmp_path}/a.mhd"))["Scalar", 0, 0, k, 0] for k in range(4)] == [1.0, 2.0, 3.0, 60000.0]
+    assert [cells(formats.read_meta_image(spark, f"{tmp_path}/a.mhd"))["Scalar Attribute", 0, 0, k, 0] for k in range(4)] == [1.0, 2.0, 3.0, 60000.0]
     for text in (head.format("MET_DOUBLE"), head.format("MET_UCHAR").replace("NDims = 3", "NDims = 2"), "no entry\n"):
         (tmp_path / "b.mhd").write_text(text)
         with pytest.raises(ValueError):
