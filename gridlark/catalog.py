@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gridlark import catalog_grid, catalog_hierarchy, catalog_measures, catalog_regions
 from gridlark.fields import embedding_field, event_series, holes, lineitem_field
-from gridlark.functions.measures import default_k, mi_coefficient, psi
+from gridlark.functions.measures import default_k, mi_coefficient, psi, valid
 from gridlark.operators import dependence, ensemble, grid, regions, similarity
 from gridlark.twins import CORR as _CORR
 from gridlark.twins import PSI as _PSI
@@ -33,7 +33,12 @@ def reference_mi_binned(spark, sf):
 
 
 def field_minmax(spark, sf):
-    return rounded(embedding_field(spark, sf).groupBy("m").agg(F.min("value").alias("low"), F.max("value").alias("high")))
+    return _minmax(embedding_field(spark, sf))
+
+
+def _minmax(df):
+    v = valid(F.col("value"))
+    return rounded(df.groupBy("m").agg(F.min(v).alias("low"), F.max(v).alias("high")))
 
 
 def histogram(spark, sf):
@@ -41,6 +46,13 @@ def histogram(spark, sf):
     return rounded(ensemble.histogram(df, *_bounds(df), 50))
 
 
+def histogram_holes(spark, sf):
+    """With holes, and bounds that leave values out on both sides."""
+    df = holes(embedding_field(spark, sf))
+    low, high = _bounds(df)
+    return rounded(ensemble.histogram(df, low / 2, high / 2, 50))
+
+
 def block_pairs(spark, sf):
     df = regions.mean_pairs(ensemble.block_means(embedding_field(spark, sf), 3))
     return catalog_regions.numbered(df.filter(F.abs("value") >= 0.2))
@@ -93,7 +105,19 @@ def inner_points(spark, sf):
 def normal_equations(spark, sf):
     df = embedding_field(spark, sf)
     df = grid.transfer_weights(df, *_bounds(df), 8)
-    return rounded(grid.normal_equations(df, F.col("value") * F.col("value")))
+    return _equations(df)
+
+
+def _equations(df):
+    df = grid.normal_equations(df, F.col("value") * F.col("value"))
+    return rounded(df.select("i", F.when(F.col("right"), -1).otherwise(F.col("j")).alias("j"), "ata"))
+
+
+def normal_equations_holes(spark, sf):
+    """With holes, and bounds within the values on both sides."""
+    df = holes(embedding_field(spark, sf))
+    low, high = _bounds(df)
+    return _equations(grid.transfer_weights(df, low / 2, high / 2, 8))
 
 
 QUERIES = {
@@ -124,6 +148,10 @@ QUERIES = {
     "cluster_cores": cluster_cores,
     "transfer_function": transfer_function,
     "normal_equations": normal_equations,
+    "field_minmax_holes": lambda s, d: _minmax(holes(embedding_field(s, d))),
+    "histogram_holes": histogram_holes,
+    "crossing_cells_holes": lambda s, d: grid.crossing_cells(holes(embedding_field(s, d)), 0.1),
+    "normal_equations_holes": normal_equations_holes,
 }
 
 _Z = _E + """, s AS (SELECT point_id, m, (v - avg(v) OVER w) / stddev_pop(v) OVER w AS u, count(*) OVER w AS n FROM e WINDOW w AS (PARTITION BY point_id))"""
@@ -147,19 +175,20 @@ ORACLE_SQL = {
  SELECT point_id, round(greatest({psi(_K)!r} + {psi(MEMBERS)!r} - avg({_PSI % 'nx'}) - avg({_PSI % 'ny'}), 0), 9) AS value FROM c GROUP BY 1""",
     "reference_mi_binned": f"""WITH {_P}, g AS (SELECT min(v) AS lo, max(v) AS hi FROM e),
  t AS (SELECT point_id, least(greatest(floor((a - lo) / (hi - lo) * 80), 0), 79) AS i, least(greatest(floor((b - lo) / (hi - lo) * 80), 0), 79) AS j FROM p, g),
- c AS (SELECT point_id, i, j, count(*) AS c FROM t GROUP BY ALL), hi AS (SELECT point_id, sum(c * ln(c / {MEMBERS}.0)) AS h FROM (SELECT point_id, i, sum(c) AS c FROM c GROUP BY ALL) GROUP BY 1),
- hj AS (SELECT point_id, sum(c * ln(c / {MEMBERS}.0)) AS h FROM (SELECT point_id, j, sum(c) AS c FROM c GROUP BY ALL) GROUP BY 1),
- hh AS (SELECT point_id, sum(c * ln(c / {MEMBERS}.0)) AS h FROM c GROUP BY 1),
- mi AS (SELECT point_id, (hh.h - hi.h - hj.h) / {MEMBERS}.0 AS mi FROM hi JOIN hj USING (point_id) JOIN hh USING (point_id))
+ c AS (SELECT point_id, i, j, count(*) AS c FROM t GROUP BY ALL), n AS (SELECT point_id, sum(c)::DOUBLE AS n FROM c GROUP BY 1),
+ hi AS (SELECT point_id, sum(c * ln(c / n)) AS h FROM (SELECT point_id, i, sum(c) AS c FROM c GROUP BY ALL) JOIN n USING (point_id) GROUP BY 1),
+ hj AS (SELECT point_id, sum(c * ln(c / n)) AS h FROM (SELECT point_id, j, sum(c) AS c FROM c GROUP BY ALL) JOIN n USING (point_id) GROUP BY 1),
+ hh AS (SELECT point_id, sum(c * ln(c / n)) AS h FROM c JOIN n USING (point_id) GROUP BY 1),
+ mi AS (SELECT point_id, (hh.h - hi.h - hj.h) / n AS mi FROM hi JOIN hj USING (point_id) JOIN hh USING (point_id) JOIN n USING (point_id))
  SELECT point_id, round(mi, 9) AS value, round(sqrt(1 - exp(-2 * mi)), 9) AS coefficient FROM mi""",
     "ensemble_mean_spread": f"WITH {_H} SELECT point_id, round(avg(v), 9) AS mean, round(stddev_samp(v), 9) AS spread, count(v) AS n FROM h GROUP BY 1",
     "set_predicate": f"WITH {_H} SELECT point_id, count_if(v > 0)::BIGINT AS n, round(least(greatest((count_if(v > 0) - 20) / 20.0, 0), 1)::DOUBLE, 9) AS share FROM h GROUP BY 1",
     "kl_binned": f"""WITH {_Z}, r AS (SELECT *, min(u) OVER w - 0.01::DOUBLE AS lo, max(u) OVER w + 0.01::DOUBLE AS hi FROM s WINDOW w AS (PARTITION BY point_id)),
- b AS (SELECT point_id, lo, hi, least(greatest(floor((u - lo) / (hi - lo) * 80), 0), 79) AS b, count(*) / {MEMBERS}.0::DOUBLE AS p FROM r GROUP BY ALL)
+ b AS (SELECT point_id, lo, hi, least(greatest(floor((u - lo) / (hi - lo) * 80), 0), 79) AS b, count(*) / max(n)::DOUBLE AS p FROM r GROUP BY point_id, lo, hi, b)
  SELECT point_id, round(sum(p * ln(p * 80 / (hi - lo) / (exp(-0.5 * (lo + (b + 0.5) * (hi - lo) / 80) ** 2) / sqrt(2 * pi())))), 9) AS kl FROM b GROUP BY 1""",
-    "kl_knn": f"""WITH {_Z}, d AS (SELECT x.point_id, x.m, x.u, abs(x.u - y.u) AS d FROM s x JOIN s y ON x.point_id = y.point_id AND x.m <> y.m
+    "kl_knn": f"""WITH {_Z}, d AS (SELECT x.point_id, x.m, x.u, x.n, abs(x.u - y.u) AS d FROM s x JOIN s y ON x.point_id = y.point_id AND x.m <> y.m
  QUALIFY row_number() OVER (PARTITION BY x.point_id, x.m ORDER BY abs(x.u - y.u)) = 3)
- SELECT point_id, round(greatest(-(avg(ln(d)) + {psi(MEMBERS)!r} - {psi(3)!r} + ln(2)) + 0.5 * ln(2 * pi()) + 0.5 * avg(u * u), 0), 9) AS kl FROM d GROUP BY 1""",
+ SELECT point_id, round(greatest(-(avg(ln(d)) + any_value({_PSI % 'n'}) - {psi(3)!r} + ln(2)) + 0.5 * ln(2 * pi()) + 0.5 * avg(u * u), 0), 9) AS kl FROM d GROUP BY 1""",
     "field_minmax": f"WITH {_E} SELECT m::INT AS m, round(min(v), 9) AS low, round(max(v), 9) AS high FROM e GROUP BY 1",
     "histogram": f"""WITH {_E}, g AS (SELECT min(v) AS lo, max(v) AS hi FROM e), c AS (SELECT least(greatest(floor((v - lo) / (hi - lo) * 50), 0), 49)::INT AS bin, count(*) AS n FROM e, g GROUP BY 1),
  f AS (SELECT i::INT AS bin, coalesce(n, 0) AS n FROM range(50) t(i) LEFT JOIN c ON c.bin = i) SELECT bin, n, round(n / max(n) OVER ()::DOUBLE, 9) AS part FROM f""",
@@ -189,7 +218,18 @@ ORACLE_SQL = {
     "variables_at_points": f"WITH {_L}, p AS (SELECT point_id, t::INT AS t, q AS a, e AS b FROM l) SELECT point_id, t, round({_CORR}, 9) AS value FROM p GROUP BY 1, 2 HAVING count(*) >= 3",
     "sphere": f"WITH {_E} SELECT point_id, m::INT AS m, round(v, 9) AS value FROM e WHERE sqrt((x - 4) ** 2 + (y - 4) ** 2 + (z - 2) ** 2) <= 3",
     "cube": f"WITH {_E} SELECT point_id, m::INT AS m, round(v, 9) AS value FROM e WHERE greatest(abs(x - 4), abs(y - 4), abs(z - 2)) <= 2",
-    "inner_points": f"WITH {_E} SELECT point_id, m::INT AS m, round(v, 9) AS value FROM e WHERE x BETWEEN 1 AND 8 AND y BETWEEN 1 AND 8 AND z BETWEEN 1 AND 3",
+    "inner_points": f"""WITH {_E} SELECT point_id, m::INT AS m, round(v, 9) AS value FROM e WHERE x BETWEEN 1 AND 8 AND y BETWEEN 1 AND 8
+ AND z BETWEEN 1 AND (SELECT max(z) - 1 FROM e)""",
+    "field_minmax_holes": f"WITH {_H} SELECT m::INT AS m, round(min(v), 9) AS low, round(max(v), 9) AS high FROM h GROUP BY 1",
+    "histogram_holes": f"""WITH {_H}, g AS (SELECT min(v) / 2 AS lo, max(v) / 2 AS hi FROM h),
+ c AS (SELECT least(greatest(floor((v - lo) / (hi - lo) * 50), 0), 49)::INT AS bin, count(*) AS n FROM h, g WHERE v IS NOT NULL GROUP BY 1),
+ f AS (SELECT i::INT AS bin, coalesce(n, 0) AS n FROM range(50) t(i) LEFT JOIN c ON c.bin = i) SELECT bin, n, round(n / max(n) OVER ()::DOUBLE, 9) AS part FROM f""",
+    "crossing_cells_holes": f"""WITH {_H}, o AS (SELECT i, j, k FROM range(2) a(i), range(2) b(j), range(2) c(k))
+ SELECT m::INT AS m, x - i AS x, y - j AS y, z - k AS z FROM h, o WHERE v IS NOT NULL GROUP BY 1, 2, 3, 4 HAVING count(*) = 8 AND min(v) < 0.1::DOUBLE AND max(v) >= 0.1::DOUBLE""",
+    "normal_equations_holes": f"""WITH {_H}, g AS (SELECT min(v) / 2 AS lo, max(v) / 2 AS hi FROM h),
+ tf AS (SELECT v, least(greatest((v - lo) / (hi - lo) * 7, 0), 7) AS u FROM h, g WHERE v IS NOT NULL), w AS (SELECT v, least(floor(u), 6)::INT AS j, u - least(floor(u), 6) AS f FROM tf)
+ SELECT i, j, round(sum(w), 9) AS ata FROM (SELECT j AS i, j, (1 - f) * (1 - f) AS w FROM w UNION ALL SELECT j + 1, j + 1, f * f FROM w
+ UNION ALL SELECT j + 1, j, f * (1 - f) FROM w UNION ALL SELECT j, -1, (1 - f) * v * v FROM w UNION ALL SELECT j + 1, -1, f * v * v FROM w) GROUP BY 1, 2""",
     "crossing_cells": f"""WITH {_E}, o AS (SELECT i, j, k FROM range(2) a(i), range(2) b(j), range(2) c(k))
  SELECT m::INT AS m, x - i AS x, y - j AS y, z - k AS z FROM e, o GROUP BY 1, 2, 3, 4 HAVING count(*) = 8 AND min(v) < 0.1::DOUBLE AND max(v) >= 0.1::DOUBLE""",
     "cluster_cores": """WITH p AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS px, embedding[2]::DOUBLE AS py FROM embeddings),

@@ -16,9 +16,13 @@ def valid(v: Column) -> Column:
 
 
 def bin_of(v: Column, low: Column, high: Column, bins: int) -> Column:
-    """Number of the bin, with the largest value in the last one; 0 where all values are equal."""
-    at = F.coalesce(F.floor(F.try_divide(v - low, high - low) * bins).cast("int"), F.lit(0))
-    return F.least(F.greatest(at, F.lit(0)), F.lit(bins - 1))
+    """Number of the bin, with the largest value in the last one; 0 where all values are equal.
+
+    Values beyond the bounds, infinite ones too, are in the outermost bins, and NaN in bin 0.
+    """
+    at = F.nanvl(F.coalesce(F.try_divide(v - low, high - low) * bins, F.lit(0.0)), F.lit(0.0))
+    # clamped before it is a whole number, which far values don't fit
+    return F.floor(F.least(F.greatest(at, F.lit(0.0)), F.lit(bins - 1.0))).cast("int")
 
 
 def psi(n: int) -> float:

@@ -153,20 +153,21 @@ def same_point_field(df: DataFrame, first: str, second: str, measure: str = "pea
     return measured(df.select(*keys, F.col(member).alias("m"), F.col(first).alias("a"), F.col(second).alias("b")), measure, keys, **options)
 
 
-#: Steps of a series that are one group of the windowed operators, besides what the first windows look back on.
+#: Steps of a series that are one group of the windowed operators, besides what its first windows look back on.
 CHUNK = 4096
 
 
 def windowed(series: DataFrame, reference: str, length: int = 32, measure: str = "pearson", **options) -> DataFrame:
     """The measure of each series with the reference in every full window of ``length`` steps.
 
-    A series is cut into chunks of steps, each with the steps that its first
-    windows look back on, so a long series is many tasks' work.
+    A series is cut into chunks of steps, each with all the steps that its
+    first windows look back on, however many chunks before these lie in, so a
+    long series is many tasks' work.
     """
     ref = series.filter(F.col("sidx") == reference).select("t", F.col("value").alias("a"))
     own = F.floor(F.col("t") / CHUNK)
-    ahead = F.pmod(F.col("t"), F.lit(CHUNK)) > CHUNK - length
-    chunks = F.when(ahead, F.array(own, own + 1)).otherwise(F.array(own))
+    # the last window that holds a step begins there and ends length - 1 steps on
+    chunks = F.sequence(own, F.floor((F.col("t") + (length - 1)) / CHUNK))
     df = series.withColumnRenamed("value", "b").join(ref, "t").withColumns({"own": own, "chunk": F.explode(chunks)})
     w = Window.partitionBy("sidx", "chunk").orderBy("t").rowsBetween(1 - length, 0)
     names = {"first": F.min("t").over(w), "n": F.count("*").over(w)}

@@ -22,8 +22,8 @@ def system(df: DataFrame, target: Column, entries: int) -> tuple[np.ndarray, np.
     if entries > MOST_ENTRIES:
         raise ValueError(f"a transfer function has at most {MOST_ENTRIES} entries, not {entries}")
     a, b = np.zeros((entries, entries)), np.zeros(entries)
-    for r in normal_equations(df, target).filter("ata IS NOT NULL").collect():
-        if r["j"] < 0:
+    for r in normal_equations(df, target).collect():
+        if r["right"]:
             b[r["i"]] = r["ata"]
         else:
             a[r["i"], r["j"]] = a[r["j"], r["i"]] = r["ata"]

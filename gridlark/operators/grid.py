@@ -90,8 +90,9 @@ def crossing_cells(df: DataFrame, iso: float) -> DataFrame:
     """Cells of eight corners whose values lie on both sides of ``iso``, for each member.
 
     Corners are taken together axis by axis: each row meets the next along it.
+    A cell with a corner that is missing or NaN crosses nothing.
     """
-    df = df.select("m", "x", "y", "z", F.col("value").alias("low"), F.col("value").alias("high"))
+    df = df.filter(~F.isnan("value")).select("m", "x", "y", "z", F.col("value").alias("low"), F.col("value").alias("high"))
     for axis in "xyz":
         w = Window.partitionBy("m", *[a for a in "xyz" if a != axis]).orderBy(axis)
         low, high = F.least("low", F.lead("low").over(w)), F.greatest("high", F.lead("high").over(w))
@@ -110,21 +111,29 @@ def neighbours(points: DataFrame, eps: float) -> DataFrame:
 
 
 def transfer_weights(df: DataFrame, low: float, high: float, entries: int) -> DataFrame:
-    """Add j, the lower transfer-function entry, and f, the weight of the entry above it."""
+    """Add j, the lower transfer-function entry, and f, the weight of the entry above it.
+
+    Values beyond the bounds belong to the outermost entries; NaN has neither j nor f.
+    """
     at = F.coalesce(F.try_divide(F.col("value") - low, F.lit(high - low)), F.lit(0.0)) * (entries - 1)
-    df = df.withColumn("j", F.least(F.floor(at), F.lit(entries - 2)).cast("int"))
-    return df.withColumn("f", at - F.col("j"))
+    at = F.when(~F.isnan("value"), F.least(F.greatest(at, F.lit(0.0)), F.lit(entries - 1.0)))
+    df = df.withColumns({"j": F.least(F.floor(at), F.lit(entries - 2)).cast("int"), "f": at})
+    return df.withColumn("f", F.col("f") - F.col("j"))
 
 
 def normal_equations(df: DataFrame, target: Column) -> DataFrame:
-    """(i, j, ata) of rows with j, f: the sums of weight products; row i = j + 1 pairs neighbours; j = -1 holds A'b."""
-    f, g = F.col("f"), 1 - F.col("f")
+    """(i, j, right, ata) of rows with j, f: the sums of weight products; row i = j + 1 pairs neighbours.
+
+    The right side, A'b, has ``right`` and no j. Rows without j, and those of a target that is NaN or null, are left out.
+    """
+    f, g, j = F.col("f"), 1 - F.col("f"), F.col("j")
+    none, yes, no = F.lit(None).cast("int"), F.lit(True), F.lit(False)
     rows = F.array(*[
-        F.struct(a.alias("i"), b.alias("j"), w.alias("w"))
-        for a, b, w in ((F.col("j"), F.col("j"), g * g), (F.col("j") + 1, F.col("j") + 1, f * f), (F.col("j") + 1, F.col("j"), f * g),
-                        (F.col("j"), F.lit(-1), g * target), (F.col("j") + 1, F.lit(-1), f * target))
+        F.struct(a.alias("i"), b.alias("j"), right.alias("right"), w.alias("w"))
+        for a, b, right, w in ((j, j, no, g * g), (j + 1, j + 1, no, f * f), (j + 1, j, no, f * g), (j, none, yes, g * target), (j + 1, none, yes, f * target))
     ])
-    return df.select(F.explode(rows).alias("r")).groupBy("r.i", "r.j").agg(F.sum("r.w").alias("ata"))
+    df = df.filter(j.isNotNull() & target.isNotNull() & ~F.isnan(target))
+    return df.select(F.explode(rows).alias("r")).groupBy("r.i", "r.j", "r.right").agg(F.sum("r.w").alias("ata"))
 
 
 def region(df: DataFrame, low: tuple, high: tuple) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridlark.functions.measures import EULER, psi
+from gridlark.functions.measures import EULER, psi, valid
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -14,8 +14,8 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 def bounds(df: DataFrame, column: str = "value") -> tuple[float, float]:
-    """Smallest and largest value: one row comes to the driver."""
-    return tuple(df.agg(F.min(column), F.max(column)).first())
+    """Smallest and largest value, NaN left out: one row comes to the driver."""
+    return tuple(df.agg(F.min(valid(F.col(column))), F.max(valid(F.col(column)))).first())
 
 
 E = """e AS (SELECT vec_id AS point_id, vec_id % 10 AS x, (vec_id // 10) % 10 AS y, vec_id // 100 AS z, m, v FROM
