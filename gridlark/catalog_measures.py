@@ -14,6 +14,7 @@ from gridlark.twins import CORR, L, P, PSI, bounds, rounded
 
 MEMBERS, LENGTH, POINT = 64, 32, 1
 _K = default_k(MEMBERS)
+_FIELD_K = 10
 _WINDOW_K, _WINDOW_BINS = min(max(math.ceil(3 * LENGTH / 100), 1), 100), math.ceil(LENGTH / 10)
 VARIABLES = {"quantity": "q", "extendedprice": "e", "discount": "d", "tax": "tax"}
 
@@ -39,6 +40,11 @@ def _similar(measure: str):
     return lambda s, d: rounded(similarity.similarity_matrix(lineitem_field(s, d), list(VARIABLES), measure))
 
 
+def similarity_mi_ksg(spark, sf):
+    """Two variables over all rows, ten neighbours."""
+    return rounded(similarity.similarity_matrix(lineitem_field(spark, sf), ["quantity", "extendedprice"], "mi_ksg", k=_FIELD_K))
+
+
 def largest_information(spark, sf):
     """The largest value of Kraskov's estimate for 4 to 64 members and k = 3."""
     n = spark.range(4, MEMBERS + 1).select(F.col("id").alias("n"))
@@ -66,6 +72,7 @@ QUERIES = {
     "similarity_spearman": _similar("spearman"),
     "similarity_kendall": _similar("kendall"),
     "similarity_mi_binned": _similar("mi_binned"),
+    "similarity_mi_ksg": similarity_mi_ksg,
 }
 
 _LP = L + ", p AS (SELECT x.point_id, x.t::INT AS t, x.m, r.{r} AS a, x.{v} AS b FROM l x JOIN l r ON r.m = x.m AND {on} AND r.point_id = 1)"
@@ -104,4 +111,9 @@ ORACLE_SQL = {
     "similarity_spearman": _each(lambda p, k: twins.spearman(p, k)),
     "similarity_kendall": _each(lambda p, k: twins.kendall(p, k)),
     "similarity_mi_binned": _each(lambda p, k: twins.mi_binned(p, k, 80)),
+    "similarity_mi_ksg": f"""WITH {_PAIR.format(a='e', b='q')},
+ k AS (SELECT x.m, min(greatest(abs(x.a - y.a), abs(x.b - y.b)), {_FIELD_K})[{_FIELD_K}] AS far FROM p x JOIN p y ON x.m <> y.m GROUP BY x.m),
+ c AS (SELECT x.m, greatest(count_if(abs(x.a - y.a) < far), 1) AS nx, greatest(count_if(abs(x.b - y.b) < far), 1) AS ny FROM p x JOIN k USING (m) JOIN p y ON true GROUP BY x.m),
+ n AS (SELECT count(*) AS n FROM p) SELECT 'extendedprice' AS a, 'quantity' AS b,
+ round(greatest({psi(_FIELD_K)!r} + any_value({PSI % 'n'}) - avg({PSI % 'nx'}) - avg({PSI % 'ny'}), 0), 9) AS value FROM c, n""",
 }

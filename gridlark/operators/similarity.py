@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gridlark.functions.kernels import of_vectors
 from gridlark.functions.measures import bin_of, covariance_ratio
+from gridlark.operators import whole
 from gridlark.session import bounded, checkpointed
 
-#: Pairs that Kendall's tau and Kraskov's estimate take of a whole field: they are one task's work.
-MOST_PAIRS = {"kendall": 10_000_000, "mi_ksg": 50_000}
-
 
 def global_ranks(df: DataFrame, column: str, out: str) -> DataFrame:
     """df with the fractional rank of a column over all rows.
@@ -37,7 +36,7 @@ def field_similarity(df: DataFrame, first: str, second: str, measure: str = "pea
     """One row (value): the measure of two columns over all rows; rows with NaN or null are left out.
 
     Binned information spans both columns' values unless bounds are given.
-    Kendall and Kraskov take one vector, so the number of pairs is checked.
+    No task holds a whole field, whatever the measure (see whole).
     """
     pairs = df.select(F.col(first).alias("a"), F.col(second).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
     pairs = pairs.filter(~F.isnan("a") & ~F.isnan("b"))
@@ -55,11 +54,10 @@ def field_similarity(df: DataFrame, first: str, second: str, measure: str = "pea
         p = F.col("c") / F.sum("c").over(w())
         joint = joint.withColumns({"p": p, "pi": F.sum("c").over(w("i")) / F.sum("c").over(w()), "pj": F.sum("c").over(w("j")) / F.sum("c").over(w())})
         return joint.agg(F.sum(F.col("p") * F.log(F.col("p") / (F.col("pi") * F.col("pj")))).alias("value"))
-    n = pairs.count()
-    if n > MOST_PAIRS[measure]:
-        raise ValueError(f"{measure} of {n} pairs is more than one task's work of {MOST_PAIRS[measure]}")
-    both = pairs.agg(F.collect_list(F.struct("a", "b")).alias("p")).select(F.col("p.a").alias("a"), F.col("p.b").alias("b"))
-    return both.select(of_vectors(measure, **options).alias("value"))
+    name = measure.removesuffix("_coefficient")
+    value = {"kendall": whole.kendall, "mi_ksg": whole.mi_ksg}[name](pairs, **options)
+    value = value if name == measure else math.sqrt(1 - math.exp(-2 * value))
+    return df.sparkSession.createDataFrame([(value,)], "value double")
 
 
 def similarity_matrix(df: DataFrame, variables: list[str], measure: str = "pearson", **options) -> DataFrame:
