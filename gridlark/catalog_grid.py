@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from gridlark import twins
 from gridlark.fields import embedding_field, holes, lineitem_field
 from gridlark.functions import sequences
-from gridlark.operators import dependence, ensemble, features, fitting, grid, learned
+from gridlark.operators import density, dependence, ensemble, features, fitting, grid, learned
 from gridlark.plans import described as plans
 from gridlark.twins import CORR, E, H, L, bounds, rounded
 
@@ -100,7 +100,7 @@ def clusters(spark, sf):
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
     df = df.select(F.col("vec_id").alias("id"), *[F.get("embedding", F.lit(k)).cast("double").alias(c) for k, c in enumerate(("px", "py"))])
     x0, x1, y0, y1 = df.agg(F.min("px"), F.max("px"), F.min("py"), F.max("py")).first()
-    return features.dbscan(df, 0.05 * ((x1 - x0) ** 2 + (y1 - y0) ** 2) ** 0.5, 8)
+    return density.dbscan(df, 0.05 * ((x1 - x0) ** 2 + (y1 - y0) ** 2) ** 0.5, 8)
 
 
 def _weighted(spark, sf):

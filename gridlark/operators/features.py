@@ -1,4 +1,4 @@
-"""Feature vectors of points and members, sampling of points, and density clusters."""
+"""Feature vectors of points and members, sampling of points, and labels of linked nodes (for clusters see density)."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from gridlark.functions.kernels import of_vectors
 from gridlark.functions.sequences import METHODS, cell
-from gridlark.operators.grid import neighbours
 from gridlark.operators.regions import point_vectors
 from gridlark.session import checkpointed
 
@@ -53,17 +52,7 @@ def member_features(df: DataFrame) -> DataFrame:
     return df.select("m", F.col("point_id").alias("k"), F.nanvl("value", F.lit(0.0)).alias("value"))
 
 
-def links(points: DataFrame, eps: float) -> DataFrame:
-    """(id, other): pairs of points (id, px, py) within eps, by an equi-join on grid cells of that width."""
-    at = lambda c: F.floor(F.col(c) / eps)
-    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    left = points.select("id", "px", "py", F.explode(near).alias("o")).select("id", "px", "py", (at("px") + F.col("o.i")).alias("ci"), (at("py") + F.col("o.j")).alias("cj"))
-    right = points.select(F.col("id").alias("other"), F.col("px").alias("qx"), F.col("py").alias("qy"), at("px").alias("ci"), at("py").alias("cj"))
-    dx, dy = F.col("px") - F.col("qx"), F.col("py") - F.col("qy")
-    return left.join(right, ["ci", "cj"]).filter(F.sqrt(dx * dx + dy * dy) <= eps).filter("id <> other").select("id", "other")
-
-
-def _least_labels(edges: DataFrame, nodes: DataFrame, most_rounds: int = 100) -> DataFrame:
+def least_labels(edges: DataFrame, nodes: DataFrame, most_rounds: int = 100) -> DataFrame:
     """(id, label): the smallest id that each node reaches; labels of labels are taken in every round."""
     now = checkpointed(nodes.select("id", F.col("id").alias("label")))
     for _ in range(most_rounds):
@@ -77,18 +66,3 @@ def _least_labels(edges: DataFrame, nodes: DataFrame, most_rounds: int = 100) ->
         if not moved:
             return now
     raise RuntimeError(f"labels did not settle in {most_rounds} rounds")
-
-
-def dbscan(points: DataFrame, eps: float, least: int = 8) -> DataFrame:
-    """(id, cluster) of points (id, px, py): density clusters, named by their smallest core point; noise is left out.
-
-    A core has ``least`` points within eps, itself included. A point that is
-    no core belongs to the cluster of the smallest name among its core neighbours.
-    """
-    cores = checkpointed(neighbours(points, eps).filter(F.col("n") >= least).select("id"))
-    pairs = checkpointed(links(points, eps))
-    both = pairs.join(cores, "id", "left_semi").join(cores.withColumnRenamed("id", "other"), "other", "left_semi").select("id", "other")
-    labels = _least_labels(both, cores)
-    border = pairs.join(labels.withColumnRenamed("id", "other"), "other").join(cores, "id", "left_anti")
-    border = border.groupBy("id").agg(F.min("label").alias("cluster"))
-    return labels.withColumnRenamed("label", "cluster").unionByName(border)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridlark.operators import features, fitting, grid
+from gridlark.operators import density, fitting, grid
 
 
 @pytest.fixture(scope="module")
@@ -52,7 +52,7 @@ def test_dbscan(spark):
     rng = random.Random(3)
     xy = [(rng.gauss(c, 0.3), rng.gauss(0, 0.3)) for c in (0, 4, 9) for _ in range(60)] + [(rng.uniform(-5, 15), rng.uniform(3, 9)) for _ in range(20)]
     df = spark.createDataFrame([(k, *p) for k, p in enumerate(xy)], "id long, px double, py double")
-    got = {r.id: r.cluster for r in features.dbscan(df, 0.3, 6).collect()}
+    got = {r.id: r.cluster for r in density.dbscan(df, 0.3, 6).collect()}
     near = [{j for j, q in enumerate(xy) if np.hypot(p[0] - q[0], p[1] - q[1]) <= 0.3} for p in xy]
     cores, want = {k for k, n in enumerate(near) if len(n) >= 6}, {}
     for k in sorted(cores):
