@@ -117,8 +117,9 @@ def transfer_weights(df: DataFrame, low: float, high: float, entries: int) -> Da
     """
     at = F.coalesce(F.try_divide(F.col("value") - low, F.lit(high - low)), F.lit(0.0)) * (entries - 1)
     at = F.when(~F.isnan("value"), F.least(F.greatest(at, F.lit(0.0)), F.lit(entries - 1.0)))
-    df = df.withColumns({"j": F.least(F.floor(at), F.lit(entries - 2)).cast("int"), "f": at})
-    return df.withColumn("f", F.col("f") - F.col("j"))
+    df = df.withColumn("f", at)
+    j = F.when(F.col("f").isNotNull(), F.least(F.floor("f"), F.lit(entries - 2)).cast("int"))
+    return df.withColumn("j", j).withColumn("f", F.col("f") - F.col("j"))
 
 
 def normal_equations(df: DataFrame, target: Column) -> DataFrame:
