@@ -54,8 +54,7 @@ def histogram_holes(spark, sf):
 
 
 def block_pairs(spark, sf):
-    df = regions.mean_pairs(ensemble.block_means(embedding_field(spark, sf), 3))
-    return catalog_regions.numbered(df.filter(F.abs("value") >= 0.2))
+    return catalog_regions.numbered(regions.mean_pairs(ensemble.block_means(embedding_field(spark, sf), 3), least=0.2))
 
 
 def binary_operators(spark, sf):

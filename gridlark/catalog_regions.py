@@ -83,7 +83,7 @@ QUERIES = {
     "pairs_listed": pairs_listed,
     "pairs_two_fields": lambda s, d: numbered(regions.two_fields(_blocks(s, d), _blocks(s, d, True))),
     "pairs_merged": pairs_merged,
-    "pairs_strongest": lambda s, d: numbered(regions.strongest(regions.mean_pairs(_blocks(s, d)), 20)),
+    "pairs_strongest": lambda s, d: numbered(regions.strongest_means(_blocks(s, d), 20)),
     "pairs_matrix": lambda s, d: numbered(regions.matrix(regions.mean_pairs(_blocks(s, d)))),
     "pairs_sampled_plastic": _sampled("plastic"),
     "pairs_sampled_halton": _sampled("halton"),

@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from gridlark.functions.kernels import of_vectors
 from gridlark.functions.sequences import METHODS, cell
+from gridlark.operators import unit_pairs
 
 #: Blocks in a group.
 GROUP = 128
@@ -93,31 +94,42 @@ def narrowed(pairs: DataFrame, cells: tuple | None = None, clicked: tuple | None
     return pairs
 
 
-def within(pairs: DataFrame, low: float | None, high: float | None = None) -> DataFrame:
-    """Pairs with a value in the range; NaN and null are in none."""
+def within(pairs: DataFrame, low: float | None, high: float | None = None, least: float | None = None) -> DataFrame:
+    """Pairs with a value in the range, and of a magnitude of ``least``; NaN and null are in none."""
     pairs = pairs.filter(F.col("value").isNotNull() & ~F.isnan("value"))
     if low is not None:
         pairs = pairs.filter(F.col("value") >= low)
+    if least is not None:
+        pairs = pairs.filter(F.abs("value") >= least)
     return pairs.filter(F.col("value") <= high) if high is not None else pairs
 
 
 def mean_pairs(
     blocks: DataFrame, others: DataFrame | None = None, measure: str = "pearson", low: float | None = None, high: float | None = None,
     absolute: bool = False, diagonal: bool = False, cells: tuple | None = None, clicked: tuple | None = None,
-    listed: DataFrame | None = None, **options,
+    listed: DataFrame | None = None, least: float | None = None, **options,
 ) -> DataFrame:
     """(i, j, value): the measure between block means (bx, by, bz, m, value).
 
     Pairs i > j of one region (i >= j with ``diagonal``), all pairs of two
     regions where ``others`` are given, or the pairs ``listed``. Binned
     information spans the values of the pair. A block with a missing member
-    has no pairs.
+    has no pairs. Pearson's correlations between ``low`` and ``high``, or of a
+    magnitude of ``least``, are found by bounds, without a list of all pairs.
     """
     vectors = block_vectors(blocks, measure)
+    if measure == "pearson" and listed is None and cells is None and clicked is None:
+        second = None if others is None else block_vectors(others, measure)
+        return unit_pairs.unit_pairs(vectors, second, diagonal, low, high, least, absolute)
     second = vectors if others is None else block_vectors(others, measure)
     a, b = vectors.select(F.col("id").alias("i"), F.col("v").alias("a")), second.select(F.col("id").alias("j"), F.col("v").alias("b"))
     pairs = narrowed(_paired(a, b, others is None, diagonal, listed), cells, clicked)
-    return within(_valued(pairs, measure, absolute, **options), low, high)
+    return within(_valued(pairs, measure, absolute, **options), low, high, least)
+
+
+def strongest_means(blocks: DataFrame, k: int, others: DataFrame | None = None) -> DataFrame:
+    """The k Pearson correlations of largest magnitude between block means, strongest first, without a list of all pairs."""
+    return unit_pairs.strongest(block_vectors(blocks, "pearson"), k, None if others is None else block_vectors(others, "pearson"))
 
 
 def two_fields(first: DataFrame, second: DataFrame, **options) -> DataFrame:
