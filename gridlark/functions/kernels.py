@@ -115,28 +115,121 @@ def coefficient(kernel: Callable) -> Callable:
     return lambda a, b, **more: float(np.sqrt(1 - np.exp(-2 * kernel(a, b, **more))))
 
 
+#: Members up to which vectors of equal length are taken together, and elements of an array at once.
+TOGETHER, ELEMENTS = 256, 1 << 22
+
+
+def _pearson_rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x, y = a - a.mean(1, keepdims=True), b - b.mean(1, keepdims=True)
+    size = np.sqrt((x * x).sum(1) * (y * y).sum(1))
+    return np.where(size > 0, (x * y).sum(1) / np.where(size > 0, size, 1), NAN)
+
+
+def _signs(a: np.ndarray) -> np.ndarray:
+    """Signs of the differences of all pairs of members."""
+    return (a[:, :, None] > a[:, None, :]).view(np.int8) - (a[:, :, None] < a[:, None, :]).view(np.int8)
+
+
+def _ranks_rows(a: np.ndarray) -> np.ndarray:
+    return (_signs(a).sum(2, dtype=np.int64) + a.shape[1] + 1) / 2
+
+
+def _kendall_rows(a: np.ndarray, b: np.ndarray, variant: str = "tau_b") -> np.ndarray:
+    sa, sb = _signs(a), _signs(b)
+    both, n = sa * sb, a.shape[1]
+    n0 = n * (n - 1) // 2
+    falls = (both < 0).sum((1, 2)) // 2
+    if variant == "tau_a":
+        return (n0 - 2 * falls) / n0
+    tied = lambda s: ((s == 0).sum((1, 2)) - n) // 2
+    n1, n2 = tied(sa), tied(sb)
+    n3 = tied(np.abs(sa) + np.abs(sb)) if variant == "tau_b" else 0
+    ok = (n1 < n0) & (n2 < n0)
+    return np.where(ok, (n0 - n1 - n2 + n3 - 2 * falls) / np.sqrt(np.where(ok, (n0 - n1).astype(float) * (n0 - n2), 1)), NAN)
+
+
+def _mi_binned_rows(a: np.ndarray, b: np.ndarray, bins: int = 80, low: float | None = None, high: float | None = None) -> np.ndarray:
+    n, m = a.shape
+    lo = np.minimum(a.min(1), b.min(1))[:, None] if low is None else np.full((n, 1), float(low))
+    hi = np.maximum(a.max(1), b.max(1))[:, None] if high is None else np.full((n, 1), float(high))
+    wide = hi > lo
+    i, j = (np.clip(np.floor((x - lo) / np.where(wide, hi - lo, 1) * bins), 0, bins - 1).astype(int) for x in (a, b))
+    at = (np.arange(n)[:, None] * bins + i) * bins + j
+    joint = np.bincount(at.ravel(), minlength=n * bins * bins).reshape(n, bins, bins) / m
+    pq = joint.sum(2, keepdims=True) * joint.sum(1, keepdims=True)
+    full = joint > 0
+    part = np.zeros_like(joint)
+    part[full] = joint[full] * np.log(joint[full] / pq[full])
+    return np.where(wide[:, 0], part.sum((1, 2)), 0.0)
+
+
+def _mi_ksg_rows(a: np.ndarray, b: np.ndarray, k: int | None = None, estimator: int = 1, noise: float = 0.0) -> np.ndarray:
+    n = a.shape[1]
+    if noise:
+        rng = np.random.default_rng(617)
+        a, b = a + noise * rng.random(n), b + noise * rng.random(n)
+    kk = min(k or default_k(n), n - 1)
+    dig = np.cumsum(np.concatenate(([psi(1)], 1 / np.arange(1, n + 1))))
+    dx, dy = np.abs(a[:, :, None] - a[:, None, :]), np.abs(b[:, :, None] - b[:, None, :])
+    far = np.maximum(dx, dy)
+    far[:, np.arange(n), np.arange(n)] = np.inf
+    if estimator == 1:
+        d = np.partition(far, kk - 1, axis=2)[:, :, kk - 1 : kk]
+        nx, ny = (np.maximum((x < d).sum(2), 1) for x in (dx, dy))
+    else:
+        near = np.argpartition(far, kk - 1, axis=2)[:, :, :kk]
+        nx, ny = (np.maximum((x <= np.take_along_axis(x, near, 2).max(2)[:, :, None]).sum(2) - 1, 1) for x in (dx, dy))
+    more = 1 / kk if estimator == 2 else 0.0
+    return np.maximum(0.0, dig[kk - 1] - more + dig[n - 1] - (dig[nx - 1] + dig[ny - 1]).sum(1) / n)
+
+
+#: Of many pairs of vectors of one length at once: (rows, members) arrays to a value for each row.
+ROWS = {
+    "pearson": _pearson_rows, "spearman": lambda a, b: _pearson_rows(_ranks_rows(a), _ranks_rows(b)), "kendall": _kendall_rows,
+    "mi_binned": _mi_binned_rows, "mi_ksg": _mi_ksg_rows,
+}
+
+
 KERNELS = {
     "pearson": pearson, "spearman": spearman, "kendall": kendall, "mi_binned": mi_binned, "mi_ksg": mi_ksg,
     "mi_binned_coefficient": coefficient(mi_binned), "mi_ksg_coefficient": coefficient(mi_ksg),
 }
 
 
-def of_vectors(measure: str, a: str = "a", b: str = "b", absolute: bool = False, **options) -> Column:
-    """The measure of two array columns, row by row in Arrow batches."""
-    kernel = KERNELS[measure]
-
-    def value(x: np.ndarray, y: np.ndarray) -> float:
+def all_values(measure: str, xs: list, ys: list, **options) -> np.ndarray:
+    """The measure of each pair of vectors; those of one length are taken together, long ones one by one."""
+    out, together = np.full(len(xs), NAN), {}
+    for k, (x, y) in enumerate(zip(xs, ys)):
+        if x is None or y is None or not len(x) or len(x) != len(y):
+            continue
         x, y = np.asarray(x, float), np.asarray(y, float)
         if len(x) == 1:
-            return 1.0
-        if not len(x) or len(x) != len(y) or np.isnan(x).any() or np.isnan(y).any():
-            return NAN
-        found = kernel(x, y, **options)
-        return abs(found) if absolute else found
+            out[k] = 1.0
+        elif not (np.isnan(x).any() or np.isnan(y).any()):
+            together.setdefault(len(x), []).append((k, x, y))
+    name = measure.removesuffix("_coefficient")
+    for n, rows in together.items():
+        at = [k for k, _, _ in rows]
+        if n > TOGETHER:
+            out[at] = [KERNELS[name](x, y, **options) for _, x, y in rows]
+            continue
+        step = max(1, ELEMENTS // max(n * n, options.get("bins", 80) ** 2 if name == "mi_binned" else 1))
+        for s in range(0, len(rows), step):
+            part = rows[s : s + step]
+            out[at[s : s + step]] = ROWS[name](np.stack([x for _, x, _ in part]), np.stack([y for _, _, y in part]), **options)
+    if name != measure:
+        many = np.array([x is not None and len(x) > 1 for x in xs], bool)
+        out[many] = np.sqrt(1 - np.exp(-2 * out[many]))
+    return out
+
+
+def of_vectors(measure: str, a: str = "a", b: str = "b", absolute: bool = False, **options) -> Column:
+    """The measure of two array columns, in Arrow batches."""
 
     @F.pandas_udf("double")
     def told(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for x, y in batches:
-            yield pd.Series([NAN if u is None or v is None else value(u, v) for u, v in zip(x, y)], dtype=float)
+            found = all_values(measure, list(x), list(y), **options)
+            yield pd.Series(np.abs(found) if absolute else found, dtype=float)
 
     return told(a, b)

@@ -167,3 +167,20 @@ def test_network(spark):
     h = learned.frequencies(x, 3) @ layers[0][0] + layers[0][1]
     want = (h + np.sin(h) ** 2) @ layers[1][0] + layers[1][1]
     assert [got[k] for k in range(30)] == pytest.approx(want[:, 0].tolist())
+
+
+@pytest.mark.parametrize("measure", ["pearson", "spearman", "kendall", "mi_binned", "mi_ksg", "mi_binned_coefficient", "mi_ksg_coefficient"])
+def test_many_vectors_at_once_have_the_values_of_each(monkeypatch, measure):
+    monkeypatch.setattr(kernels, "ELEMENTS", 9000)  # several portions
+    rng = np.random.default_rng(6)
+    xs = [rng.normal(size=n) for n in [30] * 12 + [7] * 5 + [300] * 2] + [np.round(rng.normal(size=30)) for _ in range(6)] + [np.ones(30)]
+    ys = [x * rng.normal() + rng.normal(size=len(x)) for x in xs[:19]] + [np.round(rng.normal(size=30)) for _ in range(6)] + [rng.normal(size=30)]
+    choices = {"kendall": [{"variant": v} for v in ("tau_b", "plain_ties", "tau_a")], "mi_binned": [{}, {"bins": 5, "low": -1.0, "high": 1.5}]}
+    choices["mi_ksg"] = [{"k": 3}, {"k": 2, "estimator": 2, "noise": 1e-3}, {}]
+    for options in choices.get(measure, [{}]):
+        got = kernels.all_values(measure, xs, ys, **options)
+        want = [kernels.KERNELS[measure](x, y, **options) for x, y in zip(xs, ys)]
+        # a root magnifies what is left of zero
+        assert got == pytest.approx(want, abs=1e-7 if measure.endswith("coefficient") else 1e-12, nan_ok=True)
+    odd = kernels.all_values(measure, [None, [], [1.0], [1.0, 2.0], [NAN, 1.0]], [[1.0], [], [2.0], [1.0], [1.0, 2.0]])
+    assert [str(v) for v in odd] == ["nan", "nan", "1.0", "nan", "nan"]
