@@ -24,8 +24,9 @@ from .common import WORD, few_rows, words, written
 
 VARIABLE = "(?<![^\\x20\\x09-\\x0D])[^\\x20\\x09-\\x0D0-9]*+[0-9][^\\x20\\x09-\\x0D]*+"
 OPEN = "<*>"
-#: A line of more words is long.
+#: A line of more words is long; documents in which a line, and a long one, recurs.
 LONG = 50
+MIN_DOCS, LONG_DOCS = 10, 2
 
 
 def masked(line: Column) -> Column:
@@ -105,7 +106,7 @@ def templates(docs: DataFrame, min_docs: int, depth: int, share: float, fixed: f
     return lines, exact.union(general)
 
 
-def dropped(docs: DataFrame, min_docs: int = 10, depth: int = 3, share: float = 0.5, fixed: float = 0.7, long_docs: int | None = None) -> DataFrame:
+def dropped(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = 3, share: float = 0.5, fixed: float = 0.7, long_docs: int | None = None) -> DataFrame:
     """(doc_id, text_hash, drop): the numbers of the lines that each document loses."""
     docs = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
     lines, recurring = templates(docs, min_docs, depth, share, fixed, long_docs)
@@ -121,7 +122,7 @@ def dropped(docs: DataFrame, min_docs: int = 10, depth: int = 3, share: float =
     return hit.groupBy("doc_id", "text_hash").agg(F.collect_list("pos").alias("drop"))
 
 
-def deduped(docs: DataFrame, min_docs: int = 10, depth: int = 3, long_docs: int | None = None) -> DataFrame:
+def deduped(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = 3, long_docs: int | None = None) -> DataFrame:
     """Every row of docs as ``row`` with ``clean_text``, ``n_lines`` and ``n_dropped``.
 
     n_lines counts lines with a word. Null text stays null. Texts that lose
@@ -150,7 +151,7 @@ def deduped(docs: DataFrame, min_docs: int = 10, depth: int = 3, long_docs: int
     )
 
 
-def stage(docs: DataFrame, min_docs: int = 10, depth: int = 3, long_docs: int | None = 2) -> DataFrame:
-    """All documents without their recurring lines, in the columns of docs."""
+def stage(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = 3, long_docs: int | None = LONG_DOCS) -> DataFrame:
+    """All documents without their recurring lines, in the columns of docs; odd rows as in ``deduped``."""
     df = deduped(docs, min_docs, depth, long_docs)
     return df.select(*[(F.col("clean_text") if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])

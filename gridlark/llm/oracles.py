@@ -8,6 +8,7 @@ hashes, count the ids of a tokenizer or train a model, which SQL can't.
 from __future__ import annotations
 
 from .common import LOWER, UPPER, WORD
+from .line_dedup import LONG, LONG_DOCS, MIN_DOCS
 from .quality_rules import BOILERPLATE, MARKS, SEPARATORS, SYMBOLS, character_class
 from .url_filters import BLOCKED_HOSTS, RULES
 
@@ -39,15 +40,16 @@ _LINES = f"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM
  WHERE regexp_matches(line, '{WORD}')),
  l AS (SELECT doc_id, pos, tokens, array_to_string(tokens, ' ') AS line, len(tokens) || ' ' || array_to_string(tokens[1:3], ' ') AS leaf FROM t),
  p AS (SELECT leaf, line, any_value(tokens) AS tokens, count(DISTINCT doc_id) AS n, min({{'doc_id': doc_id, 'pos': pos}}) AS first FROM l GROUP BY leaf, line),
- b AS (SELECT leaf, sum(n) AS docs FROM p WHERE n < 10 GROUP BY leaf HAVING sum(n) >= 10 AND count(*) > 1),
- q AS (SELECT leaf, line, n, docs, first, unnest(range(len(tokens))) AS place, unnest(tokens) AS token FROM p JOIN b USING (leaf) WHERE n < 10),
+ b AS (SELECT leaf, sum(n) AS docs FROM p WHERE n < {MIN_DOCS} GROUP BY leaf HAVING sum(n) >= {MIN_DOCS} AND count(*) > 1),
+ q AS (SELECT leaf, line, n, docs, first, unnest(range(len(tokens))) AS place, unnest(tokens) AS token FROM p JOIN b USING (leaf) WHERE n < {MIN_DOCS}),
  k AS (SELECT leaf, place, token FROM q GROUP BY leaf, place, token HAVING sum(n) > any_value(docs) * 0.5::DOUBLE),
- o AS (SELECT q.leaf, q.line, any_value(n) AS n, any_value(first) AS first, count(*) AS size, count(*) FILTER (k.token <> '<*>') AS held,
+ o AS (SELECT q.leaf, q.line, any_value(first) AS first, count(*) AS size, count(*) FILTER (k.token <> '<*>') AS held,
  string_agg(coalesce(k.token, '<*>'), ' ' ORDER BY q.place) AS template FROM q LEFT JOIN k ON k.leaf = q.leaf AND k.place = q.place AND k.token = q.token
  GROUP BY q.leaf, q.line),
- h AS (SELECT leaf, template, min(first) AS first FROM o WHERE held >= size * 0.7::DOUBLE GROUP BY leaf, template HAVING sum(n) >= 10),
- z AS (SELECT line, first FROM p WHERE n >= 10 UNION ALL
- SELECT o.line, h.first FROM o JOIN h ON h.leaf = o.leaf AND h.template = o.template WHERE held >= size * 0.7::DOUBLE),
+ g AS (SELECT * FROM o WHERE held >= size * 0.7::DOUBLE),
+ h AS (SELECT leaf, template, min(g.first) AS first FROM g JOIN l USING (leaf, line) GROUP BY leaf, template HAVING count(DISTINCT l.doc_id) >= {MIN_DOCS}),
+ z AS (SELECT line, first FROM p WHERE len([y FOR y IN tokens IF y <> '<*>']) >= len(tokens) * 0.7::DOUBLE
+ AND n >= CASE WHEN len(tokens) > {LONG} THEN {LONG_DOCS} ELSE {MIN_DOCS} END UNION ALL SELECT g.line, h.first FROM g JOIN h USING (leaf, template)),
  x AS (SELECT doc_id, list(DISTINCT pos) AS gone FROM l JOIN z USING (line) WHERE (doc_id, pos) <> (z.first.doc_id, z.first.pos) GROUP BY doc_id)
  SELECT documents.doc_id, CASE WHEN gone IS NULL THEN text ELSE
  array_to_string([d.parts[i + 1] FOR i IN range(len(d.parts)) IF NOT list_contains(gone, i)], chr(10)) END AS text,

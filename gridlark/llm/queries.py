@@ -38,7 +38,8 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = line_dedup.deduped(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    df = line_dedup.deduped(docs, long_docs=line_dedup.LONG_DOCS)
     return df.select(F.col("row.doc_id").alias("doc_id"), F.col("clean_text").alias("text"), "n_lines", "n_dropped")
 
 
