@@ -8,7 +8,7 @@ from gridlark import twins
 from gridlark.fields import embedding_field
 from gridlark.functions import sequences
 from gridlark.functions.measures import default_k
-from gridlark.operators import ensemble, grid, regions
+from gridlark.operators import ensemble, grid, regions, search
 from gridlark.twins import B, BP, CORR, E, rounded
 
 MEMBERS, FACTOR, SAMPLES, BINS = 64, 5, 20, 10
@@ -56,6 +56,24 @@ def _sampled(method: str):
     return query
 
 
+def pairs_sampled_two_fields(spark, sf):
+    """Blocks of the field with those of its squares."""
+    df = embedding_field(spark, sf)
+    return numbered(regions.sampled_pairs(df, FACTOR, grid.sizes(df), SAMPLES, second=df.withColumn("value", F.col("value") * F.col("value"))))
+
+
+def pairs_sampled_cross_region(spark, sf):
+    df = embedding_field(spark, sf)
+    low, high = df.filter(F.col("x") < FACTOR), df.filter(F.col("x") >= FACTOR)
+    return numbered(regions.sampled_pairs(low, FACTOR, grid.sizes(df), SAMPLES, others=high))
+
+
+def pairs_bayesian(spark, sf):
+    """A search has no SQL; tests compare it with all points."""
+    df = embedding_field(spark, sf)
+    return numbered(search.bayesian_pairs(df, FACTOR, grid.sizes(df), 2 * SAMPLES))
+
+
 def sampling_errors(spark, sf):
     df = embedding_field(spark, sf)
     found = regions.sampled_pairs(df, FACTOR, grid.sizes(df), SAMPLES)
@@ -87,6 +105,9 @@ QUERIES = {
     "pairs_matrix": lambda s, d: numbered(regions.matrix(regions.mean_pairs(_blocks(s, d)))),
     "pairs_sampled_plastic": _sampled("plastic"),
     "pairs_sampled_halton": _sampled("halton"),
+    "pairs_sampled_two_fields": pairs_sampled_two_fields,
+    "pairs_sampled_cross_region": pairs_sampled_cross_region,
+    "pairs_bayesian": pairs_bayesian,
     "pairs_exhaustive": lambda s, d: numbered(regions.exhaustive_pairs(embedding_field(s, d), FACTOR)),
     "sampling_errors": sampling_errors,
     "plastic_points": _points("plastic", 6),
@@ -99,6 +120,9 @@ _S = E + ", s AS (SELECT (z // 3) * 1000000 + (y // 3) * 1000 + x // 3 AS id, m,
 _CELLS = E + f""", k AS (SELECT (z // {FACTOR}) * 1000000 + (y // {FACTOR}) * 1000 + x // {FACTOR} AS id, point_id, m, v FROM e),
  q AS (SELECT x.id AS i, y.id AS j, x.point_id AS g, y.point_id AS h, {CORR.replace('(a, b)', '(x.v, y.v)').replace('(a)', '(x.v)').replace('(b)', '(y.v)')} AS c
  FROM k x JOIN k y ON x.m = y.m AND x.id > y.id GROUP BY 1, 2, 3, 4)"""
+_TWO_CELLS = _CELLS.replace("m, v FROM e)", "m, v, v * v AS w FROM e)").replace("y.v", "y.w").replace("x.id > y.id", "x.id >= y.id")
+#: Blocks of the lower half along x with those of the upper one.
+_CROSS = "x.id % 1000 = 0 AND y.id % 1000 = 1"
 _BOXES = f""", n AS (SELECT max(x) + 1 AS xs, max(y) + 1 AS ys, max(z) + 1 AS zs FROM e),
  o AS (SELECT DISTINCT x // {FACTOR} AS bx, y // {FACTOR} AS by, z // {FACTOR} AS bz FROM e),
  r AS (SELECT o.bz * 1000000 + o.by * 1000 + o.bx AS id, o.bx * {FACTOR} AS ox, o.by * {FACTOR} AS oy, o.bz * {FACTOR} AS oz, least({FACTOR}, xs - o.bx * {FACTOR}) AS nx,
@@ -155,6 +179,8 @@ ORACLE_SQL = {
     "pairs_matrix": f"WITH {_VALUED} SELECT i, j, round(c, 9) AS value FROM v UNION ALL SELECT j, i, round(c, 9) FROM v",
     "pairs_sampled_plastic": f"WITH {_CELLS}{_found('plastic')} SELECT i, j, round(value, 9) AS value FROM f",
     "pairs_sampled_halton": f"WITH {_CELLS}{_found('halton')} SELECT i, j, round(value, 9) AS value FROM f",
+    "pairs_sampled_two_fields": f"WITH {_TWO_CELLS}{_found('plastic').replace('x.id > y.id', 'x.id >= y.id')} SELECT i, j, round(value, 9) AS value FROM f",
+    "pairs_sampled_cross_region": f"WITH {_CELLS.replace('x.id > y.id', _CROSS)}{_found('plastic').replace('x.id > y.id', _CROSS)} SELECT i, j, round(value, 9) AS value FROM f",
     "pairs_exhaustive": f"WITH {_CELLS} SELECT i, j, round((max({{'s': abs(c), 'c': c}})).c, 9) AS value, count(*) AS n FROM q GROUP BY 1, 2",
     "sampling_errors": f"""WITH {_CELLS}{_found('plastic')}, z AS (SELECT q.i, q.j, 1 - count_if(abs(c) < abs(f.value)) / count(*)::DOUBLE AS quantile,
  1 - (any_value(abs(f.value)) - min(abs(c))) / (max(abs(c)) - min(abs(c))) AS linear, max(abs(c)) - any_value(abs(f.value)) AS absolute

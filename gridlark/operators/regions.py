@@ -69,7 +69,7 @@ def all_pairs(a: DataFrame, b: DataFrame, groups: int) -> DataFrame:
     return left.join(right, ["ga", "gb"]).drop("ga", "gb")
 
 
-def _paired(a: DataFrame, b: DataFrame, same: bool, diagonal: bool, listed: DataFrame | None) -> DataFrame:
+def paired(a: DataFrame, b: DataFrame, same: bool, diagonal: bool, listed: DataFrame | None) -> DataFrame:
     if listed is not None:
         return listed.join(a, "i").join(b, "j")
     groups = max(1, math.ceil(a.count() / GROUP))
@@ -123,7 +123,7 @@ def mean_pairs(
         return unit_pairs.unit_pairs(vectors, second, diagonal, low, high, least, absolute)
     second = vectors if others is None else block_vectors(others, measure)
     a, b = vectors.select(F.col("id").alias("i"), F.col("v").alias("a")), second.select(F.col("id").alias("j"), F.col("v").alias("b"))
-    pairs = narrowed(_paired(a, b, others is None, diagonal, listed), cells, clicked)
+    pairs = narrowed(paired(a, b, others is None, diagonal, listed), cells, clicked)
     return within(_valued(pairs, measure, absolute, **options), low, high, least)
 
 
@@ -186,24 +186,30 @@ def _named(df: DataFrame, end: str, v: str) -> DataFrame:
 def sampled_pairs(
     df: DataFrame, factor: int, sizes: tuple, samples: int, method: str = "plastic", measure: str = "pearson",
     low: float | None = None, high: float | None = None, absolute: bool = False, cells: tuple | None = None,
-    clicked: tuple | None = None, listed: DataFrame | None = None, **options,
+    clicked: tuple | None = None, listed: DataFrame | None = None, second: DataFrame | None = None, diagonal: bool = False,
+    others: DataFrame | None = None, **options,
 ) -> DataFrame:
     """(i, j, value): the value of largest magnitude among ``samples`` pairs of points of each pair of blocks.
 
     Points come from a six-dimensional sequence, three coordinates for each
-    block. Samples that hit a missing value are left out.
+    block. Samples that hit a missing value are left out. Pairs are i > j,
+    with ``diagonal`` i >= j. j's values are those of the field ``second``
+    where one is given (then i >= j), or j is a block of another region of
+    points, ``others`` (then all pairs).
     """
+    there = others if others is not None else df if second is None else second
     boxes = _boxes(df, factor, sizes)
     a = boxes.select(F.col("id").alias("i"), F.struct("ox", "oy", "oz", "nx", "ny", "nz").alias("p"))
+    boxes = _boxes(there, factor, sizes)
     b = boxes.select(F.col("id").alias("j"), F.struct("ox", "oy", "oz", "nx", "ny", "nz").alias("q"))
-    pairs = narrowed(_paired(a, b, True, False, listed), cells, clicked)
+    pairs = narrowed(paired(a, b, others is None, diagonal or second is not None, listed), cells, clicked)
     s = METHODS[method](F.col("s"), 6)
     asked = pairs.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(samples - 1)).cast("array<bigint>")))
     at = [(F.col("p")[f"o{c}"] + cell(s[k], F.col("p")[f"n{c}"])).alias(f"{c}i") for k, c in enumerate("xyz")]
     at += [(F.col("q")[f"o{c}"] + cell(s[k + 3], F.col("q")[f"n{c}"])).alias(f"{c}j") for k, c in enumerate("xyz")]
     asked = asked.select("i", "j", *at).distinct()
-    ready = _whole(point_vectors(df, measure))
-    met = asked.join(_named(ready, "i", "a"), ["xi", "yi", "zi"]).join(_named(ready, "j", "b"), ["xj", "yj", "zj"])
+    ready, back = _whole(point_vectors(df, measure)), _whole(point_vectors(there, measure))
+    met = asked.join(_named(ready, "i", "a"), ["xi", "yi", "zi"]).join(_named(back, "j", "b"), ["xj", "yj", "zj"])
     values = within(_valued(met, measure, False, **options), None)
     best = values.groupBy("i", "j").agg(F.max(F.struct(F.abs("value").alias("size"), "value")).alias("best"))
     best = best.select("i", "j", F.col("best.size" if absolute else "best.value").alias("value"))
