@@ -67,3 +67,28 @@ def test_dbscan(spark):
         if k not in cores and n & cores:
             want[k] = min(want[c] for c in n & cores)
     assert got == want and len(set(got.values())) >= 3
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_boxed_meets_the_conditions_of_optimality(seed):
+    rng = np.random.default_rng(seed)
+    n = [1, 3, 8, 20, 40, 0][seed]
+    m = rng.normal(size=(n + 5, n))
+    a, b = m.T @ m + 1e-3 * np.eye(n), m.T @ rng.normal(size=n + 5) * 3
+    x = fitting.boxed(a, b, 0.0, 1.0)
+    slope = a @ x - b
+    assert ((x >= 0) & (x <= 1)).all()
+    assert (np.abs(slope[(x > 0) & (x < 1)]) < 1e-8).all() and (slope[x == 0] > -1e-8).all() and (slope[x == 1] < 1e-8).all()
+    # a clipped solution is another point, and no better one
+    cost = lambda u: u @ a @ u / 2 - b @ u
+    assert not n or cost(x) <= cost(np.clip(np.linalg.solve(a, b), 0, 1)) + 1e-9
+
+
+def test_box_and_krylov_of_rows(rows):
+    df, v = rows
+    a, target = design(v), 2.5 * v - 0.6  # leaves the box on both sides
+    gram, right = a.T @ a + 1e-3 * np.eye(6), a.T @ target
+    got = [r.value for r in fitting.solved(df, 2.5 * F.col("value") - 0.6, 6).orderBy("j").collect()]
+    assert got == pytest.approx(fitting.boxed(gram, right, 0, 1).tolist(), abs=1e-9) and min(got) == 0.0 and max(got) == 1.0
+    free = [r.value for r in fitting.solved(df, 2.5 * F.col("value") - 0.6, 6, box=None, solver="cgls").orderBy("j").collect()]
+    assert free == pytest.approx(np.linalg.solve(gram, right).tolist(), abs=1e-8)
