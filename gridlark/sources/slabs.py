@@ -206,7 +206,9 @@ class _Reader(ds.DataSourceReader):
             blocks = [named(b, t, e) for (_, t, e), each in zip(self.files, found) for b in each]
         return list(chain.from_iterable(map(self.bounds.slabs, blocks)))
 
-    def read(self, slab: Slab) -> Iterator[pa.RecordBatch]:
+    def read(self, slab: Slab | None) -> Iterator[pa.RecordBatch]:
+        if slab is None:  # a plan without slabs
+            return
         system, at = _opened(slab.block.path)
         with system.open_input_file(at) as f:
             for first, n, place, _ in slab.reads():

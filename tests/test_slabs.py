@@ -93,6 +93,7 @@ def test_filters_reach_the_plan(spark, tmp_path, monkeypatch):
     (slab,) = reader.partitions()
     assert (slab.low, slab.high, slab.block.t, slab.block.e) == ((0, 0, 3), (10, 10, 5), 7, 2)
     assert slabs._Reader([(path, 1, 0)]).partitions() and not [s for s in _told(path, ds.EqualTo(("t",), 2))]
+    assert slabs.read_slabs(spark, path).filter("z = 99").collect() == []
     df = region(slabs.read_slabs(spark, [(path, 7, 2)]), (2, 3, 4), (5, 6, 7))
     assert df.rdd.getNumPartitions() == 1 and df.count() == 64
     assert {(r.t, r.e) for r in df.collect()} == {(7, 2)} and all(r.value == r.point_id for r in df.collect())
