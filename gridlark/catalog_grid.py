@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -9,6 +11,7 @@ from gridlark import twins
 from gridlark.fields import embedding_field, holes, lineitem_field
 from gridlark.functions import sequences
 from gridlark.operators import density, dependence, ensemble, features, fitting, grid, learned
+from gridlark.plans import calculators
 from gridlark.plans import described as plans
 from gridlark.twins import CORR, E, H, L, bounds, rounded
 
@@ -149,7 +152,22 @@ def described(spark, sf):
     return rounded(out.select(*[F.col(c)[b].alias(f"{c}{b[1]}") for c in "ij" for b in ("bx", "by", "bz")], "value"))
 
 
+def calculated(spark, sf):
+    """Three calculators that use each other: how far the smoothed squares of a field are from its spread."""
+    said = {
+        "sources": {"value": {"field": "embeddings", "folder": sf}},
+        "calculators": [
+            {"name": "apart", "op": "absolute_difference", "inputs": ["smooth", "spread"]},
+            {"name": "smooth", "op": "smoothed", "inputs": ["squares"], "radius": 1},
+            {"name": "squares", "op": "product", "inputs": ["value", "value"]},
+            {"name": "spread", "op": "spread", "inputs": ["value"]},
+        ],
+    }
+    return rounded(calculators.Fields(spark, json.dumps(said))["apart"].select("point_id", "m", "value"))
+
+
 QUERIES = {
+    "calculated": calculated,
     "described": described,
     "identities": identities,
     "helicity_normalised": helicity_normalised,
@@ -211,6 +229,9 @@ _S3 = [f"(0.5::DOUBLE + {a!r}::DOUBLE * (i + 1))" for a in sequences.plastic_ste
 _CELL = lambda k, n: f"least(greatest(floor((({_S3[k]} - floor({_S3[k]}))::FLOAT)::DOUBLE * {n}), 0), {n} - 1)::BIGINT"
 
 ORACLE_SQL = {
+    "calculated": f"""WITH {E}, w AS (SELECT *, exp(-((dx * dx + dy * dy + dz * dz) / 2.0::DOUBLE)) AS k FROM (SELECT unnest([-1, 0, 1]) AS dx), (SELECT unnest([-1, 0, 1]) AS dy), (SELECT unnest([-1, 0, 1]) AS dz)),
+ g AS (SELECT x + dx AS x, y + dy AS y, z + dz AS z, m, sum(v * v * k) / sum(k) AS smooth FROM e, w GROUP BY 1, 2, 3, 4), d AS (SELECT point_id, stddev_samp(v) AS spread FROM e GROUP BY 1)
+ SELECT e.point_id, e.m::INT AS m, round(abs(smooth - spread), 9) AS value FROM e JOIN g USING (x, y, z, m) JOIN d ON d.point_id = e.point_id""",
     "described": f"""WITH {E}, b AS (SELECT x // 4 AS bx, y // 4 AS b2, z // 4 AS bz, m, avg(v) AS v FROM e WHERE x BETWEEN 1 AND 8 AND y BETWEEN 1 AND 8 AND z <= 9 AND m < 32 GROUP BY 1, 2, 3, 4),
  p AS (SELECT i.bx AS ix, i.b2 AS iy, i.bz AS iz, j.bx AS jx, j.b2 AS jy, j.bz AS jz, i.v AS a, j.v AS b FROM b i JOIN b j ON i.m = j.m AND (i.bz, i.b2, i.bx) > (j.bz, j.b2, j.bx))
  SELECT ix, iy, iz, jx, jy, jz, round(abs({CORR}), 9) AS value FROM p GROUP BY 1, 2, 3, 4, 5, 6 ORDER BY abs({CORR}) DESC LIMIT 5""",
