@@ -29,42 +29,39 @@ from .common import checkpointed, hinted, written
 _TERMS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 _COUNTS = "lang string, source string, term string, n long, docs long"
 #: Terms that a task counts before it hands them on.
-_HELD = 200_000
+_HELD = 500_000
 
 
 def terms(text: str | None) -> list[bytes]:
     """The terms of a text in UTF-8: runs of letters and of code points over 127, A-Z lower-cased."""
-    return text.encode("utf-8", "surrogatepass").translate(_TERMS).split(b" ") if text else []
+    return text.encode("utf-8", "surrogatepass").translate(_TERMS).split() if text else []
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, source, text) to the occurrences and documents of each term, in portions."""
-    held: dict[tuple[str, str], dict[bytes, list[int]]] = {}
+    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
     size = 0
 
-    def portion() -> pa.RecordBatch:
-        rows = [(*group, term, *of) for group, found in held.items() for term, of in found.items()]
-        columns = list(zip(*rows)) if rows else [[]] * 5
-        kinds = (pa.string(), pa.string(), pa.binary(), pa.int64(), pa.int64())
-        arrays = [pa.array(x, kind) for x, kind in zip(columns, kinds)]
-        return pa.RecordBatch.from_arrays([*arrays[:2], arrays[2].cast(pa.string()), *arrays[3:]], names=["lang", "source", "term", "n", "docs"])
+    def portion() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (times, within) in held.items():
+            n = len(times)
+            same = [pa.repeat(pa.scalar(v, pa.string()), n) for v in (lang, source)]
+            term = pa.array(times.keys(), pa.binary(), size=n).cast(pa.string())
+            counts = [pa.array(times.values(), pa.int64(), size=n), pa.array(map(within.__getitem__, times), pa.int64(), size=n)]
+            yield pa.RecordBatch.from_arrays([*same, term, *counts], names=["lang", "source", "term", "n", "docs"])
 
     for batch in batches:
         for lang, source, text in zip(*(batch.column(i) for i in range(3))):
-            found = held.setdefault((lang.as_py(), source.as_py()), {})
-            size -= len(found)
-            for term, n in Counter(terms(text.as_py())).items():
-                if term in found:
-                    of = found[term]
-                    of[0] += n
-                    of[1] += 1
-                elif term:
-                    found[term] = [n, 1]
-            size += len(found)
+            times, within = held.setdefault((lang.as_py(), source.as_py()), (Counter(), Counter()))
+            size -= len(times)
+            found = terms(text.as_py())
+            times.update(found)
+            within.update(set(found))
+            size += len(times)
             if size > _HELD:
-                yield portion()
+                yield from portion()
                 held, size = {}, 0
-    yield portion()
+    yield from portion()
 
 
 def probability(n: Column, total: Column, kept: Column) -> Column:
