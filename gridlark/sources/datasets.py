@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlark.operators.grid import region, subsampled, transposed
-from gridlark.sources import formats, grib, slabs, stores, volumes
+from gridlark.sources import formats, grib, hdf5, slabs, stores, volumes
 
 
 @dataclass
@@ -97,6 +97,8 @@ def read(spark: SparkSession, data: Dataset) -> DataFrame:
             rows = rows.select(formats.NAMES)
         elif kind in grib.ENDINGS:
             rows = grib.read_grib(spark, name)
+        elif kind in hdf5.ENDINGS:
+            rows = hdf5.read_hdf5(spark, name)
         elif kind in formats.READERS:
             rows = formats.READERS[kind](spark, name)
         elif kind in stores.READERS:
