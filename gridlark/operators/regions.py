@@ -9,6 +9,8 @@ evenly however few members there are.
 from __future__ import annotations
 
 import math
+import time
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ from pyspark.sql.window import Window
 from gridlark.functions.kernels import of_vectors
 from gridlark.functions.sequences import METHODS, cell
 from gridlark.operators import unit_pairs
+from gridlark.session import checkpointed
 
 #: Blocks in a group.
 GROUP = 128
@@ -247,6 +250,30 @@ def pair_statistics(listed: DataFrame, found: DataFrame) -> DataFrame:
     return listed.join(found.select("i", "j", "value"), ["i", "j"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 
+#: The columns of a sampling benchmark.
+BENCHMARK = ("Sampling Method", "Samples", "Time", "Quantile", "Linear", "Absolute", "Init Samples")
+
+
+def sampling_benchmark(df: DataFrame, factor: int, sizes: tuple, samples: list[int], methods: dict[str, Callable], measure: str = "pearson") -> DataFrame:
+    """A row for each method and number of samples: seconds taken and mean errors against all points (see sampling_errors).
+
+    A method is a function (df, factor, sizes, samples, measure) to pairs; the
+    points that it asks before it learns, if it does, are its ``initial``. The
+    rows are few: write them with ``df.write.csv(path, header=True)``.
+    """
+    every = checkpointed(cell_pairs(df, factor, measure).select("i", "j", "value"))
+    rows = []
+    for name, method in methods.items():
+        for n in samples:
+            start = time.time()
+            found = checkpointed(method(df, factor, sizes, n, measure=measure).select("i", "j", "value"))
+            took = time.time() - start
+            told = sampling_errors(every, found).first()
+            rows.append((name, n, took, told["quantile"], told["linear"], told["absolute"], getattr(method, "initial", lambda n: 0)(n)))
+    kinds = ("string", "int", "double", "double", "double", "double", "int")
+    return df.sparkSession.createDataFrame(rows, ", ".join(f"`{c}` {k}" for c, k in zip(BENCHMARK, kinds)))
+
+
 def sampling_errors(values: DataFrame, found: DataFrame) -> DataFrame:
     """How far sampled maxima fall short of all values, in magnitudes: one row of means over pairs.
 

@@ -135,3 +135,6 @@ def bayesian_pairs(
     out = rows.mapInArrow(_found(samples, factor, tuple(sizes), measure, options), f"i {_ID}, j {_ID}, value double")
     out = out.withColumn("value", F.abs("value")) if absolute else out
     return regions.within(out, low, high)
+
+
+bayesian_pairs.initial = initial

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import datasource as ds
+from pyspark.sql import functions as F
 
 from gridlark.sources import formats, stores, volumes
 from gridlark.sources.blocks import Block
@@ -47,19 +48,27 @@ def _size(path: str) -> int:
     return info.size
 
 
-def _nc_blocks(path: str) -> list[Block]:
+def _nc_header(path: str) -> tuple[stores.NetcdfHeader, int]:
     total, n = _size(path), HEADER
     while True:
         try:
-            head = stores.NetcdfHeader(path, memoryview(_bytes(path, 0, n)))
-            break
+            return stores.NetcdfHeader(path, memoryview(_bytes(path, 0, n))), total
         except ValueError:
             if n >= total:
                 raise
             n *= 8  # a header that is longer than what was read
+
+
+def _nc_blocks(path: str) -> list[Block]:
+    head, total = _nc_header(path)
     return list(head.blocks(total))
 
 
+def _series_blocks(path: str) -> list[Block]:
+    head, total = _nc_header(path)
+    return [head.series(total)]
+
+
 def _mhd_blocks(path: str) -> list[Block]:
     kind, sizes, name = formats.meta_image(path, _bytes(path, 0, _size(path)).decode())
     return [Block(name, formats.ATTRIBUTE, 0, 0, 0, kind, sizes)]
@@ -76,12 +85,13 @@ LAYOUTS = {
     "mhd": _mhd_blocks,
     "dat": _dat_blocks,
     "nc": _nc_blocks,
+    "series": _series_blocks,
 }
 
 
-def layout(path: str) -> list[Block]:
-    """The blocks of a file by the ending of its name; each is checked to lie within its file, or to be all of it."""
-    found = LAYOUTS[path.rpartition(".")[2].lower()](path)
+def layout(path: str, kind: str | None = None) -> list[Block]:
+    """The blocks of a file by its kind, the ending of its name by default; each is checked to lie within its file, or to be all of it."""
+    found = LAYOUTS[kind or path.rpartition(".")[2].lower()](path)
     for b in found:
         size = _size(b.path)
         whole = path.lower().endswith((".dat", ".mhd", ".cvol"))
@@ -191,8 +201,8 @@ def _rows(slab: Slab, first: tuple[int, int, int], values: np.ndarray) -> Iterat
 
 
 class _Reader(ds.DataSourceReader):
-    def __init__(self, files: list[tuple[str, int | None, int | None]]):
-        self.files, self.bounds = files, _Bounds()
+    def __init__(self, files: list[tuple[str, int | None, int | None]], kind: str | None = None):
+        self.files, self.kind, self.bounds = files, kind, _Bounds()
 
     def pushFilters(self, filters: list[ds.Filter]) -> Iterable[ds.Filter]:
         for f in filters:
@@ -201,7 +211,7 @@ class _Reader(ds.DataSourceReader):
 
     def partitions(self) -> list[Slab]:
         with ThreadPoolExecutor(16) as pool:
-            found = pool.map(layout, [path for path, _, _ in self.files])
+            found = pool.map(layout, [path for path, _, _ in self.files], [self.kind] * len(self.files))
             named = lambda b, t, e: replace(b, t=b.t if t is None else t, e=b.e if e is None else e)
             blocks = [named(b, t, e) for (_, t, e), each in zip(self.files, found) for b in each]
         return list(chain.from_iterable(map(self.bounds.slabs, blocks)))
@@ -216,7 +226,7 @@ class _Reader(ds.DataSourceReader):
 
 
 class VolumeSource(ds.DataSource):
-    """``files``: a JSON list of [path, t, e]; t and e are null where the file says them."""
+    """``files``: a JSON list of [path, t, e]; t and e are null where the file says them. ``kind``: a layout other than that of the files' ending."""
 
     @classmethod
     def name(cls) -> str:
@@ -226,7 +236,7 @@ class VolumeSource(ds.DataSource):
         return formats.SCHEMA
 
     def reader(self, schema) -> _Reader:
-        return _Reader([tuple(f) for f in json.loads(self.options["files"])])
+        return _Reader([tuple(f) for f in json.loads(self.options["files"])], self.options.get("kind"))
 
 
 #: Schemes of the stores that pyarrow reads.
@@ -246,6 +256,20 @@ def read_slabs(spark: SparkSession, files: str | list) -> DataFrame:
     for path, _, _ in said:
         if not readable(path):
             raise ValueError(f"{path}: files of this kind or store aren't read by slabs")
+    return _load(spark, files=json.dumps(said))
+
+
+def _load(spark: SparkSession, **options: str) -> DataFrame:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(VolumeSource)
-    return spark.read.format("gridlark_volume").option("files", json.dumps(said)).load()
+    return spark.read.format("gridlark_volume").options(**options).load()
+
+
+def read_series(spark: SparkSession, path: str) -> DataFrame:
+    """(sidx, t, w, value) of a NetCDF file of time series: the first variable of floats over samples, time and maybe a window.
+
+    w is the place in the window, 0 without one; fill values are NaN. Long
+    files are many tasks' work.
+    """
+    df = _load(spark, files=json.dumps([[path, None, None]]), kind="series")
+    return df.select(*[F.col(c).alias(n) for c, n in (("z", "sidx"), ("y", "t"), ("x", "w"))], "value")

@@ -189,6 +189,28 @@ class NetcdfHeader:
         return {"name": name, "dims": dims, "said": said, "kind": kind, "size": size, "begin": self.number("I" if self.version == 1 else "Q")}
 
 
+    def _fills(self, v: dict) -> tuple[float, ...]:
+        said = [v["said"].get(a, ()) for a in ("missing_value", "_FillValue")]
+        return tuple(float(np.asarray(s)[0]) for s in said if len(s) and not isinstance(s, str))
+
+    def series(self, total: int) -> Block:
+        """The first variable of floats with two or three axes, samples, time and maybe a window, as z, y and x."""
+        for v in self.variables:
+            names = [self.sizes[d][0] for d in v["dims"]]
+            if np.dtype(v["kind"]).kind != "f" or len(names) not in (2, 3):
+                continue
+            if names[:2] != ["samples", "time"]:
+                raise ValueError(f"{self.path}: the axes of {v['name']} are {names}, samples and time are expected")
+            growing = [u for u in self.variables if u["dims"] and self.sizes[u["dims"][0]][1] == 0]
+            if self.sizes[v["dims"][0]][1] == 0 and len(growing) > 1:
+                raise ValueError(f"{self.path}: samples that grow together with other variables aren't supported")
+            shape = [self.sizes[d][1] or self.records for d in v["dims"]]
+            block = Block(self.path, v["name"], 0, 0, v["begin"], v["kind"], (shape[2] if len(shape) == 3 else 1, shape[1], shape[0]), 1, self._fills(v))
+            if block.offset + block.nbytes > total:
+                raise ValueError(f"{self.path} ends before the values of {v['name']} that are announced")
+            return block
+        raise ValueError(f"{self.path} holds no variable of floats with two or three axes")
+
     def blocks(self, total: int) -> Iterator[Block]:
         """The blocks of all variables of three or more axes, in a file of ``total`` bytes."""
         growing = [v for v in self.variables if v["dims"] and self.sizes[v["dims"][0]][1] == 0]
@@ -203,7 +225,7 @@ class NetcdfHeader:
             shape = [self.sizes[d][1] or self.records for d in v["dims"]]
             if outer > 2:
                 raise ValueError(f"{self.path}: {v['name']} has {len(names)} axes")
-            fills = tuple(float(np.asarray(v["said"][a])[0]) for a in ("missing_value", "_FillValue") if len(v["said"].get(a, ())) and not isinstance(v["said"][a], str))
+            fills = self._fills(v)
             inner = int(np.prod(shape[outer:]))
             sizes = (shape[-1], shape[-2], 1 if flat else shape[-3])
             # records of a single variable are not padded

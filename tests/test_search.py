@@ -63,3 +63,14 @@ def test_covariances_are_those_of_matern():
     k = search.matern(a, a)
     r = np.sqrt(5) * np.linalg.norm(a[0] - a[1]) / search.LENGTH
     assert k[0, 1] == pytest.approx((1 + r + r * r / 3) * np.exp(-r)) and np.allclose(np.diag(k), 1) and np.linalg.eigvalsh(k).min() > 0
+
+
+def test_benchmark_as_csv(field, spark, tmp_path):
+    methods = {"Plastic": regions.sampled_pairs, "Bayesian": search.bayesian_pairs}
+    regions.sampling_benchmark(field, FACTOR, (12, 8, 4), [4, 12], methods).coalesce(1).write.csv(f"{tmp_path}/b", header=True)
+    rows = spark.read.csv(f"{tmp_path}/b", header=True, inferSchema=True)
+    assert tuple(rows.columns) == regions.BENCHMARK
+    told = {(r["Sampling Method"], r["Samples"]): r for r in rows.collect()}
+    assert set(told) == {(m, n) for m in methods for n in (4, 12)} and all(r["Time"] > 0 and 0 <= r["Absolute"] <= 2 for r in told.values())
+    assert [told["Bayesian", n]["Init Samples"] for n in (4, 12)] == [2, 6] and told["Plastic", 4]["Init Samples"] == 0
+    assert told["Plastic", 12]["Absolute"] <= told["Plastic", 4]["Absolute"]

@@ -5,8 +5,10 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_stores import Plain, netcdf
 
+from gridlark.operators.dependence import windowed
 from gridlark.operators.grid import region
 from gridlark.sources import datasets, formats, slabs, stores, volumes
 from gridlark.sources.blocks import Block
@@ -139,3 +141,22 @@ def test_malformed_files_are_refused(tmp_path, change):
     path.write_bytes(change(path.read_bytes()))
     with pytest.raises(ValueError):
         slabs.layout(str(path))
+
+
+@pytest.mark.parametrize("window", [0, 3])
+def test_time_series(spark, tmp_path, window):
+    rng = np.random.default_rng(4)
+    v = rng.random((5, 40, *[window] * bool(window))).astype("f4")
+    v.flat[7] = -9.0
+    dims = [("samples", 5), ("time", 40), ("window", 3), ("other", 2)]
+    (tmp_path / "s.nc").write_bytes(netcdf(2, dims, [Plain(("k", [3], np.arange(2, dtype="i2"), None)), Plain(("v", [0, 1, 2][: v.ndim], v, -9.0))]))
+    got = {(r.sidx, r.t, r.w): r.value for r in slabs.read_series(spark, f"{tmp_path}/s.nc").collect()}
+    v.flat[7] = np.nan
+    assert got == pytest.approx({k: float(x) for k, x in np.ndenumerate(v.reshape(5, 40, -1))}, nan_ok=True)
+    if not window:
+        series = slabs.read_series(spark, f"{tmp_path}/s.nc").filter("NOT isnan(value)").select(F.col("sidx").cast("string").alias("sidx"), F.col("t").cast("long").alias("t"), "value")
+        told = {(r.sidx, r.t): r.value for r in windowed(series, "1", 12).collect()}
+        assert len(told) == 4 * 29 + 21 and told["2", 39] == pytest.approx(np.corrcoef(v[1, 28:], v[2, 28:])[0, 1])
+    (tmp_path / "w.nc").write_bytes(netcdf(1, [("time", 4), ("samples", 2)], [Plain(("v", [0, 1], np.zeros((4, 2), "f4"), None))]))
+    with pytest.raises(ValueError, match="expected"):
+        slabs.layout(f"{tmp_path}/w.nc", "series")
