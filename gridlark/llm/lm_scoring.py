@@ -122,14 +122,34 @@ def _arrays(df: DataFrame) -> list[np.ndarray]:
     return [c.to_numpy() for c in found.columns]
 
 
-def _costed(low):
-    """Nodes (order, value, n, met) that were dealt by context to the costs of their windows of full length."""
+def _by_context(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[np.ndarray]]:
+    """The columns of nodes that are sorted by context, in portions of whole contexts.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[c.to_numpy() for c in batch.columns] for batch in batches if batch.num_rows]
-        if not parts:
-            return
-        orders, values, counts, met = map(np.concatenate, zip(*parts))
+    A portion is ``most`` nodes and a batch, or one context, which has fewer
+    than 256 ** 3 nodes whatever the corpus.
+    """
+    held, size = [], 0
+    for batch in batches:
+        held.append([c.to_numpy() for c in batch.columns])
+        size += batch.num_rows
+        if size > most:
+            columns = [np.concatenate(c) for c in zip(*held)]
+            context = columns[1] >> 8 & (1 << 8 * DEALT) - 1
+            last = int(np.argmax(context == context[-1]))
+            if last:
+                yield [c[:last] for c in columns]
+            held = [[c[last:] for c in columns]]
+            # a context larger than that goes on growing, and is looked at again after as many nodes
+            size = 0 if not last else size - last
+    if held:
+        yield [np.concatenate(c) for c in zip(*held)]
+
+
+def _costed(low, most: int = 1 << 19):
+    """Nodes (order, value, n, met), dealt and sorted by context, to the costs of their windows of full length."""
+
+    def costs(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        orders, values, counts, met = columns
         learnt, full = counts > 0, orders == ORDER
         model = Model(*(np.concatenate((a, b[learnt])) for a, b in zip(low.value, (orders, values, counts))))
         keys, met = values[full], met[full]
@@ -138,6 +158,10 @@ def _costed(low):
             cols = [pa.array(part), pa.array(met[k : k + 100_000]), pa.array(model.costs(part.astype(np.uint64)))]
             yield pa.RecordBatch.from_arrays(cols, names=["key", "n", "cost"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in _by_context(batches, most):
+            yield from costs(columns)
+
     return run
 
 
@@ -255,7 +279,9 @@ def scored(docs: DataFrame, folds: int = 5, held_out: int = 1, most_nodes: int =
     context = F.shiftright("value", 8).bitwiseAND(F.lit((1 << 8 * DEALT) - 1))
     # fewer than 256 ** DEALT nodes, and a few ten thousand in texts
     low = docs.sparkSession.sparkContext.broadcast(_arrays(nodes.filter(F.col("order") < DEALT).select("order", "value", "n")))
-    costs = nodes.filter(F.col("order") >= DEALT).repartition(slots(docs), context).mapInArrow(_costed(low), "key long, n long, cost double")
+    # sorted, so that a task holds a portion of its contexts at a time
+    dealt = nodes.filter(F.col("order") >= DEALT).repartition(slots(docs), context).sortWithinPartitions(context)
+    costs = dealt.mapInArrow(_costed(low), "key long, n long, cost double")
     costs = written(costs, "costs")
     table = _arrays(_within(costs, most_nodes).select("key", "cost"))
     known, often = _arrays(_within(words, most_words).select("key", "n"))

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_llm import tokens
 
@@ -132,3 +133,19 @@ def test_counts_given_out_early():
     want = Counter(x for k in range(20) for x in range(k, k + 30))
     assert total == want
     assert _merged([(np.array([3, 1]), np.array([1, 2])), (np.array([3]), np.array([4]))])[1].tolist() == [2, 5]
+
+
+@pytest.mark.parametrize("most", [1, 7, 50, 10_000])
+@pytest.mark.parametrize("size", [1, 5, 1000])
+def test_portions_hold_whole_contexts(most, size):
+    rng = np.random.default_rng(most + size)
+    context = np.sort(np.r_[rng.integers(0, 12, 200), np.full(150, 5)])
+    values = context << 8 | rng.integers(0, 256, 350)
+    columns = [rng.integers(3, 6, 350).astype("i4"), values, np.arange(350), np.arange(350)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[k : k + size]) for c in columns], names=list("ovnm")) for k in range(0, 350, size)]
+    parts = list(lm_scoring._by_context(iter(batches), most))
+    assert all((np.concatenate([p[k] for p in parts]) == columns[k]).all() for k in range(4))
+    found = [set((p[1] >> 8).tolist()) for p in parts]
+    assert all(not a & b for k, a in enumerate(found) for b in found[k + 1 :])
+    assert max(len(p[0]) for p in parts) <= max(most + size, 2 * 200 + size)
+    assert list(lm_scoring._by_context(iter([]), most)) == []
