@@ -57,6 +57,20 @@ def block_pairs(spark, sf):
     return catalog_regions.numbered(regions.mean_pairs(ensemble.block_means(embedding_field(spark, sf), 3), least=0.2))
 
 
+def _two_spreads(spark, sf):
+    df = holes(embedding_field(spark, sf))
+    return ensemble.two_block_spreads(df, df.withColumn("value", F.col("value") * F.col("value")), 3)
+
+
+def named_velocity(spark, sf):
+    """Curl of a velocity whose components are variables of their own names, for each year and line number."""
+    df = lineitem_field(spark, sf).withColumnRenamed("m", "e")
+    named = F.array(*[F.struct(F.lit(n).alias("variable"), F.col(c).alias("value")) for n, c in (("U", "quantity"), ("V", "discount"), ("W", "tax"))])
+    df = df.select("t", "e", "point_id", "x", "y", "z", F.inline(named))
+    out = grid.vorticity(grid.named_velocity(df), keys=["t", "e"])
+    return rounded(out.select("point_id", "t", "e", "cu", "cv", "cw", "helicity"))
+
+
 def binary_operators(spark, sf):
     df = lineitem_field(spark, sf)
     return rounded(df.select("point_id", "t", "m", *[c.alias(n) for n, c in grid.binary(F.col("quantity"), F.col("tax")).items()]))
@@ -133,6 +147,9 @@ QUERIES = {
     "histogram": histogram,
     "block_means": lambda s, d: rounded(ensemble.block_means(holes(embedding_field(s, d)), 3)),
     "block_spread": lambda s, d: rounded(ensemble.block_spread(embedding_field(s, d), 3)),
+    "block_spread_two_fields": lambda s, d: rounded(_two_spreads(s, d)),
+    "block_spread_range": lambda s, d: rounded(ensemble.spread_range(_two_spreads(s, d), ["first", "second"])),
+    "named_velocity": named_velocity,
     "block_pairs": block_pairs,
     "windowed_correlation": lambda s, d: rounded(dependence.windowed(event_series(s, d), "click", 32)),
     "binary_operators": binary_operators,
@@ -158,6 +175,14 @@ _K = default_k(MEMBERS)
 _F = _E + """, g AS (SELECT min(v) AS lo, max(v) AS hi FROM e), tf AS (SELECT point_id, m, v, (v - lo) / (hi - lo) * 7 AS u FROM e, g),
  w AS (SELECT point_id, m::INT AS m, v, least(floor(u), 6)::INT AS j, u - least(floor(u), 6) AS f FROM tf)"""
 
+_SPREADS = _H + """, q AS (SELECT point_id, x, y, z, var_samp(v) AS s, var_samp(v * v) AS r FROM h GROUP BY ALL),
+ b AS (SELECT x // 3 AS bx, y // 3 AS by, z // 3 AS bz, sqrt(avg(s)) * 0.5::DOUBLE AS a, sqrt(avg(r)) * 0.5::DOUBLE AS b FROM q GROUP BY 1, 2, 3)"""
+
+
+def _dk(c, axis):
+    """The derivative within each t and e."""
+    return _d(c, axis).replace("PARTITION BY ", "PARTITION BY t, e, ")
+
 
 ORACLE_SQL = {
     "reference_pearson": f"WITH {_P} SELECT point_id, round({_CORR}, 9) AS value FROM p GROUP BY 1",
@@ -194,6 +219,12 @@ ORACLE_SQL = {
     "block_means": f"WITH {_H} SELECT x // 3 AS bx, y // 3 AS by, z // 3 AS bz, m::INT AS m, round(avg(v), 9) AS value FROM h GROUP BY ALL",
     "block_spread": f"""WITH {_E}, q AS (SELECT point_id, x, y, z, var_samp(v) AS s FROM e GROUP BY ALL)
  SELECT x // 3 AS bx, y // 3 AS by, z // 3 AS bz, round(sqrt(avg(s)), 9) AS spread, count(*) AS n FROM q GROUP BY 1, 2, 3""",
+    "block_spread_two_fields": f"WITH {_SPREADS} SELECT bx, b.by AS by, bz, round(a, 9) AS \"first\", round(b, 9) AS \"second\" FROM b",
+    "block_spread_range": f"""WITH {_SPREADS} SELECT round(min(a), 9) AS low_first, round(max(a), 9) AS high_first, round(min(b), 9) AS low_second,
+ round(max(b), 9) AS high_second FROM b""",
+    "named_velocity": f"""WITH {_L}, u AS (SELECT point_id, t::INT AS t, m AS e, point_id % 10 AS x, (point_id // 10) % 10 AS y, point_id // 100 AS z, q AS u, d AS v, tax AS w FROM l),
+ c AS (SELECT *, {_dk('w', 'y')} - {_dk('v', 'z')} AS cu, {_dk('u', 'z')} - {_dk('w', 'x')} AS cv, {_dk('v', 'x')} - {_dk('u', 'y')} AS cw FROM u)
+ SELECT point_id, t, e, round(cu, 9) AS cu, round(cv, 9) AS cv, round(cw, 9) AS cw, round(u * cu + v * cv + w * cw, 9) AS helicity FROM c""",
     "block_pairs": f"""WITH {_E}, b AS (SELECT (z // 3) * 1000000 + (y // 3) * 1000 + x // 3 AS id, m, avg(v) AS v FROM e GROUP BY 1, 2),
  p AS (SELECT x.id AS i, y.id AS j, x.v AS a, y.v AS b FROM b x JOIN b y ON x.m = y.m AND x.id > y.id)
  SELECT i, j, round({_CORR}, 9) AS value FROM p GROUP BY 1, 2 HAVING abs({_CORR}) >= 0.2""",

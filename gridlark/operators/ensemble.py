@@ -93,6 +93,18 @@ def block_spread(df: DataFrame, factor: int) -> DataFrame:
     return points.groupBy(*cell).agg(F.sqrt(F.avg("var")).alias("spread"), F.count("*").alias("n"))
 
 
+def two_block_spreads(first: DataFrame, second: DataFrame, factor: int) -> DataFrame:
+    """(bx, by, bz, first, second): the pooled deviations of two fields, each halved, so that both fit where one does."""
+    half = lambda df, name: block_spread(df, factor).select("bx", "by", "bz", (F.col("spread") * 0.5).alias(name))
+    return half(first, "first").join(half(second, "second"), ["bx", "by", "bz"])
+
+
+def spread_range(spreads: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: the smallest and largest deviation of each column, those that are no number left out."""
+    v = lambda c: valid(F.col(c))
+    return spreads.agg(*[f(v(c)).alias(f"{n}_{c}") for c in columns for n, f in (("low", F.min), ("high", F.max))])
+
+
 def block_abs_max(df: DataFrame, factor: int) -> DataFrame:
     """The value of largest magnitude in each block, with its sign; 0 where nothing is valid."""
     v = valid(F.col("value"))

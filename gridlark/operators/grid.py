@@ -32,6 +32,26 @@ def velocity(df: DataFrame) -> DataFrame:
     return df.filter("m < 3").groupBy("point_id", "x", "y", "z").agg(*pick)
 
 
+#: Names by which the components of a velocity are found, in this order.
+COMPONENTS = (("u", "U", "velocityX", "x-velocity"), ("v", "V", "velocityY", "y-velocity"), ("w", "W", "velocityZ", "z-velocity"))
+
+
+def named_velocity(df: DataFrame, names: tuple | None = None, keys: list[str] = ["t", "e"]) -> DataFrame:  # noqa: B006
+    """(keys, point_id, x, y, z, u, v, w) of rows with a ``variable``: its components by their names.
+
+    ``names`` are the three variables; by default the first known name of each
+    component that occurs. A component that isn't there is refused.
+    """
+    if names is None:
+        there = {r[0] for r in df.select("variable").distinct().limit(10_000).collect()}
+        names = tuple(next((n for n in known if n in there), None) for known in COMPONENTS)
+        missing = [known[0] for known, n in zip(COMPONENTS, names) if n is None]
+        if missing:
+            raise ValueError(f"no variable for the components {', '.join(missing)} of a velocity among {sorted(there)}")
+    pick = [F.max(F.when(F.col("variable") == n, F.col("value"))).alias(c) for n, c in zip(names, "uvw")]
+    return df.filter(F.col("variable").isin(*names)).groupBy(*keys, "point_id", "x", "y", "z").agg(*pick)
+
+
 def vorticity(df: DataFrame, steps: tuple = (1.0, 1.0, 1.0), keys: list[str] = (), normalised: bool = False) -> DataFrame:
     """Curl, magnitudes and helicity of a field of (keys, x, y, z, u, v, w).
 

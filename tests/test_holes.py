@@ -82,3 +82,13 @@ def test_windows_over_several_chunks(spark, monkeypatch, length, measure):
     for r in got:
         part = slice(r.t - length + 1, r.t + 1)
         assert r.value == pytest.approx(np.corrcoef(rank(a[part]), rank((a if r.sidx == "a" else b)[part]))[0, 1])
+
+
+def test_velocities_by_name(spark):
+    rows = [(0, 0, p, p, 0, 0, n, float(10 * k + p)) for k, n in enumerate(("U", "velocityY", "w", "other")) for p in range(3)]
+    df = spark.createDataFrame(rows, "t int, e int, point_id long, x int, y int, z int, variable string, value double")
+    got = {r.point_id: (r.u, r.v, r.w) for r in grid.named_velocity(df).collect()}
+    assert got == {p: (p, 10.0 + p, 20.0 + p) for p in range(3)}
+    assert grid.named_velocity(df, ("other", "U", "U")).filter("point_id = 1").first().u == 31.0
+    with pytest.raises(ValueError, match="components v, w"):
+        grid.named_velocity(df.filter("variable IN ('U', 'other')"))
