@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridlark import twins
-from gridlark.fields import embedding_field, holes, lineitem_field
+from gridlark.fields import embedding_field, holes, lineitem_field, placed
 from gridlark.functions import sequences
-from gridlark.operators import density, dependence, ensemble, features, fitting, grid, learned
+from gridlark.operators import density, dependence, encodings, ensemble, features, fitting, grid, learned
 from gridlark.plans import calculators
 from gridlark.plans import described as plans
 from gridlark.twins import CORR, E, H, L, bounds, rounded
@@ -142,6 +142,16 @@ def on_valid(spark, sf):
     return rounded(learned.on_valid(holes(embedding_field(spark, sf)), mean))
 
 
+def encoded_positions(spark, sf):
+    """Grid places by two grids of features, the second one hashed, whose slots hold means of the vectors' components."""
+    df = spark.read.parquet(f"{sf}/embeddings.parquet").withColumn("point_id", F.col("vec_id"))
+    grids = encodings.levels(2, 3, 2.0, 6)
+    held = [F.struct(F.lit(n).alias("level"), (F.col("vec_id") % g.slots).alias("slot"), F.slice("embedding", 2 * n + 1, 2).alias("f")) for n, g in enumerate(grids)]
+    table = df.select(F.explode(F.array(*held)).alias("h")).groupBy("h.level", "h.slot").agg(F.array(*[F.avg(F.get("h.f", F.lit(k)).cast("double")) for k in (0, 1)]).alias("features"))
+    at = placed(df.select("point_id")).select("point_id", *[(F.col(a) / 10.0).alias(f"p{a}") for a in "xyz"])
+    return rounded(encodings.grid_encoded(at, table, grids, 2, ["point_id"]).select("point_id", F.posexplode("features").alias("k", "value")))
+
+
 def described(spark, sf):
     """The strongest pairs of blocks in a box, as a description in JSON."""
     text = plans.saved(
@@ -169,6 +179,7 @@ def calculated(spark, sf):
 QUERIES = {
     "calculated": calculated,
     "described": described,
+    "encoded_positions": encoded_positions,
     "identities": identities,
     "helicity_normalised": helicity_normalised,
     "residual_colour": residual_colour,
@@ -229,6 +240,14 @@ _S3 = [f"(0.5::DOUBLE + {a!r}::DOUBLE * (i + 1))" for a in sequences.plastic_ste
 _CELL = lambda k, n: f"least(greatest(floor((({_S3[k]} - floor({_S3[k]}))::FLOAT)::DOUBLE * {n}), 0), {n} - 1)::BIGINT"
 
 ORACLE_SQL = {
+    "encoded_positions": """WITH g(level, scale, side, slots) AS (VALUES (0, 2.0::DOUBLE, 3, 32), (1, 5.0::DOUBLE, 6, 64)), c AS (SELECT a.r AS i, b.r AS j, d.r AS k FROM range(2) a(r), range(2) b(r), range(2) d(r)),
+ p AS (SELECT vec_id AS point_id, level, side, slots, scale * ((vec_id % 10) / 10.0::DOUBLE) + 0.5 AS x, scale * ((vec_id // 10 % 10) / 10.0::DOUBLE) + 0.5 AS y, scale * ((vec_id // 100) / 10.0::DOUBLE) + 0.5 AS z FROM embeddings, g),
+ v AS (SELECT point_id, level, side, slots, floor(x)::BIGINT + i AS x, floor(y)::BIGINT + j AS y, floor(z)::BIGINT + k AS z,
+ (CASE WHEN i = 1 THEN x - floor(x) ELSE 1 - x + floor(x) END) * (CASE WHEN j = 1 THEN y - floor(y) ELSE 1 - y + floor(y) END) * (CASE WHEN k = 1 THEN z - floor(z) ELSE 1 - z + floor(z) END) AS w FROM p, c),
+ s AS (SELECT point_id, level, w, (CASE WHEN side ** 3 > slots THEN xor(xor(x * 1958374283 % 4294967296, y * 2654435761 % 4294967296), z * 805459861 % 4294967296) ELSE x + side * y + side * side * z END) % slots AS slot FROM v),
+ f AS (SELECT level, vec_id % slots AS slot, k, avg(embedding[2 * level + k + 1]::DOUBLE) AS f FROM embeddings, g, range(2) r(k) GROUP BY 1, 2, 3),
+ a AS (SELECT point_id, s.level, r.k, sum(w * coalesce(f, 0)) AS value FROM s JOIN range(2) r(k) ON true LEFT JOIN f ON f.level = s.level AND f.slot = s.slot AND f.k = r.k GROUP BY 1, 2, 3)
+ SELECT point_id, (2 * level + k)::INT AS k, round(value, 9) AS value FROM a""",
     "calculated": f"""WITH {E}, w AS (SELECT *, exp(-((dx * dx + dy * dy + dz * dz) / 2.0::DOUBLE)) AS k FROM (SELECT unnest([-1, 0, 1]) AS dx), (SELECT unnest([-1, 0, 1]) AS dy), (SELECT unnest([-1, 0, 1]) AS dz)),
  g AS (SELECT x + dx AS x, y + dy AS y, z + dz AS z, m, sum(v * v * k) / sum(k) AS smooth FROM e, w GROUP BY 1, 2, 3, 4), d AS (SELECT point_id, stddev_samp(v) AS spread FROM e GROUP BY 1)
  SELECT e.point_id, e.m::INT AS m, round(abs(smooth - spread), 9) AS value FROM e JOIN g USING (x, y, z, m) JOIN d ON d.point_id = e.point_id""",
