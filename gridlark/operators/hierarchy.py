@@ -7,6 +7,8 @@ by itself, the larger half first; all leaves lie at one level.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,6 +89,42 @@ def straightened(points: Column, beta: float = 0.75) -> Column:
     return F.transform(points, moved)
 
 
+def _with(value: Column, told: Callable[[Column], Column]) -> Column:
+    """told(value), with the value calculated once however often it is used."""
+    return F.get(F.transform(F.array(value), told), F.lit(0))
+
+
+def _drawn(points: Column, n: Column, order: int, t: Column) -> Column:
+    """The point at t in [0, 1] of the spline of that order, whose knots are even inside and repeated at the ends."""
+    spans = n - order + 1
+
+    def step(now: Column, at: Column, first: Column, r: int) -> Column:
+        if r == order:
+            return F.get(now, F.lit(0))
+        # neighbours are drawn together, until one is left
+        knot = lambda j: F.greatest(F.lit(0), F.least(first + j - (order - 1), spans)).cast("double")
+        part = [(at - knot(j)) / (knot(j + order - r) - knot(j)) for j in range(r, order)]
+        drawn = [F.struct(*[((1 - p) * F.get(now, F.lit(j))[c] + p * F.get(now, F.lit(j + 1))[c]).alias(c) for c in "xy"]) for j, p in enumerate(part)]
+        return _with(F.array(*drawn), lambda v: step(v, at, first, r + 1))
+
+    def placed(at: Column) -> Column:
+        return _with(F.least(F.floor(at), spans - 1).cast("int"), lambda first: _with(F.slice(points, first + 1, order), lambda v: step(v, at, first, 1)))
+
+    return _with(t * spans, placed)
+
+
+def curved(points: Column, steps: int = 50) -> Column:
+    """``steps`` points (x, y) along the cubic B-spline of control points, from the first one to the last one.
+
+    Three control points make a quadratic curve, two a line, and one a point;
+    without any, or for null, there is none.
+    """
+    t = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: i / float(max(steps - 1, 1)))
+    line = lambda p, order: F.transform(t, lambda v: _drawn(p, F.size(p), order, v))
+    of = lambda p: F.when(F.size(p) > 3, line(p, 4)).when(F.size(p) == 3, line(p, 3)).when(F.size(p) == 2, line(p, 2)).when(F.size(p) == 1, line(p, 1))
+    return _with(points, of)
+
+
 def block_counts(sizes: tuple[int, int, int], factor: int) -> tuple[tuple[int, int, int], int]:
     """Blocks along each axis, and the factor: 1 where the whole region would be one block."""
     counts = tuple(-(-n // factor) for n in sizes)

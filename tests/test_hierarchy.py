@@ -1,5 +1,7 @@
 """The tree over blocks against a walk down it, bundles, and regions inside a block."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,3 +57,29 @@ def test_drilled(spark):
         hierarchy.drilled(df, (2, 0, 0), 4, (7, 5, 2))
     with pytest.raises(ValueError, match="levels"):
         hierarchy.height((1 << 21, 1, 1))
+
+
+def spline(x, k, points):
+    """By the recursion of basis functions."""
+    m = len(points) - k + 2
+    t = [0.0] * (k - 1) + [i / (m - 1) for i in range(m)] + [1.0] * (k - 1)
+
+    def basis(i, k):
+        if k == 1:
+            return float(t[i] <= x < t[i + 1])
+        left = (x - t[i]) / (t[i + k - 1] - t[i]) * basis(i, k - 1) if t[i + k - 1] > t[i] else 0.0
+        return left + ((t[i + k] - x) / (t[i + k] - t[i + 1]) * basis(i + 1, k - 1) if t[i + k] > t[i + 1] else 0.0)
+
+    return [sum(basis(i, k) * p[c] for i, p in enumerate(points)) for c in (0, 1)]
+
+
+def test_curves(spark):
+    rng = random.Random(4)
+    lines = [[(rng.random(), rng.random()) for _ in range(n)] for n in (0, 1, 2, 3, 4, 5, 6, 9, 20)] + [[(1.0, 1.0)] * 5]
+    df = spark.createDataFrame(list(enumerate(lines)) + [(99, None)], "id int, p array<struct<x:double,y:double>>")
+    got = {r.id: r.c for r in df.select("id", hierarchy.curved(F.col("p"), 11).alias("c")).collect()}
+    assert got[0] is None and got[99] is None and [tuple(p) for p in got[1]] == lines[1] * 11
+    for k, points in enumerate(lines[2:], 2):
+        assert [tuple(got[k][0]), tuple(got[k][-1])] == [pytest.approx(points[0]), pytest.approx(points[-1])]
+        for i, p in enumerate(got[k][:-1]):
+            assert list(p) == pytest.approx(spline(i / 10, min(4, len(points)), points), abs=1e-9)
