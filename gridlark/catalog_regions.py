@@ -48,6 +48,10 @@ def pairs_merged(spark, sf):
     return numbered(regions.merged(plain=one, squared=two))
 
 
+def pairs_limited(spark, sf):
+    return regions.limited(pairs_merged(spark, sf), "squared")
+
+
 def _sampled(method: str):
     def query(spark, sf):
         df = embedding_field(spark, sf)
@@ -101,6 +105,7 @@ QUERIES = {
     "pairs_listed": pairs_listed,
     "pairs_two_fields": lambda s, d: numbered(regions.two_fields(_blocks(s, d), _blocks(s, d, True))),
     "pairs_merged": pairs_merged,
+    "pairs_limited": pairs_limited,
     "pairs_strongest": lambda s, d: numbered(regions.strongest_means(_blocks(s, d), 20)),
     "pairs_matrix": lambda s, d: numbered(regions.matrix(regions.mean_pairs(_blocks(s, d)))),
     "pairs_sampled_plastic": _sampled("plastic"),
@@ -189,3 +194,4 @@ ORACLE_SQL = {
     "plastic_points_3d": _sequence("plastic", 3),
     "halton_points": _sequence("halton", 6),
 }
+ORACLE_SQL["pairs_limited"] = f"SELECT * FROM ({ORACLE_SQL['pairs_merged']}) WHERE variable = 'squared'"

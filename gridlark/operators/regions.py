@@ -163,6 +163,11 @@ def merged(**variables: DataFrame) -> DataFrame:
     return out.orderBy(F.abs("value"))
 
 
+def limited(pairs: DataFrame, variable: str | None) -> DataFrame:
+    """The merged pairs of one variable, or of all of them for None."""
+    return pairs if variable is None else pairs.filter(F.col("variable") == variable)
+
+
 def matrix(pairs: DataFrame) -> DataFrame:
     """Both halves of the symmetric matrix of pairs i > j."""
     return pairs.select("i", "j", "value").union(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), "value"))
