@@ -50,3 +50,20 @@ def test_searches_side_by_side_are_those_of_one(field):
     truth = _truth(field)
     assert {(tuple(r.i), tuple(r.j)) for r in got} == truth.keys()
     assert all(np.isclose(truth[tuple(r.i), tuple(r.j)], r.value, atol=1e-9).any() for r in got)
+
+def test_all_points_in_small_groups(field, spark, monkeypatch):
+    """Blocks of 64 points are cut over groups of 50, and the parts put together."""
+    monkeypatch.setattr(tiles, "POINTS", 50)
+    monkeypatch.setattr(tiles, "VALUES", 100)
+    truth = _truth(field)
+    got = {(tuple(r.i), tuple(r.j)): r for r in regions.exhaustive_pairs(field, FACTOR).collect()}
+    assert got.keys() == truth.keys()
+    for k, v in truth.items():
+        assert got[k].n == len(v) and got[k].value == pytest.approx(v[np.abs(v).argmax()], abs=1e-12)
+    # half of the pairs are found, at one of their values
+    found = {k: float(np.sort(np.abs(v))[len(v) // 3]) for k, v in list(truth.items())[::2]}
+    told = regions.exhaustive_errors(field, FACTOR, spark.createDataFrame([(*k, v) for k, v in found.items()], f"{tiles.PAIR}, value double")).first()
+    sizes = {k: np.abs(truth[k]) for k in found}
+    assert told.quantile == pytest.approx(np.mean([1 - (sizes[k] < f - 1e-12).mean() for k, f in found.items()]), abs=1e-12)
+    assert told.linear == pytest.approx(np.mean([1 - (f - sizes[k].min()) / np.ptp(sizes[k]) for k, f in found.items()]), abs=1e-9)
+    assert told.absolute == pytest.approx(np.mean([sizes[k].max() - f for k, f in found.items()]), abs=1e-9)
