@@ -81,7 +81,7 @@ def pairs_bayesian(spark, sf):
 def sampling_errors(spark, sf):
     df = embedding_field(spark, sf)
     found = regions.sampled_pairs(df, FACTOR, grid.sizes(df), SAMPLES)
-    return rounded(regions.sampling_errors(regions.cell_pairs(df, FACTOR), found))
+    return rounded(regions.exhaustive_errors(df, FACTOR, found))
 
 
 def _points(method: str, d: int):
