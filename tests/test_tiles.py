@@ -67,3 +67,28 @@ def test_all_points_in_small_groups(field, spark, monkeypatch):
     assert told.quantile == pytest.approx(np.mean([1 - (sizes[k] < f - 1e-12).mean() for k, f in found.items()]), abs=1e-12)
     assert told.linear == pytest.approx(np.mean([1 - (f - sizes[k].min()) / np.ptp(sizes[k]) for k, f in found.items()]), abs=1e-9)
     assert told.absolute == pytest.approx(np.mean([sizes[k].max() - f for k, f in found.items()]), abs=1e-9)
+
+@pytest.mark.parametrize("measure, options", [
+    ("spearman", {}), ("kendall", {}), ("kendall", {"variant": "tau_a"}), ("kendall", {"variant": "plain_ties"}), ("mi_binned", {"bins": 10}),
+    ("mi_binned", {"bins": 7, "low": -1.0, "high": 1.0}), ("mi_ksg", {}), ("mi_ksg", {"k": 5}), ("mi_ksg", {"estimator": 2}), ("mi_ksg_coefficient", {}),
+])
+def test_tables_hold_the_values_of_single_pairs(measure, options):
+    rng = np.random.default_rng(4)
+    for draw in (rng.normal, lambda size: rng.integers(0, 6, size).astype(float)):
+        a, b = draw(size=(5, 64)), draw(size=(70, 64))
+        b[3] = 2.0
+        want = np.stack([kernels.all_values(measure, [x] * len(b), list(b), **options) for x in a])
+        assert np.allclose(kernels.table(measure, a, b, **options), want, rtol=0, atol=1e-12, equal_nan=True)
+
+
+def test_means_in_small_groups(field, monkeypatch):
+    """Groups of a few blocks: every pair is met once, and those with a missing member are left out."""
+    monkeypatch.setattr(tiles, "BLOCKS", 2)
+    blocks = field.filter("x % 4 = 0 AND y % 2 = 0 AND z % 3 = 0").selectExpr("x AS bx", "y AS by", "z AS bz", "m", "value")
+    vectors = {}
+    for r in sorted(blocks.collect(), key=lambda r: r.m):
+        vectors.setdefault((r.bz, r.by, r.bx), []).append(r.value)
+    for diagonal in (False, True):
+        got = {(tuple(r.i), tuple(r.j)): r.value for r in regions.mean_pairs(blocks, measure="kendall", diagonal=diagonal).collect()}
+        assert got.keys() == {(i, j) for i in vectors for j in vectors if i > j or diagonal and i == j}
+        assert all(v == pytest.approx(kernels.kendall(np.array(vectors[i]), np.array(vectors[j])), abs=1e-12) for (i, j), v in got.items())
