@@ -92,3 +92,15 @@ def test_means_in_small_groups(field, monkeypatch):
         got = {(tuple(r.i), tuple(r.j)): r.value for r in regions.mean_pairs(blocks, measure="kendall", diagonal=diagonal).collect()}
         assert got.keys() == {(i, j) for i in vectors for j in vectors if i > j or diagonal and i == j}
         assert all(v == pytest.approx(kernels.kendall(np.array(vectors[i]), np.array(vectors[j])), abs=1e-12) for (i, j), v in got.items())
+
+def test_samples_are_asked_once_for_each_block(field, monkeypatch):
+    """Vectors are joined to the samples of a block, not to those of each pair of blocks; values are those of the listed pairs."""
+    samples, blocks = 15, 3 * 2 * 2
+    side = regions._samples(field, FACTOR, SIZES, samples, "halton", "pearson", 1)
+    assert 0 < side.count() <= blocks * samples
+    ids = side.select("id").distinct()
+    listed = ids.selectExpr("id AS i").join(ids.selectExpr("id AS j")).filter("i > j")
+    told = lambda df: {(tuple(r.i), tuple(r.j)): round(r.value, 9) for r in df.collect()}
+    for measure in ("pearson", "spearman"):
+        plain = told(regions.sampled_pairs(field, FACTOR, SIZES, samples, "halton", measure, listed=listed))
+        assert told(regions.sampled_pairs(field, FACTOR, SIZES, samples, "halton", measure)) == plain and len(plain) == blocks * (blocks - 1) // 2
