@@ -75,6 +75,48 @@ def test_kraskov_over_cells(spark, monkeypatch, kind, estimator):
         assert got == pytest.approx(kernels.mi_ksg(a, b, k=k, estimator=estimator), abs=1e-9), k
 
 
+def test_squares_of_a_wide_field_meet_few_cells(spark):
+    rng = np.random.default_rng(8)
+    a, b = 1000 * rng.normal(size=4000), rng.normal(size=4000)
+    d = np.concatenate([np.partition(np.maximum(np.abs(a[s, None] - a), np.abs(b[s, None] - b)), 10, axis=1)[:, 10] for s in np.array_split(np.arange(4000), 8)])
+    points = spark.createDataFrame([(float(x), float(y), 1, k) for k, (x, y) in enumerate(zip(a, b))], "a double, b double, w long, id long")
+    cells = whole._cut(points, 4000, 200).toPandas()
+    at, of = cells["id"].to_numpy(), cells["cell"].to_numpy()
+    met = 0
+    for cell, g in cells.groupby("cell"):
+        near = (g["a"].min() - a[at] < d[at]) & (a[at] - g["a"].max() < d[at]) & (g["b"].min() - b[at] < d[at]) & (b[at] - g["b"].max() < d[at])
+        met += int((near & (of != cell)).sum())
+    assert len(np.unique(of)) >= 10 and met < 4000 / 2
+
+
+@pytest.mark.parametrize("estimator", [1, 2])
+def test_kraskov_of_a_wide_field(spark, monkeypatch, estimator):
+    monkeypatch.setattr(whole, "CELL", 12)
+    monkeypatch.setattr(whole, "RANGE", 40)
+    rng = np.random.default_rng(9)
+    a, b = 1000 * rng.normal(size=300), rng.normal(size=300)
+    # cells with fewer points than neighbours, and many ends in few parts
+    if estimator == 1:
+        b = np.round(b)
+    got = whole.mi_ksg(_frame(spark, a, b), k=3, estimator=estimator)
+    assert got == pytest.approx(kernels.mi_ksg(a, b, k=3, estimator=estimator), abs=1e-9)
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_points_within_a_distance(kind):
+    a, b = _shapes(kind)
+    a, b = np.unique(np.column_stack([a, b]), axis=0).T
+    far = np.maximum(np.abs(a[:, None] - a), np.abs(b[:, None] - b))
+    strips = whole._Strips(a, b, 40)
+    for k in (1, 7):
+        bound = strips.bounds(k)
+        parts = list(strips.within(a, b, bound, most=500))
+        assert (bound >= np.sort(far, axis=1)[:, k]).all() and len(parts) > 1
+        i, at, dx, dy = (np.concatenate(v) for v in zip(*parts))
+        assert (np.diff(i) >= 0).all() and len(i) == (far <= bound[:, None]).sum()
+        assert (np.maximum(dx, dy) == far[i, at]).all() and (far[i, at] <= bound[i]).all()
+
+
 def test_default_k_and_small_fields(spark):
     a, b = _shapes("dependent", 150)
     assert whole.mi_ksg(_frame(spark, a, b)) == pytest.approx(kernels.mi_ksg(a, b), abs=1e-9)
