@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from gridlark import twins
-from gridlark.fields import embedding_field, event_series, lineitem_field
+from gridlark.fields import embedding_field, event_series, lineitem_field, ordered_lineitem_field
 from gridlark.functions.measures import default_k, psi, psi_of
 from gridlark.operators import dependence, similarity
 from gridlark.twins import CORR, L, P, PSI, bounds, rounded
@@ -23,8 +23,8 @@ def _field(measure: str, absolute: bool = False, **options):
     return lambda s, d: rounded(dependence.correlation_field(embedding_field(s, d), 0, measure, absolute, options))
 
 
-def _lines(measure: str, **pairing):
-    return lambda s, d: rounded(dependence.correlation_field(lineitem_field(s, d), POINT, measure, **pairing))
+def _lines(measure: str, field=lineitem_field, **pairing):
+    return lambda s, d: rounded(dependence.correlation_field(field(s, d), POINT, measure, **pairing))
 
 
 def _window(measure: str, **options):
@@ -63,7 +63,7 @@ QUERIES = {
     "separate_pearson": _lines("pearson", variable="quantity", reference_variable="extendedprice", time="t"),
     "lagged_pearson": _lines("pearson", variable="quantity", time="t", lag=3),
     "time_axis_spearman": _lines("spearman", variable="tax", member="t", time="m"),
-    "same_point_spearman": lambda s, d: rounded(dependence.same_point_field(lineitem_field(s, d), "quantity", "tax", "spearman", ["point_id", "t"])),
+    "same_point_spearman": lambda s, d: rounded(dependence.same_point_field(ordered_lineitem_field(s, d), "quantity", "tax", "spearman", ["point_id", "t"])),
     "window_spearman": _window("spearman"),
     "window_kendall": _window("kendall"),
     "window_mi_binned": window_mi_binned,
