@@ -62,7 +62,7 @@ QUERIES = {
     "largest_information": largest_information,
     "separate_pearson": _lines("pearson", variable="quantity", reference_variable="extendedprice", time="t"),
     "lagged_pearson": _lines("pearson", variable="quantity", time="t", lag=3),
-    "time_axis_spearman": _lines("spearman", variable="tax", member="t", time="m"),
+    "time_axis_spearman": _lines("spearman", ordered_lineitem_field, variable="tax", member="t", time="m"),
     "same_point_spearman": lambda s, d: rounded(dependence.same_point_field(ordered_lineitem_field(s, d), "quantity", "tax", "spearman", ["point_id", "t"])),
     "window_spearman": _window("spearman"),
     "window_kendall": _window("kendall"),

@@ -73,3 +73,11 @@ def test_same_point_spearman_of_a_split_table(spark, folder):
     for (point, t, _), v in means(folder[1]).items():
         vectors.setdefault((point, t), []).append((v[0], v[3]))
     agree(catalog.QUERIES["same_point_spearman"](spark, folder[0]), ("point_id", "t"), vectors)
+
+
+def test_time_axis_spearman_of_a_split_table(spark, folder):
+    found, vectors = means(folder[1]), {}
+    for (point, t, m), v in found.items():
+        if (1, t, m) in found:
+            vectors.setdefault((point, m), []).append((found[1, t, m][3], v[3]))
+    agree(catalog.QUERIES["time_axis_spearman"](spark, folder[0]), ("point_id", "member"), vectors)
