@@ -74,3 +74,27 @@ def test_benchmark_as_csv(field, spark, tmp_path):
     assert set(told) == {(m, n) for m in methods for n in (4, 12)} and all(r["Time"] > 0 and 0 <= r["Absolute"] <= 2 for r in told.values())
     assert [told["Bayesian", n]["Init Samples"] for n in (4, 12)] == [2, 6] and told["Plastic", 4]["Init Samples"] == 0
     assert told["Plastic", 12]["Absolute"] <= told["Plastic", 4]["Absolute"]
+
+
+def test_searches_side_by_side_share_their_tables(monkeypatch):
+    """Each finds what it finds alone, also where values are missing, with fewer covariances than one by one."""
+    count, samples = 48, 40
+    table = np.random.default_rng(5).normal(size=(count, *[3] * 6))
+    table[7, 0, 1], table[9] = np.nan, np.nan
+    value = lambda k, u: table[(k, *(u * 3).astype(int).T)]
+    alone = [search.searched(lambda u, k=k: float(value(np.array([k]), u[None])[0]), 6, samples) for k in range(count)]
+    plain, made = search._matern, []
+
+    def counted(a, b):
+        out = plain(a, b)
+        made.append(out.size)
+        return out
+
+    monkeypatch.setattr(search, "_matern", counted)
+    for held in (search.HELD, 10 * samples**2):
+        monkeypatch.setattr(search, "HELD", held)
+        at, best = search.searched_many(value, 6, samples, count)
+        assert np.isnan(best[9]) and np.isnan(alone[9][1])
+        assert np.allclose(best, [v for _, v in alone], equal_nan=True) and np.allclose(np.delete(at, 9, 0), [x for k, (x, _) in enumerate(alone) if k != 9])
+        if held > 10 * samples**2:
+            assert sum(made) < 0.6 * count * search.CANDIDATES * sum(range(search.initial(samples), samples))
